@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality
+from . import bpe, media, neardup, packing, quality
 from .common import table
 
 
@@ -28,11 +28,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_media_columns": op5_media_columns,
     "op6_quality_rules": op6_quality_rules,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _STOP_FORMS = ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
