@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hmm, langid, media, neardup, packing, quality
+from . import bpe, hmm, langid, licenses, media, neardup, packing, quality
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_media_columns": op5_media_columns,
     "op6_quality_rules": op6_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_hmm_scores": op9_hmm_scores,
     "op10_near_duplicates": op10_near_duplicates,
 }
