@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hmm, langid, licenses, media, neardup, packing, quality
+from . import bpe, hmm, langid, licenses, media, neardup, packing, quality, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_media_columns": op5_media_columns,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_license_scan": op8_license_scan,
     "op9_hmm_scores": op9_hmm_scores,
     "op10_near_duplicates": op10_near_duplicates,
@@ -98,4 +103,26 @@ SELECT *, NOT base_failed
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+#: Base32 has no function in DuckDB: the hex digits are regrouped by five bits.
+OP7_SQL = """
+WITH captures AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, n, h, array_to_string(list_transform(range(1, 41),
+    lambda i: format('{:04b}', instr('0123456789abcdef', substr(h, i, 1)) - 1)), '') AS b
+  FROM captures
+), digests AS (
+  SELECT page_id, n, h, array_to_string(list_transform(range(0, 32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(b, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j)))::INTEGER, 1)), '') AS d
+  FROM bits
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM digests
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM firsts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL}
