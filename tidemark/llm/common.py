@@ -74,3 +74,24 @@ def slices(n_rows: int, per_slice: int, least: int = 1) -> int:
 def crc_remainder(col: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, per_part: int, most_hot: int = 10_000) -> DataFrame:
+    """Left join of `left` with the rows of `right`, unique by `key`, without hot keys.
+
+    `right` has the column `n`, how many rows of `left` have the key. The keys
+    with most rows, at most `most_hot`, are spread over a part for each
+    `per_part` of them; all others, however many, have the part 0.
+    """
+    parts = F.ceil(F.col("n") / per_part).cast("int")
+    hot = right.select(key, parts.alias("__parts")).where("__parts > 1").orderBy(F.desc("__parts"), key).limit(most_hot)
+    spread = (
+        right.join(F.broadcast(hot), key, "left")
+        .withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+        .drop("__parts", "n")
+    )
+    part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")).cast("int")
+    )
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    return salted.join(spread, [key, "__part"], "left").drop("__part")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of, work_folder
+from .common import materialise, spread_join, text_of, work_folder
 
 #: Records of one compressed index block.
 BLOCK = 128
@@ -43,7 +43,6 @@ BLOCK = 128
 DATE = "2024-01-01T00:00:00Z"
 #: Copies of one payload that share a join key.
 COPIES = 1000
-HOT_PAYLOADS = 10_000
 
 
 def surt(url: str | None) -> str:
@@ -176,13 +175,8 @@ def _typed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     ).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     firsts = base.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = materialise(firsts.select("sha", "first", F.ceil(F.col("n") / COPIES).cast("int").alias("parts")), "payloads")
-    # The payloads with most copies, at most so many, are spread over several
-    # keys; all others, however many, have the key part 0.
-    hot = F.broadcast(firsts.where("parts > 1").orderBy(F.desc("parts"), "sha").limit(HOT_PAYLOADS).select("sha", "parts"))
-    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    spread = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    joined = base.join(hot, "sha", "left").withColumn("part", part).join(spread, ["sha", "part"], "left")
+    firsts = materialise(firsts, "payloads")
+    joined = spread_join(base, firsts, "sha", COPIES)
     return joined.select(
         "id", "url", "html", "sha", F.col("first.id").alias("first_id"),
         (F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))).alias("copy"),
