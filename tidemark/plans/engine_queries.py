@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import day_known
-from ..operators import asof, funnel, metrics, replay, rolls, stats, walkforward
+from ..operators import asof, controls, funnel, metrics, replay, rolls, stats, walkforward
 from ..schema import DAY_NS
 from .views import B1H, CASH, CONTRACT_BARS, COSTS, CURVE, FAST, HOUR, SLOW, SPEC, TARGETS, TICK, bars_1h, contract_bars, contract_sessions, equity_sql, sma_cross
 
@@ -484,3 +484,65 @@ def _(spark, d):
     s = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("root"), "o_custkey").agg(F.min(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', o_orderdate) div 86400000000")).alias("first_day"))
     s = s.withColumn("last_day", F.col("first_day") + F.col("o_custkey") % 3).withColumn("contract", F.col("o_custkey").cast("string"))
     return funnel.pool_gaps(s, "root")
+
+
+# ---------------------------------------------------------------- pooling and controls
+
+
+@query("pooled_cost_sweep", f"WITH {TARGETS}, " + ",\n".join(
+    f"p{h} AS (WITH {equity_sql(replay.Costs(h, COSTS.fee, TICK))} SELECT {h} AS half_ticks, count(*) AS bars, CAST(sum(fee) AS BIGINT) AS fees, CAST(sum(equity - prev) AS BIGINT) AS gain FROM (SELECT *, coalesce(lag(equity) OVER {O}, {CASH}) AS prev FROM curve))" for h in LEVELS
+) + " " + " UNION ALL ".join(f"SELECT * FROM p{h}" for h in LEVELS))
+def _(spark, d):
+    targets = replay.sma_cross_targets(bars_1h(spark, d), FAST, SLOW)
+    out = None
+    for h in LEVELS:
+        curve = replay.equity(targets, SPEC, replay.Costs(h, COSTS.fee, TICK))
+        change = F.col("equity") - F.coalesce(F.lag("equity").over(Window.partitionBy("instrument").orderBy("ts_open")), F.lit(CASH))
+        one = curve.withColumn("change", change).agg(F.count(F.lit(1)).alias("bars"), F.sum("fee").alias("fees"), F.sum("change").alias("gain")).select(F.lit(h).alias("half_ticks"), "bars", "fees", "gain")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("trial_composition", """SELECT o_orderpriority AS family, count(DISTINCT o_custkey % 50) * count(DISTINCT o_orderstatus) * 4 - count(*) FILTER (o_orderkey % 997 = 0) AS trials FROM orders GROUP BY 1""")
+def _(spark, d):
+    from ..sources.bars import table
+
+    o = table(spark, d, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("family")).agg(
+        (F.countDistinct(F.col("o_custkey") % 50) * F.countDistinct("o_orderstatus") * 4 - F.sum((F.col("o_orderkey") % 997 == 0).cast("long"))).alias("trials")
+    )
+
+
+def _bar_trades(spark, d):
+    curve = sma_cross(spark, d)
+    at = curve.select("instrument", (F.col("ts_open") + HOUR).alias("ts"), (F.row_number().over(Window.partitionBy("instrument").orderBy("ts_open")) - 1).alias("bar"))
+    t = replay.closed_trades(curve, SPEC, COSTS, HOUR)
+    opened = at.select("instrument", F.col("ts").alias("opened_ts"), F.col("bar").alias("opened"))
+    closed = at.select("instrument", F.col("ts").alias("closed_ts"), F.col("bar").alias("closed"))
+    return t.join(opened, ["instrument", "opened_ts"]).join(closed, ["instrument", "closed_ts"]).select("instrument", "opened", "closed", "direction")
+
+
+@query("random_entry")
+def _(spark, d):
+    b = bars_1h(spark, d)
+    trades = _bar_trades(spark, d)
+    out = None
+    for draw in range(4):
+        curve = replay.equity(controls.random_entry_targets(b, trades, draw), SPEC, COSTS)
+        one = curve.groupBy("instrument").agg(F.max_by("equity", "ts_open").alias("final_equity")).withColumn("draw", F.lit(draw))
+        out = one if out is None else out.unionByName(one)
+    return controls.lower_median(out, ["instrument"], "final_equity", "draw")
+
+
+@query("full_sample_leak", f"""WITH {B1H}, z AS (SELECT instrument, avg(close) AS m, stddev_pop(close) AS s FROM b1h GROUP BY 1)
+SELECT instrument, ts_open, CASE WHEN (close - m) / nullif(s, 0) > 1 THEN -1 WHEN (close - m) / nullif(s, 0) < -1 THEN 1 ELSE 0 END AS target FROM b1h JOIN z USING (instrument)""")
+def _(spark, d):
+    return controls.full_sample_targets(bars_1h(spark, d)).select("instrument", "ts_open", "target")
+
+
+@query("late_corrections", f"""WITH {REVS}, c AS (SELECT contract, expiration, avail_ts, lag(expiration) OVER (PARTITION BY contract ORDER BY avail_ts, expiration) AS before FROM rv)
+SELECT contract, expiration, avail_ts, before FROM c WHERE before IS NOT NULL AND before <> expiration""")
+def _(spark, d):
+    over = Window.partitionBy("contract").orderBy("avail_ts", "expiration")
+    r = rolls.revisions(_observed(spark, d)).withColumn("before", F.lag("expiration").over(over))
+    return r.where(F.col("before").isNotNull() & (F.col("before") != F.col("expiration"))).select("contract", "expiration", "avail_ts", "before")

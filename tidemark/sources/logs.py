@@ -89,3 +89,15 @@ def shared_shingles(texts: DataFrame, n: int) -> DataFrame:
     grams = words.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("g")).distinct()
     a, b = grams.select(F.col("id").alias("a"), "g"), grams.select(F.col("id").alias("b"), "g")
     return a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def layout_findings(files: DataFrame, roots: list[str]) -> DataFrame:
+    """Files of an archive (column `path`) that do not lie where their kind belongs."""
+    parts = F.split("path", "/")
+    finding = (
+        F.when(~F.get(parts, F.lit(0)).isin(roots), "unknown_root")
+        .when(F.size(parts) < 4, "too_shallow")
+        .when(F.size(parts) > 4, "too_deep")
+        .when(~F.col("path").rlike(r"\.(parquet|jsonl|zst)$"), "unknown_kind")
+    )
+    return files.select("path", finding.alias("finding")).where("finding IS NOT NULL")
