@@ -110,3 +110,12 @@ def expected_max_z(n: Column) -> Column:
     return F.when(n <= 1, F.lit(0.0)).otherwise(
         (1 - EULER_GAMMA) * inverse_normal_cdf(1 - 1 / n) + EULER_GAMMA * inverse_normal_cdf(1 - 1 / (n * math.e))
     )
+
+
+def identity_hash(*parts: Column) -> Column:
+    """SHA-256 over the parts, each with its length before it, so that no two lists of parts collide."""
+    return F.sha2(F.concat(*[F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")) for p in parts]), 256)
+
+
+def run_id(*parts: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)

@@ -105,3 +105,16 @@ def revisions(observed: DataFrame) -> DataFrame:
 def expiry_as_of(decisions: DataFrame, revised: DataFrame) -> DataFrame:
     """The latest expiration known at each decision."""
     return latest_as_of(decisions, revised, ["contract"], "decision_ts", "avail_ts", ["expiration"])
+
+
+def resolve_cycles(asked: DataFrame, cycles: DataFrame, first_days: int = 3653) -> DataFrame:
+    """The contract that a short symbol means at a time: the cycle whose expiry is the first not before it.
+
+    `asked` has symbol and day, `cycles` symbol, contract and expiry. The first
+    cycle opens `first_days` before its expiry; outside of all cycles the
+    contract is null.
+    """
+    order = Window.partitionBy("symbol").orderBy("expiry")
+    open_ = cycles.withColumn("opens", F.coalesce(F.lag("expiry").over(order), F.col("expiry") - first_days))
+    inside = (F.col("day") > F.col("opens")) & (F.col("day") <= F.col("expiry"))
+    return asked.join(open_.withColumnRenamed("symbol", "__s"), (F.col("symbol") == F.col("__s")) & inside, "left").drop("__s", "opens")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.prices import day_known
+from ..functions.prices import day_known, identity_hash, run_id
 from ..operators import asof, controls, funnel, metrics, replay, rolls, stats, walkforward
 from ..schema import DAY_NS
 from .views import B1H, CASH, CONTRACT_BARS, COSTS, CURVE, FAST, HOUR, SLOW, SPEC, TARGETS, TICK, bars_1h, contract_bars, contract_sessions, equity_sql, sma_cross
@@ -546,3 +546,39 @@ def _(spark, d):
     over = Window.partitionBy("contract").orderBy("avail_ts", "expiration")
     r = rolls.revisions(_observed(spark, d)).withColumn("before", F.lag("expiration").over(over))
     return r.where(F.col("before").isNotNull() & (F.col("before") != F.col("expiration"))).select("contract", "expiration", "avail_ts", "before")
+
+
+@query("contract_cycle_resolve", """WITH cy AS (SELECT 'ES' || (p_partkey % 7) AS symbol, 'ES' || (p_partkey % 7) || '-' || (p_partkey // 7) AS contract, 19000 + p_partkey AS expiry FROM part WHERE p_partkey <= 140),
+o AS (SELECT *, coalesce(lag(expiry) OVER (PARTITION BY symbol ORDER BY expiry), expiry - 3653) AS opens FROM cy), a AS (SELECT c_custkey, 'ES' || (c_custkey % 8) AS symbol, 18980 + c_custkey AS day FROM customer)
+SELECT c_custkey, a.symbol, day, contract, expiry FROM a LEFT JOIN o ON a.symbol = o.symbol AND day > opens AND day <= expiry""")
+def _(spark, d):
+    from ..sources.bars import table
+
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    symbol = F.concat(F.lit("ES"), (k % 7).cast("string"))
+    cycles = table(spark, d, "part").where(k <= 140).select(symbol.alias("symbol"), F.concat(symbol, F.lit("-"), F.expr("p_partkey div 7").cast("string")).alias("contract"), (k + 19000).alias("expiry"))
+    asked = table(spark, d, "customer").select(c, F.concat(F.lit("ES"), (c % 8).cast("string")).alias("symbol"), (c + 18980).alias("day"))
+    return rolls.resolve_cycles(asked, cycles)
+
+
+@query("contract_order", """WITH s AS (SELECT p_partkey, substr('FGHJKMNQUVXZ', 1 + CAST(p_partkey % 12 AS INT), 1) AS code, 2020 + p_partkey % 15 AS y FROM part)
+SELECT p_partkey, 'CL' || code || y AS contract, row_number() OVER (ORDER BY y, instr('FGHJKMNQUVXZ', code), p_partkey) AS place FROM s ORDER BY place LIMIT 50""")
+def _(spark, d):
+    from ..functions import symbols
+    from ..sources.bars import table
+
+    k = F.col("p_partkey")
+    code = F.substring(F.lit(symbols.MONTH_CODES), (k % 12 + 1).cast("int"), F.lit(1))
+    s = table(spark, d, "part").select(k, F.concat(F.lit("CL"), code, (k % 15 + 2020).cast("string")).alias("contract"))
+    s = s.withColumns({"root": symbols.root(F.col("contract")), "month": symbols.month(F.col("contract")), "year": symbols.year(F.col("contract"))})
+    # The first fifty are taken before they are numbered.
+    top = s.orderBy("root", "year", "month", "p_partkey").limit(50)
+    return top.select("p_partkey", "contract", F.row_number().over(Window.partitionBy("root").orderBy("year", "month", "p_partkey")).cast("long").alias("place"))
+
+
+@query("run_ids", """SELECT o_orderkey, substr(sha256(o_orderpriority || '|' || o_custkey || '|' || o_orderstatus), 1, 16) AS run_id,
+sha256(length(o_orderpriority) || ':' || o_orderpriority || length(o_orderstatus) || ':' || o_orderstatus) AS identity FROM orders""")
+def _(spark, d):
+    from ..sources.bars import table
+
+    return table(spark, d, "orders").select("o_orderkey", run_id(F.col("o_orderpriority"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")).alias("run_id"), identity_hash(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("identity"))
