@@ -9,9 +9,9 @@ Jaccard similarity. Bands of coordinates give buckets of candidates; whether
 two candidates are linked is decided by the similarity of their whole shingle
 sets, and classes are the connected components of the links.
 
-In a bucket all members are compared with a leader. While members remain that
-no leader is similar to, some of them become leaders in turn and are compared
-with all others, so the number of comparisons stays linear in bucket size.
+In a bucket all members are compared with a hub, and those that it is not
+similar to with a hub of their own, so the number of comparisons stays linear in
+the bucket size. Each text is in a bucket of each band, with hubs of its own.
 
 Defined cases: words are runs of other characters than space and \\t-\\r, with
 A-Z in lower case. Texts of equal word sequence are copies and share a class,
@@ -37,8 +37,8 @@ from .components import connected
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 27, 5
-#: Leaders that a bucket gets at once after its first.
-LEADERS = 6
+#: Hubs that a bucket gets one after the other, each for the members that those before left.
+HUB_ROUNDS = 3
 #: Words after which the memo of word hashes is emptied.
 MEMO_WORDS = 500_000
 #: Shingles that are signed in one go.
@@ -191,48 +191,34 @@ def _ordered(x: str, y: str) -> list:
 
 
 def _links(signed: DataFrame, reps: DataFrame) -> DataFrame:
-    """All links found in the buckets, as pairs of text keys."""
+    """Links found in the buckets, as pairs of text keys.
+
+    A bucket's hub is the member whose buckets hold most texts, which in a
+    group of near copies is the text they were made from. All members are
+    compared with it; those it is not similar to form the bucket of the next
+    round, with a hub of their own.
+    """
     members = reps.select("key", F.explode("buckets").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    state = materialise(
-        members.join(heads, "bucket").select("bucket", "key", "leader", (F.col("key") == F.col("leader")).alias("led")), "buckets"
-    )
-    asked = materialise(state.where("not led").select(*_ordered("leader", "key")).distinct(), "asked")
-    links = materialise(_verify(asked, signed), "linked")
-    state = state.join(
-        links.withColumn("hit", F.lit(True)),
-        (F.least("leader", "key") == F.col("a")) & (F.greatest("leader", "key") == F.col("b")),
-        "left",
-    ).select("bucket", "key", "led", (F.col("led") | F.coalesce("hit", F.lit(False))).alias("done"))
-    while True:
-        # Buckets with members that no leader is similar to, and their next leaders.
-        state = materialise(state, "buckets")
-        rest = state.where("not done").groupBy("bucket").agg(
-            F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(s))) for s in range(LEADERS)])).alias("leaders")
-        )
-        state = state.join(rest, "bucket").where(~F.col("led"))
-        fresh = (
-            state.select("bucket", "key", F.explode("leaders").alias("leader"))
-            .where(F.col("key") != F.col("leader"))
-            .select(*_ordered("leader", "key"))
-            .distinct()
-            .join(asked, ["a", "b"], "left_anti")
-        )
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A text has at most BANDS buckets, so its list is short.
+    scored = members.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("score"), F.collect_list("bucket").alias("buckets"))
+    state = materialise(scored.select("key", "score", F.explode("buckets").alias("bucket")), "buckets")
+    links = asked = None
+    for _ in range(HUB_ROUNDS):
+        hubs = state.groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = state.join(hubs.select("bucket", F.col("top.key").alias("hub")), "bucket").where(F.col("key") != F.col("hub"))
+        rows = materialise(rows, "buckets")
+        fresh = rows.select(*_ordered("hub", "key")).distinct()
+        if asked is not None:
+            fresh = fresh.join(asked, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "asked")
-        if state.limit(1).count() == 0:
-            return links
-        if fresh.limit(1).count():
-            links = materialise(links.union(_verify(fresh, signed)), "linked")
-            asked = asked.union(fresh)
-        tried = state.select("bucket", "key", "done", "leaders", F.explode("leaders").alias("leader")).join(
-            links.withColumn("hit", F.lit(True)),
-            (F.least("leader", "key") == F.col("a")) & (F.greatest("leader", "key") == F.col("b")),
-            "left",
-        )
-        state = tried.groupBy("bucket", "key").agg(
-            F.max(F.col("key") == F.col("leader")).alias("led"),
-            F.max(F.col("done") | F.coalesce("hit", F.lit(False)) | (F.col("key") == F.col("leader"))).alias("done"),
-        )
+        found = _verify(fresh, signed)
+        links = materialise(found if links is None else links.unionByName(found), "linked")
+        asked = fresh if asked is None else asked.unionByName(fresh)
+        hit = links.withColumn("hit", F.lit(True))
+        pair = rows.select("bucket", "key", "score", *_ordered("hub", "key"))
+        state = pair.join(hit, ["a", "b"], "left").where("hit IS NULL").select("bucket", "key", "score")
+    return links
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> tuple[DataFrame, DataFrame]:
