@@ -175,7 +175,9 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFr
 def _verify(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs `a`, `b` whose shingle sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = signed.select("key", "shingles").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("s"))
+    # One set for each text first, so that copies are joined in each task. The
+    # wanted keys grow with the corpus, so they are never broadcast.
+    sets = signed.groupBy("key").agg(F.first("shingles").alias("s")).join(wanted.hint("merge"), "key", "left_semi")
     sets = materialise(sets, "sets")
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b"
