@@ -75,3 +75,11 @@ def test_query_equals_sql(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_the_filter_does_not_repeat_the_metrics(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = quality.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 2
+    kept = {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
