@@ -71,6 +71,20 @@ def test_classes_equal_brute_force_and_one_of_each_is_kept(spark):
     assert sorted(i for i in ids if i is not None) == sorted({w for w in want if w is not None}) and ids.count(None) == 1
 
 
+def test_pairs_between_members_of_a_crowd_are_found(spark):
+    rng = np.random.default_rng(5)
+    passages = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(30)]
+    rows = []
+    for i in range(300):  # most similarities lie between 0.5 and 0.79, and no shingle is rare
+        kept = rng.random(30) < 0.8
+        rows.append((len(rows), " ".join(p for p, k in zip(passages, kept) if k)))
+        if i % 5 == 0:  # a partner that lacks one passage
+            kept[rng.choice(np.flatnonzero(kept))] = False
+            rows.append((len(rows), " ".join(p for p, k in zip(passages, kept) if k)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == brute_classes(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == 0

@@ -10,8 +10,9 @@ two candidates are linked is decided by the similarity of their whole shingle
 sets, and classes are the connected components of the links.
 
 In a bucket all members are compared with a hub, and those that it is not
-similar to with a hub of their own, so the number of comparisons stays linear in
-the bucket size. Each text is in a bucket of each band, with hubs of its own.
+similar to with a hub of their own, which joins most members of a group in a
+number of comparisons linear in its size. Members of a bucket that this leaves
+in different classes are all joined exactly, by their rarest shingles.
 
 Defined cases: words are runs of other characters than space and \\t-\\r, with
 A-Z in lower case. Texts of equal word sequence are copies and share a class,
@@ -37,7 +38,7 @@ from .components import connected
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 27, 5
-#: Hubs that a bucket gets one after the other, each for the members that those before left.
+#: Hubs that a bucket gets one after the other, each for the members that those before left. Pairs left then are joined exactly.
 HUB_ROUNDS = 3
 #: Words after which the memo of word hashes is emptied.
 MEMO_WORDS = 500_000
@@ -192,19 +193,60 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _open_texts(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """`key` and `label` of the texts in buckets that hold pairs neither compared nor in one class yet.
+
+    A bucket of two texts has been compared by its first hub.
+    """
+    labelled = buckets.join(connected(links), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    unsettled = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    unsettled = unsettled.where("n > 2 AND lo <> hi").select("bucket")
+    return labelled.join(unsettled, "bucket", "left_semi").groupBy("key").agg(F.first("label").alias("label"))
+
+
+def _prefix_pairs(texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs `a`, `b` of `texts` of different labels that can be similar; no similar pair is missing.
+
+    Shingles are put in one order, rare ones first. The first one that two similar
+    sets share has as many shingles from it on in either set as they must share, so
+    it is among the first fifth of both.
+    """
+    percent = round(SIMILARITY * 100)
+    sets = signed.groupBy("key").agg(F.first("shingles").alias("s")).join(texts.hint("merge"), "key")
+    sets = materialise(sets.select("key", "label", "s", F.size("s").alias("n")), "sets")
+    tokens = sets.select("key", "n", F.explode("s").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    order = F.sort_array(F.collect_list(F.struct("c", "token")))
+    placed = tokens.join(common.hint("merge"), "token").groupBy("key", "n").agg(order.alias("o")).withColumn(
+        "o", F.slice("o", F.lit(1), F.expr(f"n * {100 - percent} div 100").cast("int") + 1)
+    )
+    prefix = placed.join(sets.select("key", "label"), "key").select("key", "label", "n", F.posexplode("o").alias("place", "o"))
+    prefix = prefix.where("o.c > 1").select("key", "label", "n", "place", F.col("o.token").alias("token"))
+    prefix = materialise(prefix, "prefixes")
+    # A shingle that one class alone has in its prefixes gives no pair.
+    mixed = prefix.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    prefix = materialise(prefix.join(mixed.hint("merge"), "token", "left_semi"), "prefixes")
+    x, y = (prefix.select("token", *[F.col(c).alias(c + side) for c in ("key", "label", "n", "place")]) for side in "xy")
+    least = (F.col("nx") + F.col("ny")) * percent
+    enough = ((F.col("nx") - F.col("placex")) * (100 + percent) >= least) & ((F.col("ny") - F.col("placey")) * (100 + percent) >= least)
+    same = x.hint("merge").join(y, (x["token"] == y["token"]) & (F.col("labelx") < F.col("labely")) & enough)
+    return same.select(*_ordered("keyx", "keyy")).distinct()
+
+
 def _links(signed: DataFrame, reps: DataFrame) -> DataFrame:
     """Links found in the buckets, as pairs of text keys.
 
     A bucket's hub is the member whose buckets hold most texts, which in a
     group of near copies is the text they were made from. All members are
     compared with it; those it is not similar to form the bucket of the next
-    round, with a hub of their own.
+    round, with a hub of their own. What the hubs leave apart is joined exactly.
     """
     members = reps.select("key", F.explode("buckets").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # A text has at most BANDS buckets, so its list is short.
     scored = members.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("score"), F.collect_list("bucket").alias("buckets"))
-    state = materialise(scored.select("key", "score", F.explode("buckets").alias("bucket")), "buckets")
+    state = buckets = materialise(scored.select("key", "score", F.explode("buckets").alias("bucket")), "buckets")
     links = asked = None
     for _ in range(HUB_ROUNDS):
         hubs = state.groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -220,7 +262,11 @@ def _links(signed: DataFrame, reps: DataFrame) -> DataFrame:
         hit = links.withColumn("hit", F.lit(True))
         pair = rows.select("bucket", "key", "score", *_ordered("hub", "key"))
         state = pair.join(hit, ["a", "b"], "left").where("hit IS NULL").select("bucket", "key", "score")
-    return links
+    texts = materialise(_open_texts(buckets, links), "open")
+    if texts.isEmpty():
+        return links
+    rest = materialise(_prefix_pairs(texts, signed).join(asked, ["a", "b"], "left_anti"), "asked")
+    return links.unionByName(materialise(_verify(rest, signed), "linked"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> tuple[DataFrame, DataFrame]:
