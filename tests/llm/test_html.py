@@ -106,3 +106,13 @@ def test_large_hosts_are_spread_over_keys(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "http://a.org/", p) for i, p in enumerate(host_pages(30))], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert got == {i: f"Story {i}\nText {i} of page.\nMore {i}." for i in range(30)}
+
+
+def test_wrappers_see_all_pages_of_a_host_and_copies_once(spark):
+    pages = host_pages(40)
+    # Copies side by side, and one page with a block of a kind that no other page has.
+    rare = pages[7].replace("<p>More 7.", "<blockquote>Said once.</blockquote><p>More 7.")
+    rows = [(i, "http://a.org/", p) for i, p in enumerate([*(pages * 6), rare])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = [f"Story {i}\nText {i} of page.\nMore {i}." for i in range(40)] * 6
+    assert got == dict(enumerate([*want, "Story 7\nText 7 of page.\nSaid once.\nMore 7."]))

@@ -1,16 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are compared: their DOM trees are aligned by simple tree
-matching, which counts the most node pairs of equal tag that keep order and
-ancestry. Aligned blocks whose text is the same on most pages are template;
-aligned blocks whose text differs are slots. A page's main text is taken from
+Pages of one host are compared: blocks whose text is the same on most pages are
+template, blocks whose text differs are slots. A page's main text is taken from
 its article element, or where it has none from the slots of its host's wrapper,
 without elements that are menus, headers, footers, sidebars, notices, adverts,
 forms, comments or code by their tag, role, class or id, and without template.
 
-A wrapper comes from at most `SAMPLE_PAGES` pages of different titles, whatever
-the host's size, and is small; pages of a large host are spread over many keys
-when they meet it.
+A host's wrapper is counted over all of its pages: blocks at equal tag paths are
+taken as aligned, and copies of a page (equal titles) count once. Blocks that most
+titles share are template; a block that is the only one ever seen at its path is
+no slot. `induce` aligns the trees of a few pages in full. Pages of a large host
+are spread over many keys when they meet its wrapper.
 
 Defined cases: a null or empty page has the empty text. A null or hostless URL
 has no wrapper. Markup that is cut off or not closed is read as far as it goes,
@@ -26,21 +26,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, spread_join, text_of
 
-SAMPLE_PAGES = 6
 #: Fewer pages of different titles make no wrapper.
 LEAST_PAGES = 3
-#: Share of the sample on which a block must be the same to be template.
+#: Share of the titles on which a block must be the same to be template.
 SAME_SHARE = 0.6
 #: A wrapper that takes more than this share of an article's characters is not
-#: applied to it: the sampled pages were copies of it.
+#: applied to it: most pages were copies of it.
 MOST_TEMPLATE = 0.5
 #: Child lists of more pairs than this are aligned place by place.
 MOST_PAIRS = 250_000
@@ -311,13 +309,17 @@ def _title(root: Node) -> str:
     return ""
 
 
+def _page_title(root: Node, main: tuple[Node, str] | None) -> str:
+    return (blocks(*main) or [("", "")])[0][1] if main else _title(root)
+
+
 def induce(pages: list[str]) -> tuple[list[int], list[int]]:
     """Keys of template blocks (path and text) and of slots (path) of one host's pages."""
     trees, titles = [], set()
     for page in pages:
         root = parse(page)
         main = _main_node(root)
-        title = (blocks(*main) or [("", "")])[0][1] if main else _title(root)
+        title = _page_title(root, main)
         if title not in titles:
             titles.add(title)
             trees.append(_Tree(root, ""))
@@ -339,8 +341,11 @@ def induce(pages: list[str]) -> tuple[list[int], list[int]]:
     return sorted(template), sorted({_key(path, "") for path in varied})
 
 
-def main_text(page: str | None, template=frozenset(), slots=frozenset()) -> str:
-    """The main text of one page, given its host's wrapper."""
+def main_text(page: str | None, template=frozenset(), slots=frozenset(), fixed=frozenset()) -> str:
+    """The main text of one page, given its host's wrapper.
+
+    `fixed` are blocks without variation at their path; a path that no page of the wrapper had is kept.
+    """
     if not page:
         return ""
     root = parse(page)
@@ -352,7 +357,9 @@ def main_text(page: str | None, template=frozenset(), slots=frozenset()) -> str:
             found = own
     else:
         found = own or found
-        found = [b for b in found if _key(b[0], "") in slots] or found
+        if slots:
+            found = [b for b in found if _key(b[0], "") in slots] or found
+        found = [b for b in found if _key(*b) not in fixed] or found
     return "\n".join(t for _, t in found)
 
 
@@ -365,20 +372,37 @@ def host_of(url: str):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """`host`, `template`, `slots` and `n`, the pages of the host, from `host` and `html`."""
+    """`host`, `template`, `fixed` and `n`, the pages of the host, from `host` and `html`."""
     sizes = materialise(pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
-    draw = F.pmod(F.xxhash64("html", F.lit(3)), F.lit(1_000_000))
-    # Few enough pages of a large host that ranking them is cheap.
-    drawn = pages.join(sizes, "host").where(draw * F.col("n") < F.lit(4 * SAMPLE_PAGES * 1_000_000))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(draw, "html"))
-    sample = drawn.select("host", "html", rank.alias("r")).where(F.col("r") <= SAMPLE_PAGES)
 
-    def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        template, slots = induce(group.sort_values("r")["html"].tolist())
-        return pd.DataFrame({"host": [key[0]], "template": [template], "slots": [slots]})
-
-    learned = sample.groupBy("host").applyInPandas(learn, "host string, template array<long>, slots array<long>")
-    return materialise(learned.join(sizes, "host"), "wrappers")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = []
+                for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    root = parse(page)
+                    main = _main_node(root)
+                    title = _key("", _page_title(root, main))
+                    found = set(blocks(root)) | set(blocks(*main) if main else ())
+                    rows.append((host, None, None, title))  # counts the titles
+                    rows += [(host, _key(path, ""), _key(path, text), title) for path, text in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h", "p", "b", "title"])
+
+    seen = pages.where("host <> ''").select(F.xxhash64("host").alias("h"), "html").mapInArrow(read, "h long, p long, b long, title long")
+    support = seen.distinct().groupBy("h", "p", "b").agg(F.count(F.lit(1)).alias("c"))
+    block = F.when(F.col("c") >= LEAST_PAGES, F.struct("b", "c"))
+    paths = support.groupBy("h", "p").agg(F.collect_list(block).alias("blocks"), (F.min("b") == F.max("b")).alias("alone"))
+    hosts = paths.groupBy("h").agg(
+        F.max(F.when(F.col("p").isNull(), F.get("blocks", F.lit(0))["c"])).alias("titles"),
+        F.flatten(F.collect_list(F.when(F.col("p").isNotNull(), F.col("blocks")))).alias("blocks"),
+        F.flatten(F.collect_list(F.when(F.col("p").isNotNull() & F.col("alone"), F.col("blocks")))).alias("fixed"),
+    )
+    learned = hosts.where("titles IS NOT NULL").select(
+        "h", F.expr(f"transform(filter(blocks, x -> x.c >= {SAME_SHARE} * titles), x -> x.b)").alias("template"), F.col("fixed.b").alias("fixed")
+    )
+    named = sizes.withColumn("h", F.xxhash64("host"))
+    return materialise(named.join(learned, "h").select("host", "template", "fixed", "n"), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -393,17 +417,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         sets: dict[tuple, frozenset] = {}
         for batch in batches:
             texts = []
-            for host, page, template, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template", "slots"))):
+            for host, page, template, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template", "fixed"))):
                 if host not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[host] = (frozenset(template or ()), frozenset(slots or ()))
-                texts.append(main_text(page, *sets[host]))
+                    sets[host] = (frozenset(template or ()), frozenset(fixed or ()))
+                texts.append(main_text(page, sets[host][0], fixed=sets[host][1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 [id_col, "url", "text", "n_chars"],
             )
 
-    return joined.select("id", "url", "html", "host", "template", "slots").mapInArrow(
+    return joined.select("id", "url", "html", "host", "template", "fixed").mapInArrow(
         run, f"`{id_col}` {kind}, url string, text string, n_chars long"
     )
