@@ -20,6 +20,27 @@ def test_an_entry_on_the_bar_of_an_exit_never_happens():
     assert controls.walk_schedule([(1, 3, 1), (4, 6, -1)], 7) == [0, 1, 1, 0, -1, -1, 0]
 
 
+def test_the_random_entry_control_takes_sixteen_draws_and_counts_those_beaten(spark, monkeypatch):
+    from tidemark.plans import engine_queries, queries
+
+    walk = bars.synthetic_walk(spark, [29, 31], 300)
+    trades = spark.createDataFrame([(r.instrument, 10, 60, 1) for r in walk.select("instrument").distinct().collect()], "instrument string, opened int, closed int, direction int")
+    curve = replay.equity(controls.random_entry_targets(walk, trades, 99), engine_queries.SPEC, engine_queries.COSTS)
+    for name, value in (("bars_1h", walk), ("_bar_trades", trades), ("sma_cross", curve)):
+        monkeypatch.setattr(engine_queries, name, lambda *_, value=value: value)
+    got = {r.instrument: r for r in queries.QUERIES["random_entry"](spark, "").collect()}
+
+    def final(targets):
+        rows = replay.equity(targets, engine_queries.SPEC, engine_queries.COSTS).orderBy("ts_open").collect()
+        return {r.instrument: r.equity for r in rows}
+
+    drawn, own = [final(controls.random_entry_targets(walk, trades, i)) for i in range(16)], final(controls.random_entry_targets(walk, trades, 99))
+    assert len(got) == 2
+    for name, r in got.items():
+        values = sorted(d[name] for d in drawn)
+        assert (r.final_equity, r.draws, r.draws_beaten) == (values[7], 16, sum(own[name] > v for v in values))
+
+
 def test_a_planted_leak_is_caught(spark):
     from pyspark.sql import Window
     from pyspark.sql import functions as F

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+#: Draws of the random-entry control.
+RANDOM_ENTRY_DRAWS = 16
 
 
 def fnv1a(text: str) -> int:
@@ -62,21 +64,27 @@ def random_entry_targets(bars: DataFrame, trades: DataFrame, seed: int, start: i
 
     `trades` has instrument, opened and closed as bar numbers, and direction.
     """
+    return random_entry_draws(bars, trades, [seed], start).drop("draw")
+
+
+def random_entry_draws(bars: DataFrame, trades: DataFrame, seeds: list[int], start: int = 0) -> DataFrame:
+    """`random_entry_targets` of each of some seeds, which stand in `draw`."""
     episodes = trades.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("opened", "closed", "direction"))).alias("e"))
     joined = bars.select("instrument", "ts_open", "open", "high", "low", "close").join(episodes, "instrument", "left")
+    joined = joined.withColumn("draw", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_open").reset_index(drop=True)
         e = pdf["e"].iloc[0]
         e = [] if e is None else [(int(x["opened"]), int(x["closed"]), int(x["direction"])) for x in e]
         holds = [max(1, c - max(o, start)) for o, c, _ in e]
-        key = fnv1a(f"{pdf['instrument'].iloc[0]}|{seed}")
+        key = fnv1a(f"{pdf['instrument'].iloc[0]}|{pdf['draw'].iloc[0]}")
         placed = random_schedule(holds, start, len(pdf) - start, key) if e else []
         pdf["target"] = walk_schedule([(a, b, d) for (a, b), (_, _, d) in zip(placed, e)], len(pdf))
         return pdf.drop(columns=["e"])
 
-    return joined.groupBy("instrument").applyInPandas(
-        run, "instrument string, ts_open long, open long, high long, low long, close long, target int"
+    return joined.groupBy("instrument", "draw").applyInPandas(
+        run, "instrument string, ts_open long, open long, high long, low long, close long, draw long, target int"
     )
 
 
@@ -95,3 +103,11 @@ def lower_median(draws: DataFrame, keys: list[str], value: str, seed: str) -> Da
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     rows = draws.withColumn("rn", rn).withColumn("n", n)
     return rows.where(F.col("rn") == F.expr("(n - 1) div 2") + 1).drop("rn", "n")
+
+
+def median_draw(draws: DataFrame, own: DataFrame, keys: list[str], value: str, seed: str) -> DataFrame:
+    """The lower median draw, how many draws there are and how many of them the value in `own` is above."""
+    beaten = draws.join(own.select(*keys, F.col(value).alias("__own")), keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("draws"), F.count_if(F.col("__own") > F.col(value)).alias("draws_beaten")
+    )
+    return lower_median(draws, keys, value, seed).join(beaten, keys)

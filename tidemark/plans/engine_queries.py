@@ -526,12 +526,10 @@ def _bar_trades(spark, d):
 def _(spark, d):
     b = bars_1h(spark, d)
     trades = _bar_trades(spark, d)
-    out = None
-    for draw in range(4):
-        curve = replay.equity(controls.random_entry_targets(b, trades, draw), SPEC, COSTS)
-        one = curve.groupBy("instrument").agg(F.max_by("equity", "ts_open").alias("final_equity")).withColumn("draw", F.lit(draw))
-        out = one if out is None else out.unionByName(one)
-    return controls.lower_median(out, ["instrument"], "final_equity", "draw")
+    final = F.max_by("equity", "ts_open").alias("final_equity")
+    targets = controls.random_entry_draws(b, trades, list(range(controls.RANDOM_ENTRY_DRAWS)))
+    draws = replay.equity(targets, SPEC, COSTS, ("instrument", "draw")).groupBy("instrument", "draw").agg(final)
+    return controls.median_draw(draws, sma_cross(spark, d).groupBy("instrument").agg(final), ["instrument"], "final_equity", "draw")
 
 
 @query("full_sample_leak", f"""WITH {B1H}, z AS (SELECT instrument, avg(close) AS m, stddev_pop(close) AS s FROM b1h GROUP BY 1)
