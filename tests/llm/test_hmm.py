@@ -121,3 +121,19 @@ def test_empty_table(spark):
     held = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     rows = hmm.score_documents(held).collect()
     assert rows and {(r.train_tokens, r.n_known, r.base_score) for r in rows} == {(0, 0, 0.0)}
+
+
+def test_all_rounds_see_all_texts_whole(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(3800)] + ["a b c " * 300, "a b c " * 300]
+    sizes = []
+    real = hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    hmm.score_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = sum(len(t.split()) + 1 for t in learned)
+    k = hmm.STATES
+    assert len(sizes) == 9
+    for counts in sizes:  # one start a text, a transition between all neighbours, all tokens emitted
+        sums = counts[:k].sum(), counts[k : k + k * k].sum(), counts[k + k * k : -1].sum()
+        assert np.allclose(sums, (len(learned), tokens - len(learned), tokens))

@@ -42,10 +42,10 @@ STATES = 8
 OWN, SHARED = 2048, 256
 #: Words whose counts are broadcast.
 HEAD = 262_144
-#: About how many texts the first rounds see; the last rounds see all training texts.
-SAMPLE_TEXTS, SAMPLE_ROUNDS, FULL_ROUNDS = 3000, 7, 2
-#: Training sequences are cut after so many tokens, scored ones never.
-TRAIN_SPAN = 256
+#: Baum-Welch rounds, all over all training texts; none is on a sample any more, the names are those that tests set.
+SAMPLE_ROUNDS, FULL_ROUNDS = 7, 2
+#: Sequences that are aligned in one go, at most; fewer where their number times the longest length passes GROUP_CELLS.
+GROUP, GROUP_CELLS = 1024, 262_144
 SEED = 20240101
 END = b""
 N_SYMBOLS = 1 + OWN + SHARED
@@ -144,8 +144,11 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     emit = np.ascontiguousarray(model.emit.T)
     total = 0.0
-    for lo in range(0, len(order), 1024):
-        group = [sequences[i] for i in order[lo : lo + 1024]]
+    lo = 0
+    while lo < len(order):
+        size = max(1, min(GROUP, GROUP_CELLS // len(sequences[order[lo]])))
+        group = [sequences[i] for i in order[lo : lo + size]]
+        lo += size
         lengths = np.array([len(s) for s in group])
         span = int(lengths[0])
         symbols = np.zeros((span, len(group)), np.int64)
@@ -275,47 +278,53 @@ def _index(shared) -> dict[bytes, int]:
     return _LOADED[shared.value[0]]
 
 
-def _round(train: DataFrame, shared, model: Model) -> np.ndarray:
-    """Expected counts over all of `train`, summed by partition and then over partitions."""
+def _encoded(train: DataFrame, shared) -> DataFrame:
+    """`s`, the symbols of each training text as 16-bit numbers, so that rounds do not look words up again."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, lexicon = _index(shared), shared.value[1]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                texts = whole.column(0).slice(at, 1024)
+                found = [np.append(_symbols(index, lexicon, words_of(t.as_py()))[1], 0).astype(np.int16).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["s"])
+
+    return materialise(train.select("t").mapInArrow(encode, "s binary"), "symbols")
+
+
+def _round(encoded: DataFrame, model: Model) -> np.ndarray:
+    """Expected counts over all of `encoded`, summed by partition and then over partitions."""
     n = STATES + STATES**2 + STATES * N_SYMBOLS + 1
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, lexicon = _index(shared), shared.value[1]
-        total, spans, held = np.zeros(n), [], 0
+        total, sequences, held = np.zeros(n), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                symbols = np.append(_symbols(index, lexicon, words_of(text.as_py()))[1], 0)
-                for at in range(0, len(symbols), TRAIN_SPAN):
-                    spans.append(symbols[at : at + TRAIN_SPAN])
-                held += len(symbols)
+            for s in batch.column(0):
+                sequences.append(np.frombuffer(s.as_py(), np.int16))
+                held += len(sequences[-1])
                 if held > 400_000:
-                    total += expected_counts(model, spans)
-                    spans, held = [], 0
-        if spans:
-            total += expected_counts(model, spans)
+                    total += expected_counts(model, sequences)
+                    sequences, held = [], 0
+        if sequences:
+            total += expected_counts(model, sequences)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], ["i", "x"])
 
     out = np.zeros(n)
     # At most n rows, whatever the size of the corpus.
-    found = train.select("t").mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    found = encoded.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     out[found.column("i").to_numpy()] = found.column("x").to_numpy()
     return out
 
 
 def train_model(train: DataFrame, shared, symbol_counts: np.ndarray) -> Model:
-    """First rounds on a hashed sample, the last over all training texts."""
+    """All rounds over all training texts, each text as one sequence."""
     model = first_model(symbol_counts)
-    n_texts = int(symbol_counts[0])
-    if not n_texts:
+    if not symbol_counts[0]:
         return model
-    sample = train
-    if n_texts > SAMPLE_TEXTS:
-        share = max(1, round(1_000_000 * SAMPLE_TEXTS / n_texts))
-        sample = materialise(train.where(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(1_000_000)) < share).select("t"), "sample")
-    for data, rounds in ((sample, SAMPLE_ROUNDS), (train, FULL_ROUNDS)):
-        for _ in range(rounds):
-            model = reestimate(_round(data, shared, model), STATES, N_SYMBOLS)
+    encoded = _encoded(train, shared)
+    for _ in range(SAMPLE_ROUNDS + FULL_ROUNDS):
+        model = reestimate(_round(encoded, model), STATES, N_SYMBOLS)
     return model
 
 
