@@ -20,6 +20,7 @@ beside id and text are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,19 +37,52 @@ END_ID = 1
 #: Width of a length class in tokens.
 CLASS_WIDTH = 16
 FILLER_SHARE = 16
-#: Words after which the older half of the tokenizer's memo is dropped.
-MEMO_WORDS = 600_000
+#: Words that the tokenizer's memo holds at most, and the longest one that it keeps.
+MEMO_WORDS, LONGEST_KEPT = 800_000, 32
 #: Stretch of the filler stream that is matched with gaps by one join key.
 BUCKET = 8192
 #: Running totals over sequences are taken in at most about so many blocks.
 MAX_BLOCKS = 8192
 
 
-class WordTokenizer:
-    """Ids of a tokenizer whose pieces never hold white space, word by word.
+#: Words of these characters are encoded by the merges alone: the normalizer
+#: only lowers their case, and how they are split is known.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's pieces of such a word in lower case.
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-    Words seen before are looked up; new ones are encoded in batches.
-    """
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+
+
+_NAMES = _byte_names()
+
+
+class _Words(dict):
+    """Packed ids by word. Two generations: what is used stays, the rest goes; long words are never kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.old.get(word)
+        if packed is None:
+            packed = self.encode(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= MEMO_WORDS // 2:
+                self.old = dict(self)
+                self.clear()
+            self[word] = packed
+        return packed
+
+
+class WordTokenizer:
+    """Ids of a tokenizer whose pieces never hold white space, word by word; words seen before are looked up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,37 +90,35 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = self.tokenizer.model
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind = np.dtype("<u2" if self.small else "<u4")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = _Words(self._encode_word)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+    def _encode_word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self._encode(word)
+        low = word.lower()
+        pieces = (low,) if low.isalpha() else _PIECES.findall(low)
+        if len(pieces) > 1:
+            return b"".join(map(self.words.__getitem__, pieces))
+        piece = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(_NAMES)
+        return np.array([t.id for t in self.merges.tokenize(piece)], self.kind).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as packed little-endian numbers of `kind`."""
-        # The characters \\x1c-\\x1f are white space to str.split only.
-        odd = [i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        skip = set(odd)
-        words = [[] if i in skip else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
-        if len(self.new) > MEMO_WORDS // 2:
-            self.old, self.new = self.new, {}
-        missing = []
-        for word in set().union(*words).difference(self.new):
-            known = self.old.get(word)
-            if known is None:
-                missing.append(word)
+        get = self.words.__getitem__
+        out = []
+        for text in texts:
+            # The characters \x1c-\x1f are white space to str.split only.
+            if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                out.append(self._encode(text))
             else:
-                self.new[word] = known
-        if missing:
-            self.new.update(zip(missing, self._encode(missing)))
-        get = self.new.__getitem__
-        packed = [b"".join(map(get, w)) for w in words]
-        for i in odd:
-            packed[i] = self._encode([texts[i]])[0]
-        return packed
+                out.append(b"".join(map(get, (text.lower() if text.isascii() else text).split())))
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -123,16 +155,22 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(total[room]), pattern
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, max_rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a row each) and how often each is used to cover `demand` exactly.
 
     The linear program is solved by the revised simplex method with a column
-    priced in each round; its counts are rounded down and the rest of the
-    demand is placed by first fit, longest class first.
+    priced in each round, until no column is worth more than a sequence; its
+    counts are rounded down and the rest of the demand is placed by first fit,
+    longest class first. A round that does not shorten the plan any more is
+    degenerate; after twice as many of them in a row as there are classes the plan at
+    hand is taken, so that rounding noise cannot make it go round in circles.
     """
     basis = np.diag(room // sizes).astype(float)
     count = demand / np.diag(basis)
-    for _ in range(max_rounds):
+    least, idle = np.inf, 0
+    while idle <= 2 * len(sizes):
+        idle = idle + 1 if count.sum() >= least - 1e-9 else 0
+        least = min(least, count.sum())
         prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
         value, column = best_pattern(prices, sizes, room)
         if value <= 1 + 1e-9:
