@@ -83,8 +83,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, head):
     """With a head of three words the rest goes through the join; nothing else changes."""
     monkeypatch.setattr(hmm, "HEAD", head)
     monkeypatch.setattr(hmm, "OWN", 3)
-    monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 1)
-    monkeypatch.setattr(hmm, "FULL_ROUNDS", 1)
+    monkeypatch.setattr(hmm, "ROUNDS", 2)
     texts = ["The cat the dog", "a b c a", None, "", "cat é É dog\tthe\x0bend", "unseen zzz zzz", "the the the"] * 3
     rows = [(i, t, 1, 0.5) for i, t in enumerate(texts)] + [(None, "cat", 1, 0.5), (4, texts[4], 1, 0.5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, token int, score double").repartition(3)

@@ -42,10 +42,14 @@ STATES = 8
 OWN, SHARED = 2048, 256
 #: Words whose counts are broadcast.
 HEAD = 262_144
-#: Baum-Welch rounds, all over all training texts; none is on a sample any more, the names are those that tests set.
-SAMPLE_ROUNDS, FULL_ROUNDS = 7, 2
+#: Baum-Welch rounds, all over all training texts.
+ROUNDS = 9
 #: Sequences that are aligned in one go, at most; fewer where their number times the longest length passes GROUP_CELLS.
-GROUP, GROUP_CELLS = 1024, 262_144
+GROUP, GROUP_CELLS = 2048, 1_000_000
+#: Tokens whose sequences are sorted by length together, about.
+POOL = 4_000_000
+#: Steps of the recursions between two scalings; probabilities of so many steps are far from underflow.
+SCALE_EVERY = 8
 SEED = 20240101
 END = b""
 N_SYMBOLS = 1 + OWN + SHARED
@@ -85,39 +89,44 @@ class Model:
 
 
 def forward_log10(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each whole symbol sequence (none is empty)."""
+    """log10 likelihood of each whole symbol sequence (none is empty).
+
+    Alphas are kept with a column for each sequence, longest first, and scaled
+    in every `SCALE_EVERY`th step and where sequences end.
+    """
     order = np.argsort([-len(s) for s in sequences], kind="stable")
-    lengths = np.array([len(sequences[i]) for i in order])
     out = np.zeros(len(sequences))
     if not len(order):
         return out
-    emit = np.ascontiguousarray(model.emit.T)
-    flat = np.concatenate([sequences[i] for i in order])
+    lengths = np.array([len(sequences[i]) for i in order])
+    flat = np.concatenate([sequences[i] for i in order]).astype(np.intp)
     at = np.cumsum(lengths) - lengths
-    alpha = model.start * emit[flat[at]]
+    back = np.ascontiguousarray(model.move.T)
+    live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
+    alpha = model.start[:, None] * model.emit.take(flat[at], axis=1)
     log = np.zeros(len(order))
-    t, last = 0, int(lengths[0])
-    while True:
-        scale = alpha.sum(axis=1)
-        log[: len(alpha)] += np.log10(scale)
-        alpha /= scale[:, None]
-        t += 1
-        if t == last:
+    for t in range(int(lengths[0])):
+        n = live[t]
+        if t:
+            alpha = (back @ alpha[:, :n]) * model.emit.take(flat[at[:n] + t], axis=1)
+        ended = t + 1 == len(live) or live[t + 1] < n
+        if ended or t % SCALE_EVERY == SCALE_EVERY - 1:
+            scale = alpha.sum(axis=0)
+            log[:n] += np.log10(scale)
+            alpha /= scale
+        if not ended and n <= 4 and lengths[0] - t > 1024:
+            scale = alpha.sum(axis=0)
+            log[:n] += np.log10(scale)
+            for i in range(n):
+                log[i] += _finish(model, alpha[:, i] / scale[i], flat[at[i] + t + 1 : at[i] + lengths[i]])
             break
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        alpha = alpha[:live]
-        if live <= 4 and last - t > 1024:
-            for i in range(live):
-                log[i] += _finish(model, emit, alpha[i], flat[at[i] + t : at[i] + lengths[i]])
-            break
-        alpha = (alpha @ model.move) * emit[flat[at[:live] + t]]
     out[order] = log
     return out
 
 
-def _finish(model: Model, emit: np.ndarray, alpha: np.ndarray, symbols: np.ndarray) -> float:
+def _finish(model: Model, alpha: np.ndarray, symbols: np.ndarray) -> float:
     """The rest of one long recursion, by products of blocks of step matrices."""
-    total = 0.0
+    total, emit = 0.0, np.ascontiguousarray(model.emit.T)
     for lo in range(0, len(symbols), 16384):
         steps = model.move[None] * emit[symbols[lo : lo + 16384]][:, None, :]
         log = 0.0
@@ -137,12 +146,16 @@ def _finish(model: Model, emit: np.ndarray, alpha: np.ndarray, symbols: np.ndarr
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Start, move and emission counts of one round, flat, and the log10 likelihood at the end."""
-    k = len(model.start)
-    start, move = np.zeros(k), np.zeros((k, k))
-    emission = np.zeros((k, model.emit.shape[1]))
+    """Start, move and emission counts of one round, flat, and the log10 likelihood at the end.
+
+    Forward values are scaled in every `SCALE_EVERY`th step and in the last step
+    of each sequence, backward values by the same scales, so that their product
+    is the posterior of the state at every step.
+    """
+    k, n_symbols = model.emit.shape
+    start, move, emission = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_symbols))
+    back = np.ascontiguousarray(model.move.T)
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    emit = np.ascontiguousarray(model.emit.T)
     total = 0.0
     lo = 0
     while lo < len(order):
@@ -151,32 +164,36 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
         lo += size
         lengths = np.array([len(s) for s in group])
         span = int(lengths[0])
-        symbols = np.zeros((span, len(group)), np.int64)
+        symbols = np.zeros((span, len(group)), np.intp)
         for i, s in enumerate(group):
             symbols[: len(s), i] = s
         live = np.searchsorted(-lengths, -np.arange(span), side="left")
-        alphas = np.zeros((span, len(group), k))
-        scales = np.ones((span, len(group)))
+        alphas = np.zeros((span, k, len(group)))
+        scales: dict[int, np.ndarray] = {}
         for t in range(span):
             n = live[t]
-            a = emit[symbols[t, :n]] * (model.start if t == 0 else alphas[t - 1, :n] @ model.move)
-            scales[t, :n] = a.sum(axis=1)
-            alphas[t, :n] = a / scales[t, :n, None]
-        total += float(np.log10(scales).sum())
-        beta = np.ones((len(group), k))
+            seen = model.emit.take(symbols[t, :n], axis=1)
+            a = np.multiply(seen, back @ alphas[t - 1, :, :n] if t else model.start[:, None], out=alphas[t, :, :n])
+            if t % SCALE_EVERY == SCALE_EVERY - 1 or t + 1 == span or live[t + 1] < n:
+                scales[t] = a.sum(axis=0)
+                a /= scales[t]
+                total += float(np.log10(scales[t]).sum())
+        beta = np.ones((k, len(group)))
         for t in range(span - 1, 0, -1):
             n, m = live[t], live[t - 1]
-            ahead = emit[symbols[t, :n]] * beta[:n] / scales[t, :n, None]
-            move += model.move * (alphas[t - 1, :n].T @ ahead)
-            alphas[t, :n] *= beta[:n]  # now the posterior of the state
-            beta[:n] = ahead @ model.move.T
-            beta[n:m] = 1.0
+            ahead = model.emit.take(symbols[t, :n], axis=1)
+            ahead *= beta[:, :n]
+            if t in scales:
+                ahead /= scales[t]
+            move += model.move * (alphas[t - 1, :, :n] @ ahead.T)
+            alphas[t, :, :n] *= beta[:, :n]  # now the posterior of the state
+            beta[:, :n] = model.move @ ahead
+            beta[:, n:m] = 1.0
         alphas[0] *= beta
-        start += alphas[0].sum(axis=0)
-        mask = np.arange(len(group))[None, :] < live[:, None]
-        seen, gamma = symbols[mask], alphas[mask]
-        for s in range(k):
-            emission[s] += np.bincount(seen, gamma[:, s], emission.shape[1])
+        start += alphas[0].sum(axis=1)
+        flat = symbols.ravel()
+        for s in range(k):  # where a sequence has ended its posteriors are zero
+            emission[s] += np.bincount(flat, alphas[:, s, :].ravel(), n_symbols)
     return np.concatenate([start, move.ravel(), emission.ravel(), [total]])
 
 
@@ -235,13 +252,34 @@ def _count_tokens(train: DataFrame) -> DataFrame:
     return materialise(partial.groupBy("token", "symbol").agg(F.sum("c").alias("c")), "counts")
 
 
+def _least_head_count(counts: DataFrame) -> int:
+    """The least count with which at most `HEAD` words are as frequent or more.
+
+    Counts are gathered in classes, exact ones below 4,096 and 64 for each
+    doubling above, so that a bounded number of rows decides and no task sorts words.
+    """
+    c = F.col("c")
+    exact = 4096
+    above = exact + F.floor(F.log2(c / exact) * 64).cast("long")
+    classes = counts.where(F.length("token") > 0).groupBy(F.when(c < exact, c).otherwise(above).alias("class"))
+    found = sorted(((r["class"], r["n"], r["least"]) for r in classes.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()), reverse=True)
+    least, n = (1 << 62), 0
+    for _, here, low in found:
+        n += here
+        if n > HEAD:
+            break
+        least = low
+    return least
+
+
 def _lexicon(counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     # At most HEAD rows.
-    head = counts.where(F.length("token") > 0).orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-    words = head.column("token").to_pylist()
-    c = np.array(head.column("c").to_pylist(), np.int64)
-    shared = np.array(head.column("symbol").to_pylist(), np.int64)
+    head = counts.where((F.length("token") > 0) & (F.col("c") >= _least_head_count(counts))).toArrow()
+    ranked = sorted(zip(head.column("token").to_pylist(), head.column("c").to_pylist(), head.column("symbol").to_pylist()), key=lambda x: (-x[1], x[0]))
+    words = [w for w, _, _ in ranked]
+    c = np.array([n for _, n, _ in ranked], np.int64)
+    shared = np.array([s for _, _, s in ranked], np.int64)
     own = min(OWN, len(words))
     symbols = shared.copy()
     symbols[:own] = 1 + np.arange(own)
@@ -278,97 +316,113 @@ def _index(shared) -> dict[bytes, int]:
     return _LOADED[shared.value[0]]
 
 
-def _encoded(train: DataFrame, shared) -> DataFrame:
-    """`s`, the symbols of each training text as 16-bit numbers, so that rounds do not look words up again."""
+_ENCODED = "row long, n_tokens long, known long, base double, inner double, tail array<struct<token: binary, n: int>>, s binary"
+_ENCODED_NAMES = ["row", "n_tokens", "known", "base", "inner", "tail", "s"]
+_TAIL = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
+
+
+def _encode(source: DataFrame, shared) -> DataFrame:
+    """All that a text's words are looked up for, once: `s` are its symbols as 16-bit numbers.
+
+    `known` and `base` are over the words in the broadcast head, `inner` their
+    log probabilities within shared symbols, `tail` the words that the head lacks.
+    """
+    kind = source.schema["id"].dataType.simpleString()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _TAIL, pa.binary())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, lexicon = _index(shared), shared.value[1]
+        index, lexicon, end_count = _index(shared), shared.value[1], shared.value[2]
+        log_c = np.log10(lexicon.counts + 1.0)
+        log_mass = np.log10(lexicon.shared_mass)
+        per_token = math.log10(lexicon.n_tokens + lexicon.n_distinct + 1)
+        row = TaskContext.get().partitionId() << 36
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                texts = whole.column(0).slice(at, 1024)
-                found = [np.append(_symbols(index, lexicon, words_of(t.as_py()))[1], 0).astype(np.int16).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["s"])
+                batch = whole.slice(at, 1024)
+                columns: list[list] = [[] for _ in kinds]
+                for text in batch.column(1):
+                    words = words_of(text.as_py())
+                    place, symbols = _symbols(index, lexicon, words)
+                    in_head = place >= 0
+                    tail = Counter(words[i] for i in np.flatnonzero(~in_head))
+                    logs = log_c[place[in_head]]
+                    grouped = symbols > OWN
+                    inner = float(logs[grouped[in_head]].sum()) - float(log_mass[symbols[grouped]].sum())
+                    base = float(logs.sum()) + math.log10(end_count + 1) - (len(words) + 1) * per_token
+                    known = int(in_head.sum()) + (end_count > 0)
+                    rest = [{"token": w, "n": n} for w, n in tail.items()]
+                    packed = np.append(symbols, 0).astype(np.int16).tobytes()
+                    for column, value in zip(columns, (row, len(words) + 1, known, base, inner, rest, packed)):
+                        column.append(value)
+                    row += 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds))],
+                    ["id", "held_out", *_ENCODED_NAMES],
+                )
+
+    return source.select("id", "t", "held_out").mapInArrow(encode, f"id {kind}, held_out boolean, {_ENCODED}")
 
-    return materialise(train.select("t").mapInArrow(encode, "s binary"), "symbols")
 
+def _pools(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches with their symbol sequences, about `POOL` tokens at a time."""
+    held: list[pa.RecordBatch] = []
+    sequences: list[np.ndarray] = []
+    tokens = 0
+    for batch in batches:
+        found = [np.frombuffer(s.as_py(), np.int16) for s in batch.column(column)]
+        held.append(batch)
+        sequences += found
+        tokens += sum(map(len, found))
+        if tokens > POOL:
+            yield held, sequences
+            held, sequences, tokens = [], [], 0
+    if sequences:
+        yield held, sequences
 
-def _round(encoded: DataFrame, model: Model) -> np.ndarray:
-    """Expected counts over all of `encoded`, summed by partition and then over partitions."""
+
+def _round(train: DataFrame, model: Model) -> np.ndarray:
+    """Expected counts over all symbol sequences, summed by partition and then over partitions."""
     n = STATES + STATES**2 + STATES * N_SYMBOLS + 1
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sequences, held = np.zeros(n), [], 0
-        for batch in batches:
-            for s in batch.column(0):
-                sequences.append(np.frombuffer(s.as_py(), np.int16))
-                held += len(sequences[-1])
-                if held > 400_000:
-                    total += expected_counts(model, sequences)
-                    sequences, held = [], 0
-        if sequences:
+        total = np.zeros(n)
+        for _, sequences in _pools(batches, 0):
             total += expected_counts(model, sequences)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], ["i", "x"])
 
     out = np.zeros(n)
     # At most n rows, whatever the size of the corpus.
-    found = encoded.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    found = train.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     out[found.column("i").to_numpy()] = found.column("x").to_numpy()
     return out
 
 
-def train_model(train: DataFrame, shared, symbol_counts: np.ndarray) -> Model:
-    """All rounds over all training texts, each text as one sequence."""
+def train_model(train: DataFrame, symbol_counts: np.ndarray) -> Model:
+    """All rounds over all training texts (`s`), each text as one sequence."""
     model = first_model(symbol_counts)
-    if not symbol_counts[0]:
-        return model
-    encoded = _encoded(train, shared)
-    for _ in range(SAMPLE_ROUNDS + FULL_ROUNDS):
-        model = reestimate(_round(encoded, model), STATES, N_SYMBOLS)
+    if symbol_counts[0]:
+        for _ in range(ROUNDS):
+            model = reestimate(_round(train, model), STATES, N_SYMBOLS)
     return model
 
 
-_SCORED = "row long, n_tokens long, known long, base double, score double, tail array<struct<token: binary, n: int>>"
-
-
-def _score(source: DataFrame, shared, model: Model) -> DataFrame:
-    """What the broadcast head gives for each text, and the words that it lacks."""
-    kind = source.schema["id"].dataType.simpleString()
-    tail_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
+def _score(encoded: DataFrame, model: Model) -> DataFrame:
+    """`row`, `id` and the other columns of each text, with the log probability of its symbols in `forward`."""
+    kind = encoded.schema["id"].dataType.simpleString()
+    names = ["row", "id", "held_out", "n_tokens", "known", "base", "inner"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, lexicon = _index(shared), shared.value[1]
-        end_count = shared.value[2]
-        log_c = np.log10(lexicon.counts + 1.0)
-        log_mass = np.log10(lexicon.shared_mass)
-        per_token = math.log10(lexicon.n_tokens + lexicon.n_distinct + 1)
-        row = TaskContext.get().partitionId() << 36
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                sequences, columns = [], [[] for _ in range(6)]
-                for text in batch.column(1):
-                    words = words_of(text.as_py())
-                    place, symbols = _symbols(index, lexicon, words)
-                    in_head = place >= 0
-                    tail = Counter(words[i] for i in np.flatnonzero(~in_head))
-                    logs = log_c[place[in_head]]
-                    grouped = symbols > OWN
-                    inner = float(logs[grouped[in_head]].sum()) - float(log_mass[symbols[grouped]].sum())
-                    base = float(logs.sum()) + math.log10(end_count + 1) - (len(words) + 1) * per_token
-                    sequences.append(np.append(symbols, 0))
-                    values = (row, len(words) + 1, int(in_head.sum()) + (end_count > 0), base, inner, [{"token": w, "n": n} for w, n in tail.items()])
-                    for column, value in zip(columns, values):
-                        column.append(value)
-                    row += 1
-                columns[4] = (np.array(columns[4]) + forward_log10(model, sequences)).tolist()
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail_type)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds))],
-                    ["id", "held_out", "row", "n_tokens", "known", "base", "score", "tail"],
-                )
+        for held, sequences in _pools(batches, len(names)):
+            logs = pa.array(forward_log10(model, sequences), pa.float64())
+            at = 0
+            for batch in held:
+                columns = [batch.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, logs.slice(at, batch.num_rows)], [*names, "forward"])
+                at += batch.num_rows
 
-    return source.select("id", "t", "held_out").mapInArrow(score, f"id {kind}, held_out boolean, {_SCORED}")
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, inner double, forward double"
+    return encoded.select(*names, "s").mapInArrow(score, schema)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -377,19 +431,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(
         F.col(id_col).alias("id"), text_of(text_col).alias("t"), (crc_remainder(id_col, folds) == held_fold).alias("held_out")
     )
-    train = source.where(~F.col("held_out"))
-    counts = _count_tokens(train)
+    counts = _count_tokens(source.where(~F.col("held_out")))
     lexicon, symbol_counts = _lexicon(counts)
     shared = spark.sparkContext.broadcast((id(lexicon) ^ SEED, lexicon, int(symbol_counts[0])))
-    model = train_model(train, shared, symbol_counts)
-    scored = materialise(_score(source, shared, model), "scored")
-    tail = scored.select("row", F.explode("tail").alias("w")).select("row", "w.token", "w.n")
+    encoded = materialise(_encode(source, shared), "encoded")
+    model = train_model(encoded.where(~F.col("held_out")).select("s"), symbol_counts)
+    tail = encoded.select("row", F.explode("tail").alias("w")).select("row", "w.token", "w.n")
     tail = tail.join(counts.select("token", "c"), "token", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     sums = tail.groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k")
     )
     more = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("tail").join(sums, "row", "left").select(
+    return _score(encoded, model).join(sums, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(lexicon.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(lexicon.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
+        (F.col("inner") + F.col("forward") + more).alias("score"),
     )
