@@ -1,17 +1,23 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from tidemark.llm import neardup
 from tidemark.llm.components import connected
 
 
-def shingle_set(text):
+def shingle_counts(text):
     words = (text or "").encode().lower().split()
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def brute_classes(rows):
+def brute_classes(rows, weighting="count"):
     """Least id of each row's component under similarity of at least 0.8."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_counts(t) for _, t in rows]
+    if weighting == "binary":
+        sets = [Counter(set(s)) for s in sets]
+    totals = [s.total() for s in sets]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -21,8 +27,8 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            shared = len(sets[i] & sets[j])
-            if shared * 5 >= (len(sets[i]) + len(sets[j]) - shared) * 4:
+            shared = (sets[i] & sets[j]).total() if min(totals[i], totals[j]) * 5 >= max(totals[i], totals[j]) * 4 else 0
+            if shared * 5 >= (totals[i] + totals[j] - shared) * 4:
                 parent[find(i)] = find(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -47,6 +53,9 @@ def fixture():
     for i in range(12):  # each near the one before, the ends far apart
         rows.append((len(rows), " ".join(chain)))
         chain[8 * i % 100 : 8 * i % 100 + 3] = [f"c{i}", f"d{i}", f"e{i}"]
+    line = list(rng.choice(words, 40))
+    for n in (1, 2, 9, 10, 11):  # one line repeated: the same shingles, but not as often
+        rows.append((len(rows), " ".join(line * n)))
     shared = list(rng.choice(words, 60))
     for _ in range(20):  # one passage in texts that are otherwise different
         rows.append((len(rows), " ".join(shared + list(rng.choice(words, 60)))))
@@ -56,16 +65,20 @@ def fixture():
     return rows
 
 
-def test_classes_equal_brute_force_and_one_of_each_is_kept(spark):
+@pytest.mark.parametrize("weighting", ["count", "binary"])
+def test_classes_equal_brute_force_and_one_of_each_is_kept(spark, weighting, monkeypatch):
+    monkeypatch.setattr(neardup, "PER_HUB", 7)
     rows = fixture()
-    docs = spark.createDataFrame([(*r, "clash", 5) for r in rows], "doc_id long, text string, key string, class_id int").repartition(5)
-    got = neardup.near_duplicates(docs).collect()
-    want = brute_classes(rows)
+    clash = "doc_id long, text string, key string, class_id int, __key int, __id int, hub string, links int"
+    docs = spark.createDataFrame([(*r, "clash", 5, 6, None, "h", 0) for r in rows], clash).repartition(5)
+    got = neardup.near_duplicates(docs, weighting=weighting).collect()
+    want = brute_classes(rows, weighting)
     key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)
     assert sorted(((r.doc_id, r.class_id) for r in got), key=key) == sorted(((r[0], w) for r, w in zip(rows, want)), key=key)
     sizes = {r.doc_id: (r.class_rows, r.class_texts) for r in got}
     assert sizes[48] == (60, 60) and sizes[900] == (3, 1) and sizes[907] == (3, 1)
-    kept = neardup.keep_one_of_each(docs)
+    assert sum(r.links for r in got if r.doc_id is not None and 48 <= r.doc_id < 108) >= 2 * 59 and {r.links for r in got if r.doc_id in (900, 903)} <= {0, 1}
+    kept = neardup.keep_one_of_each(docs, weighting=weighting)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({w for w in want if w is not None}) and ids.count(None) == 1
@@ -85,6 +98,19 @@ def test_pairs_between_members_of_a_crowd_are_found(spark):
     assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == brute_classes(rows)
 
 
+def test_pairs_just_above_the_limit_in_a_crowd_just_below_it(spark):
+    """All texts share a passage and are 0.79 similar; partners share ten shingles more and are 0.82 similar."""
+    rows, passage = [], [f"p{i}" for i in range(445)]
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(10)]
+        for side in "ab":
+            rows.append((len(rows), " ".join([*passage, *own, *[f"{side}{i}x{j}" for j in range(49)]])))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_classes(rows)
+    assert want == [i - i % 2 for i in range(180)]
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == 0

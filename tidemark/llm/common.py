@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,14 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by `spark.checkpoint.dir`. Only where that is unset, as
-    in local tests, a temporary folder is made and set as checkpoint folder.
+    It is the one named by `spark.checkpoint.dir`. Only where that is unset and
+    driver and executors are one process, as in local tests, a temporary folder
+    is made and set as checkpoint folder; on a cluster RuntimeError is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -76,22 +80,60 @@ def crc_remainder(col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, per_part: int, most_hot: int = 10_000) -> DataFrame:
-    """Left join of `left` with the rows of `right`, unique by `key`, without hot keys.
+#: A key with less than one in so many of all rows needs no split: tasks hold more than that anyway.
+HOT_SHARE = 10_000
 
-    `right` has the column `n`, how many rows of `left` have the key. The keys
-    with most rows, at most `most_hot`, are spread over a part for each
-    `per_part` of them; all others, however many, have the part 0.
+
+def hot_keys(sizes: DataFrame, key: str, per_part: int) -> DataFrame:
+    """`key` and `__parts`, two or more, of the keys that have many of the rows, from `key` and `n`.
+
+    Each has more than one in `HOT_SHARE` of all rows, so there are fewer than
+    `HOT_SHARE` of them and the result may be broadcast, whatever the size of the data.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    least = max(per_part, total // HOT_SHARE)
+    return sizes.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("__parts"))
+
+
+def _parted(rows: DataFrame, hot: DataFrame, key: str, salt: Column) -> DataFrame:
+    """`rows` with `__part`, by `salt` for hot keys, else 0."""
+    part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(salt), F.col("__parts")).cast("int"))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+
+
+def _in_each_part(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """`rows`, unique by `key`, once for each `__part` of their key."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("__part", every).drop("__parts")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, per_part: int) -> DataFrame:
+    """Left join of `left`, a scan of files, with the rows of `right`, unique by `key`, without hot keys.
+
+    `right` has the column `n`, how many rows of `left` have the key.
+    """
+    hot = hot_keys(right, key, per_part)
+    salted = _parted(left, hot, key, F.monotonically_increasing_id())
+    return salted.join(_in_each_part(right.drop("n"), hot, key), [key, "__part"], "left").drop("__part")
+
+
+def behind_leaders(rows: DataFrame, leaders: DataFrame, sizes: DataFrame, key: str, per_part: int, salt: Column) -> DataFrame:
+    """`rows` and `leaders` in one stream: in each task, a key's leader (`__side` 0) comes right before its rows (1).
+
+    Leaders are unique by key. A leader is sent once to each part of its key,
+    not once for each row, and no task has to hold a group. `sizes` has `key`
+    and `n`, the rows by key; columns that one side lacks are null there.
     """
-    parts = F.ceil(F.col("n") / per_part).cast("int")
-    hot = right.select(key, parts.alias("__parts")).where("__parts > 1").orderBy(F.desc("__parts"), key).limit(most_hot)
-    spread = (
-        right.join(F.broadcast(hot), key, "left")
-        .withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
-        .drop("__parts", "n")
-    )
-    part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")).cast("int")
-    )
-    salted = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
-    return salted.join(spread, [key, "__part"], "left").drop("__part")
+    hot = hot_keys(sizes, key, per_part)
+    first = _in_each_part(leaders, hot, key).withColumn("__side", F.lit(0))
+    after = _parted(rows, hot, key, salt).withColumn("__side", F.lit(1))
+    both = first.unionByName(after, allowMissingColumns=True)
+    return both.repartition(key, "__part").sortWithinPartitions(key, "__part", "__side")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it as long as a column of that name is taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
