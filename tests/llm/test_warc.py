@@ -17,6 +17,24 @@ def test_keys():
     assert warc.surt(None) == ""
 
 
+def test_key_column_equals_key_function(spark):
+    rng = random.Random(3)
+    parts = ["http://", "https://", "//", "www.", "Ex", "ample", ".com", ".", ":80", ":8080", ":443", "/", "?", "#", "@", "a=b", "é", "\n", ":", "-"]
+    urls = ["".join(rng.choices(parts, k=rng.randint(0, 8))) for _ in range(800)] + [None, "", "https://Blog.Example.com:443/a/b?x=1#top"]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    for row in frame.select("url", warc.surt_column("url").alias("key")).collect():
+        assert row.key == warc.surt(row.url), row.url
+
+
+def test_ids_of_other_types(spark):
+    for kind, ids in (("string", ["b", "a", "c"]), ("int", [2, 1, 3])):
+        pages = spark.createDataFrame([(i, "http://a.org/", "<p>") for i in ids], f"page_id {kind}, url string, html string")
+        out = warc.round_trip(pages)
+        assert out.schema["refers_to"].dataType == pages.schema["page_id"].dataType
+        first = min(ids)
+        assert {(r.page_id, r.refers_to) for r in out.collect()} == {(i, None if i == first else first) for i in ids}
+
+
 def test_records_round_trip_and_damage_is_found():
     payload = "<p>é\r\n\r\nx</p>".encode()
     data = warc.record(5, "http://a b/\n", payload, warc.digest_of(payload)) + warc.record(6, None, payload, warc.digest_of(payload), 5)
@@ -57,9 +75,12 @@ def test_archives_index_and_lookups(spark, monkeypatch, copies):
     pages.count()
     folder = work_folder(spark, "test")
     directory = warc.write_archives(pages, folder)
-    got = warc.read_archives(directory, folder).collect()
+    keys = pages.select(warc.surt_column("url").alias("key")).distinct()
+    got = warc.look_up_keys(keys, directory, folder).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
-    blocks = [warc.Block(r.first_key, r.shard, r.offset, r.size) for r in directory.orderBy("first_key", "shard", "offset").collect()]
+    few = warc.look_up_keys(spark.createDataFrame([("com,hot)/",), ("org,absent)/",)], "key string"), directory, folder)
+    assert few.count() == 30
+    blocks = [warc.Block(r.first_key, r.last_key, r.shard, r.offset, r.size) for r in directory.orderBy("shard", "offset").collect()]
     assert len(blocks) > 5
     for url in {r[1] for r in rows if r[1]}:
         found = sorted(h["WARC-Record-ID"] for h, _ in warc.lookup(folder, blocks, url))

@@ -117,10 +117,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, per_part: int) -> D
     return salted.join(_in_each_part(right.drop("n"), hot, key), [key, "__part"], "left").drop("__part")
 
 
-def behind_leaders(rows: DataFrame, leaders: DataFrame, sizes: DataFrame, key: str, per_part: int, salt: Column) -> DataFrame:
+def behind_leaders(rows: DataFrame, leaders: DataFrame, sizes: DataFrame, key: str, per_part: int, salt: Column, order: tuple[str, ...] = ()) -> DataFrame:
     """`rows` and `leaders` in one stream: in each task, a key's leader (`__side` 0) comes right before its rows (1).
 
-    Leaders are unique by key. A leader is sent once to each part of its key,
+    Leaders are unique by key, rows follow in the given order. A leader is sent once to each part of its key,
     not once for each row, and no task has to hold a group. `sizes` has `key`
     and `n`, the rows by key; columns that one side lacks are null there.
     """
@@ -128,7 +128,7 @@ def behind_leaders(rows: DataFrame, leaders: DataFrame, sizes: DataFrame, key: s
     first = _in_each_part(leaders, hot, key).withColumn("__side", F.lit(0))
     after = _parted(rows, hot, key, salt).withColumn("__side", F.lit(1))
     both = first.unionByName(after, allowMissingColumns=True)
-    return both.repartition(key, "__part").sortWithinPartitions(key, "__part", "__side")
+    return both.repartition(key, "__part").sortWithinPartitions(key, "__part", "__side", *order)
 
 
 def free_name(name: str, taken: list[str]) -> str:
