@@ -1,22 +1,28 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are compared: blocks whose text is the same on most pages are
-template, blocks whose text differs are slots. A page's main text is taken from
-its article element, or where it has none from the slots of its host's wrapper,
-without elements that are menus, headers, footers, sidebars, notices, adverts,
-forms, comments or code by their tag, role, class or id, and without template.
-
-A host's wrapper is counted over all of its pages: blocks at equal tag paths are
-taken as aligned, and copies of a page (equal titles) count once. Blocks that most
-titles share are template; a block that is the only one ever seen at its path is
-no slot. `induce` aligns the trees of a few pages in full. Pages of a large host
-are spread over many keys when they meet its wrapper.
+Pages of one host are compared. For each host a few pages of its commonest
+skeletons are seeds; every page is aligned by simple tree matching with the seed
+that fits best. Blocks whose text is the same on most pages are template, blocks
+whose text differs are slots. The main region is where most of the slots' text
+lies: from the root, the element that holds most of it is entered as long as it
+holds nearly all and is not itself a list of blocks. Article and main elements
+and the names of classes only weigh that text up or down. A page's main text is
+what it has in the region, template left out, and never what lies in menus,
+headers, footers, sidebars, notices, adverts, forms, comments or code by its
+tag, role, class or id, unless the region itself lies there.
+
+All pages of a host are aligned and counted; copies of a page (equal longest
+blocks) count once. A page of which nothing falls into the region, and a host of
+too few pages, are read by their article or main element, or else whole.
 
 Defined cases: a null or empty page has the empty text. A null or hostless URL
-has no wrapper. Markup that is cut off or not closed is read as far as it goes,
-and tags that end others by rule do. Repeated rows are read one by one; columns
-beside id, url and html are not read. White space inside a block, also at a
-line break element, is one space; blocks are joined by one line feed.
+has no wrapper. Markup that is cut off, not closed or nested at any depth is
+read as far as it goes, and tags that end others by rule do. Constant blocks of
+a region whose constant text outweighs its slots are content: that host's pages
+are near copies. Equal weights go to the first in page order. Repeated rows are
+read one by one; columns beside id, url and html are not read. White space
+inside a block, also at a line break element, is one space; blocks are joined by
+one line feed.
 """
 
 from __future__ import annotations
@@ -24,26 +30,34 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join, text_of
+from .common import behind_leaders, materialise, spread_join, text_of
 
-#: Fewer pages of different titles make no wrapper.
+#: Fewer different pages make no wrapper.
 LEAST_PAGES = 3
-#: Share of the titles on which a block must be the same to be template.
+#: Share of the pages on which a block must be the same to be template.
 SAME_SHARE = 0.6
-#: A wrapper that takes more than this share of an article's characters is not
-#: applied to it: most pages were copies of it.
-MOST_TEMPLATE = 0.5
-#: Child lists of more pairs than this are aligned place by place.
-MOST_PAIRS = 250_000
+#: Pages of a host, each of another skeleton, that its pages are aligned with.
+SEEDS = 3
+#: Share of an element's slot text that one child must hold to be entered.
+DOMINANT = 0.6
+#: Weights of slot text in article or main elements, and in elements whose names mark what surrounds an article.
+MAIN_WEIGHT, NAMED_WEIGHT = 4.0, 0.25
+#: Seeds of all hosts together up to this size are broadcast; beyond it they are sent ahead of their host's pages.
+SEED_BYTES = 16 << 20
 #: Pages of one host that share a join key.
 PAGES_PER_KEY = 2000
+#: Alignments of child lists with more cells than this are split in two, which needs memory of one row.
+TABLE_CELLS = 4_000_000
+#: Seeds held back in a task while it looks for the commonest skeletons.
+HELD_BYTES = 32 << 20
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,17 +98,18 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "dropped", "children", "is_main")
+    __slots__ = ("tag", "name", "dropped", "named", "is_main", "has_heading", "children")
 
-    def __init__(self, tag: str, name: str = "", dropped: bool = False, is_main: bool = False):
-        self.tag, self.name, self.dropped, self.is_main = tag, name, dropped, is_main
+    def __init__(self, tag: str, name: str = "", dropped: bool = False, named: bool = False, is_main: bool = False):
+        self.tag, self.name, self.dropped, self.named, self.is_main = tag, name, dropped, named, is_main
+        self.has_heading = False
         self.children: list[Node | str] = []
 
 
 def _element(tag: str, raw: str) -> Node:
     dropped = tag in DROPPED_TAGS
     if not raw.strip():
-        return Node(tag, "", dropped, tag in ("article", "main"))
+        return Node(tag, "", dropped, False, tag in ("article", "main") and not dropped)
     given = {}
     for key, value in _ATTRIBUTE.findall(raw):
         given.setdefault(key.lower(), entities.unescape(value.strip("\"'")))
@@ -105,16 +120,33 @@ def _element(tag: str, raw: str) -> Node:
     dropped = (
         dropped or role in DROPPED_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true"
         or "display:none" in style or "visibility:hidden" in style
-        or (tag not in ("html", "body", "article", "main") and bool(parts & DROPPED_NAMES))
     )
+    named = tag not in ("html", "body", "article", "main") and bool(parts & DROPPED_NAMES)
     is_main = tag in ("article", "main") or role in ("main", "article") or "articlebody" in given.get("itemprop", "").lower()
-    return Node(tag, ".".join(sorted(name.split())), dropped, is_main and not dropped)
+    return Node(tag, ".".join(sorted(name.split())), dropped, named, is_main and not dropped and not named)
 
 
 def parse(page: str) -> Node:
     """The DOM of a page; text is kept with character references decoded."""
     root = Node("#root")
     stack = [root]
+    opened: Counter = Counter()
+
+    def cut(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
+    def close(tags: tuple[str, ...], scope, all_of_them: bool) -> None:
+        i = len(stack) - 1
+        while i > 0 and any(opened[t] for t in tags):
+            if stack[i].tag in tags:
+                cut(i)
+                if not all_of_them:
+                    return
+            elif stack[i].tag in scope:
+                return
+            i -= 1
+
     at, size = 0, len(page)
     while at < size:
         token = _TOKEN.search(page, at)
@@ -128,16 +160,22 @@ def parse(page: str) -> Node:
             continue
         tag = token[2].lower()
         if token[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                cut(i)
             continue
         if tag in ENDS_P:
-            _close(stack, ("p",), SCOPE)
+            close(("p",), SCOPE, False)
         if tag in ENDS:
-            _close(stack, ENDS[tag], SCOPE - {*ENDS[tag]})
+            close(ENDS[tag], SCOPE - {*ENDS[tag]}, True)
         node = _element(tag, token[3])
+        if tag in ("h1", "h2"):
+            for above in reversed(stack):
+                if above.has_heading:
+                    break
+                above.has_heading = True
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -149,218 +187,325 @@ def parse(page: str) -> Node:
                 closing = page.find(">", at)
                 at = closing + 1 if closing >= 0 else size
         elif tag not in VOID and not token[3].endswith("/"):
+            opened[tag] += 1
             stack.append(node)
     return root
 
 
-def _close(stack: list[Node], tags: tuple[str, ...], scope) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return _close(stack, tags, scope) if tags != ("p",) else None
-        if stack[i].tag in scope:
-            return None
-
+# ---------------------------------------------------------------- outlines
 
-# ---------------------------------------------------------------- blocks
 
+class Page:
+    """A DOM reduced to its block elements in page order, and the text blocks with their elements.
 
-def _has_heading(node: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag in ("h1", "h2") or _has_heading(c)) for c in node.children)
-
-
-def blocks(node: Node, path: str = "") -> list[tuple[str, str]]:
-    """(path, text) of each non-empty block below a node, in page order, without dropped elements."""
-    out: list[tuple[str, str]] = []
-    pending: list[str] = []
-
-    def flush(where: str) -> None:
-        text = " ".join("".join(pending).split())
-        pending.clear()
-        if text:
-            out.append((where, text))
+    `named` is the innermost element around each (or itself) that its names
+    mark as no content, -1 where there is none. `shape` stands for the tags
+    below an element, `full` for tags and text.
+    """
 
-    # An explicit stack: pages nest deeper than Python calls may.
-    work: list[tuple] = [(node, path, 0, False)]
-    while work:
-        current, where, i, is_block = work.pop()
-        if i == len(current.children):
-            if is_block:
-                flush(where)
-            elif current.tag in ("td", "th"):
+    def __init__(self, root: Node):
+        self.label, self.parent, self.kids = ["#root"], [-1], [[]]
+        self.named, self.is_main, self.heading = [-1], [False], [False]
+        self.blocks: list[tuple[int, str]] = []
+        pending: list[str] = []
+
+        def flush(element: int) -> None:
+            text = " ".join("".join(pending).split())
+            pending.clear()
+            if text:
+                self.blocks.append((element, text))
+
+        # An explicit stack: pages nest deeper than Python calls may.
+        work: list[list] = [[root, 0, 0, True]]
+        while work:
+            node, i, element, is_block = top = work[-1]
+            if i == len(node.children):
+                work.pop()
+                if is_block:
+                    flush(element)
+                elif node.tag in ("td", "th"):
+                    pending.append(" ")
+                continue
+            top[1] += 1
+            child = node.children[i]
+            if isinstance(child, str):
+                pending.append(child)
+            elif child.tag == "br":
                 pending.append(" ")
+            # A header inside an article is the article's own if it holds its heading.
+            elif child.dropped or (child.tag == "header" and not child.has_heading):
+                if child.tag not in INLINE:
+                    flush(element)
+            elif child.tag in INLINE:
+                if not child.named:
+                    work.append([child, 0, element, False])
+            else:
+                flush(element)
+                new = len(self.label)
+                self.label.append(f"{child.tag}.{child.name}")
+                self.parent.append(element)
+                self.kids.append([])
+                self.kids[element].append(new)
+                self.named.append(new if child.named else self.named[element])
+                self.is_main.append(child.is_main)
+                self.heading.append(child.tag in ("h1", "h2"))
+                work.append([child, 0, new, True])
+        own: list[list[str]] = [[] for _ in self.label]
+        for element, text in self.blocks:
+            own[element].append(text)
+        n = len(self.label)
+        self.size, self.shape, self.full = [1] * n, [0] * n, [0] * n
+        for e in range(n - 1, -1, -1):
+            kids = self.kids[e]
+            self.size[e] += sum(self.size[k] for k in kids)
+            self.shape[e] = hash((self.label[e], *(self.shape[k] for k in kids)))
+            self.full[e] = hash((self.shape[e], *own[e], *(self.full[k] for k in kids)))
+
+    def sums(self, own: list[float]) -> list[float]:
+        """Totals over the subtree of each element."""
+        out = list(own)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def main_element(self) -> int:
+        """The article element that holds most text, or else the main element; 0, the whole page, without either."""
+        chars = [0] * len(self.label)
+        for element, text in self.blocks:
+            chars[element] += len(text) if self.named[element] < 0 else 0
+        total = self.sums(chars)
+        found = [e for e, yes in enumerate(self.is_main) if yes and self.named[e] < 0]
+        found = [e for e in found if not self.label[e].startswith("main.")] or found
+        return max(found, key=total.__getitem__, default=0)
+
+
+def outline(page: str | None) -> Page:
+    return Page(parse(page or ""))
+
+
+# ---------------------------------------------------------------- simple tree matching
+
+
+def _in_order(row: Callable[[int], np.ndarray], m: int, n: int) -> list[tuple[int, int]]:
+    """Pairs (i, j), rising in both, of the greatest total weight; `row(i)` are the weights of i with all j."""
+
+    def step(before: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        now = before.copy()
+        np.maximum(before[1:], before[:-1] + weights, out=now[1:])
+        return np.maximum.accumulate(now, out=now)
+
+    out: list[tuple[int, int]] = []
+    work = [(0, m, 0, n)]
+    while work:
+        a, b, c, d = work.pop()
+        if a == b or c == d:
             continue
-        work.append((current, where, i + 1, is_block))
-        child = current.children[i]
-        if isinstance(child, str):
-            pending.append(child)
-            continue
-        if child.tag == "br":
-            pending.append(" ")
-            continue
-        # A header inside an article is the article's own if it holds its heading.
-        if child.dropped or (child.tag == "header" and not _has_heading(child)):
-            if child.tag not in INLINE:
-                flush(where)
+        if (b - a) * (d - c) > TABLE_CELLS and b - a > 1:
+            middle = (a + b) // 2
+            first = last = np.zeros(d - c + 1, np.int64)
+            for i in range(a, middle):
+                first = step(first, row(i)[c:d])
+            for i in range(b - 1, middle - 1, -1):
+                last = step(last, row(i)[c:d][::-1])
+            cut = c + int((first + last[::-1]).argmax())
+            work += [(middle, b, cut, d), (a, middle, c, cut)]
             continue
-        if child.tag in INLINE:
-            work.append((child, where, 0, False))
-        else:
-            flush(where)
-            work.append((child, f"{where}/{child.tag}{'.' * bool(child.name)}{child.name}", 0, True))
-    flush(path)
+        best = [np.zeros(d - c + 1, np.int64)]
+        for i in range(a, b):
+            best.append(step(best[-1], row(i)[c:d]))
+        table = [x.tolist() for x in best]
+        i, j = b - a, d - c
+        while i and j:
+            if table[i][j] == table[i][j - 1]:
+                j -= 1
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((a + i, c + j))
     return out
 
 
-def _main_node(root: Node) -> tuple[Node, str] | None:
-    """The article element that holds most text, or else the main element."""
-    found: list[tuple[Node, str]] = []
-    work = [(root, "")]
-    while work:
-        node, path = work.pop()
-        for child in node.children:
-            if isinstance(child, Node) and not child.dropped:
-                where = f"{path}/{child.tag}{'.' * bool(child.name)}{child.name}"
-                if child.is_main:
-                    found.append((child, where))
-                work.append((child, where))
-    articles = [f for f in found if f[0].tag != "main"] or found
-    return max(articles, key=lambda f: sum(len(t) for _, t in blocks(*f)), default=None)
-
-
-def _key(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - (1 << 63)
-
-
-# ---------------------------------------------------------------- wrapper induction
-
-
-class _Tree:
-    """A DOM reduced to elements, with the own block text of each."""
-
-    __slots__ = ("tag", "path", "text", "children", "size")
-
-    def __init__(self, node: Node, path: str):
-        self.tag, self.path = f"{node.tag}.{node.name}", path
-        inner = [c for c in node.children if isinstance(c, str) or c.tag in INLINE]
-        self.text = " ".join("".join(map(_inline_text, inner)).split())
-        self.children = [
-            _Tree(c, f"{path}/{c.tag}{'.' * bool(c.name)}{c.name}")
-            for c in node.children
-            if isinstance(c, Node) and c.tag not in INLINE and not (c.tag in RAW or c.tag == "head")
-        ] if path.count("/") < 200 else []
-        self.size = 1 + sum(c.size for c in self.children)
-
-
-def _inline_text(node) -> str:
-    if isinstance(node, str):
-        return node
-    if node.tag == "br":
-        return " "
-    return "" if node.dropped else "".join(map(_inline_text, node.children))
-
-
-def match(a: _Tree, b: _Tree) -> tuple[int, list[tuple[_Tree, _Tree]]]:
-    """Simple tree matching: the most pairs of equal tag, and these pairs."""
-    if a.tag != b.tag:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    if m * n > MOST_PAIRS:
-        rows = [match(x, y) for x, y in zip(a.children, b.children)]
-        return 1 + sum(r[0] for r in rows), [(a, b), *(p for r in rows for p in r[1])]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        x, row, above = a.children[i], best[i + 1], best[i]
-        for j in range(n):
-            y = b.children[j]
-            top = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if x.tag == y.tag:
-                # Leaves of equal tag match as one pair; equal texts are preferred.
-                w = match(x, y) if x.children and y.children else (1, [(x, y)])
-                found[i, j] = w
-                score = above[j] + 2 * w[0] + (x.text == y.text)
-                if score > top:
-                    top = score
-            row[j + 1] = top
-    pairs: list = [(a, b)]
-    i, j, total = m, n, 1
-    while i and j:
-        w = found.get((i - 1, j - 1))
-        x, y = a.children[i - 1], b.children[j - 1]
-        if w and best[i][j] == best[i - 1][j - 1] + 2 * w[0] + (x.text == y.text):
-            pairs += w[1]
-            total += w[0]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return total, pairs
-
-
-def _title(root: Node) -> str:
-    work = [root]
-    while work:
-        node = work.pop()
-        if node.tag == "title":
-            return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
-        work += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return ""
-
-
-def _page_title(root: Node, main: tuple[Node, str] | None) -> str:
-    return (blocks(*main) or [("", "")])[0][1] if main else _title(root)
-
-
-def induce(pages: list[str]) -> tuple[list[int], list[int]]:
-    """Keys of template blocks (path and text) and of slots (path) of one host's pages."""
-    trees, titles = [], set()
-    for page in pages:
-        root = parse(page)
-        main = _main_node(root)
-        title = _page_title(root, main)
-        if title not in titles:
-            titles.add(title)
-            trees.append(_Tree(root, ""))
-    if len(trees) < LEAST_PAGES:
-        return [], []
-    need = max(LEAST_PAGES, SAME_SHARE * len(trees))
-    template: set[int] = set()
-    varied: Counter = Counter()
-    for i, tree in enumerate(trees):
-        same: Counter = Counter()
-        for j, other in enumerate(trees):
-            if i != j:
-                for x, y in match(tree, other)[1]:
-                    if x.text and x.text == y.text:
-                        same[id(x), x.path, x.text] += 1
-                    elif x.text:
-                        varied[x.path] += 1
-        template |= {_key(path, text) for (_, path, text), n in same.items() if n + 1 >= need}
-    return sorted(template), sorted({_key(path, "") for path in varied})
-
-
-def main_text(page: str | None, template=frozenset(), slots=frozenset(), fixed=frozenset()) -> str:
-    """The main text of one page, given its host's wrapper.
-
-    `fixed` are blocks without variation at their path; a path that no page of the wrapper had is kept.
+class Matcher:
+    """Simple tree matching of pages with one seed; weights are kept by pairs of shapes."""
+
+    def __init__(self, seed: Page):
+        self.seed = seed
+        self.known: dict[tuple[int, int], int] = {}
+
+    def _children(self, page: Page, x: int, y: int, missing: list | None = None) -> list[tuple[int, int]] | None:
+        """Matched children of x and y; None if weights are missing, which are then appended to `missing`."""
+        seed = self.seed
+        left, right = page.kids[x], seed.kids[y]
+        lo, up = 0, 0
+        trim = [(page.full, seed.full)]
+        if len(left) * len(right) > 10_000:
+            # Children of equal shape at either end match in some best matching; which texts meet does not matter then.
+            trim.append((page.shape, seed.shape))
+        for mine, its in trim:
+            while lo < min(len(left), len(right)) - up and mine[left[lo]] == its[right[lo]]:
+                lo += 1
+            while up < min(len(left), len(right)) - lo and mine[left[-1 - up]] == its[right[-1 - up]]:
+                up += 1
+        pairs = list(zip(left[:lo], right[:lo]))
+        if up:
+            pairs += zip(left[-up:], right[-up:])
+        left, right = left[lo : len(left) - up], right[lo : len(right) - up]
+        if not left or not right:
+            return pairs
+        shapes_l = {page.shape[k]: k for k in left}
+        shapes_r = {seed.shape[k]: k for k in right}
+        weights = np.zeros((len(shapes_l), len(shapes_r)), np.int64)
+        lacks = False
+        for i, (sl, kl) in enumerate(shapes_l.items()):
+            for j, (sr, kr) in enumerate(shapes_r.items()):
+                if page.label[kl] != seed.label[kr]:
+                    continue
+                w = page.size[kl] if sl == sr else self.known.get((sl, sr))
+                if w is None:
+                    lacks = True
+                    if missing is not None:
+                        missing.append((kl, kr))
+                else:
+                    weights[i, j] = 2 * w
+        if lacks:
+            return None
+        places_l = {s: i for i, s in enumerate(shapes_l)}
+        places_r = {s: i for i, s in enumerate(shapes_r)}
+        column = np.array([places_r[seed.shape[k]] for k in right])
+        full = np.array([seed.full[k] for k in right])
+        # Equal texts decide between matchings of equal size.
+        row = lambda i: weights[places_l[page.shape[left[i]]]][column] + (full == page.full[left[i]])
+        return pairs + [(left[i], right[j]) for i, j in _in_order(row, len(left), len(right))]
+
+    def weight(self, page: Page, x: int, y: int) -> int:
+        """The most pairs of equal tags below and with x and y, in order."""
+        seed = self.seed
+        if page.label[x] != seed.label[y]:
+            return 0
+        work = [(x, y)]
+        while work:
+            a, b = work[-1]
+            key = (page.shape[a], seed.shape[b])
+            if key[0] == key[1] or key in self.known:
+                work.pop()
+                continue
+            missing: list[tuple[int, int]] = []
+            pairs = self._children(page, a, b, missing)
+            if pairs is None:
+                work += missing
+                continue
+            at = lambda p, q: page.size[p] if page.shape[p] == seed.shape[q] else self.known.get((page.shape[p], seed.shape[q]), 0)
+            self.known[key] = 1 + sum(at(p, q) for p, q in pairs)
+            work.pop()
+        return page.size[x] if page.shape[x] == seed.shape[y] else self.known[page.shape[x], seed.shape[y]]
+
+    def align(self, page: Page) -> list[int]:
+        """For each element of the page the seed's element that it matches, or -1."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        to = [-1] * len(page.label)
+        self.weight(page, 0, 0)
+        work = [(0, 0)]
+        while work:
+            x, y = work.pop()
+            if page.shape[x] == self.seed.shape[y] and page.full[x] == self.seed.full[y]:
+                to[x : x + page.size[x]] = range(y, y + page.size[x])
+                continue
+            to[x] = y
+            for p, q in self._children(page, x, y) or ():
+                if page.label[p] == self.seed.label[q]:
+                    self.weight(page, p, q)
+                    work.append((p, q))
+        return to
+
+
+# ---------------------------------------------------------------- pages beside their seeds
+
+
+def placed_blocks(page: Page, matchers: list[Matcher]) -> tuple[int, list[tuple[int, int, bool, int, bool, bool, str]]]:
+    """The seed that fits best (-1: none) and each text block as (v, j, extra, d, plain, heading, text).
+
+    v is the seed's element that holds the block or, if `extra`, the nearest one
+    around it; j counts the blocks of that element; d is the element that names
+    mark around it (-1: none, -2: one that the seed lacks); `plain` tells that
+    the block is in the page's own main element.
     """
-    if not page:
-        return ""
-    root = parse(page)
-    main = _main_node(root)
-    found = blocks(*main) if main else blocks(root)
-    own = [b for b in found if _key(*b) not in template]
-    if main:
-        if sum(len(t) for _, t in own) >= (1 - MOST_TEMPLATE) * sum(len(t) for _, t in found):
-            found = own
-    else:
-        found = own or found
-        if slots:
-            found = [b for b in found if _key(b[0], "") in slots] or found
-        found = [b for b in found if _key(*b) not in fixed] or found
-    return "\n".join(t for _, t in found)
+    best, to = -1, []
+    fit = -1.0
+    for i, matcher in enumerate(matchers):
+        found = matcher.align(page)
+        share = sum(v >= 0 for v in found) / (len(found) + len(matcher.seed.label))
+        if share > fit:
+            best, to, fit = i, found, share
+    main = page.main_element()
+    end = main + page.size[main]
+    out, seen = [], Counter()
+    for element, text in page.blocks:
+        named = page.named[element]
+        v = element
+        if to:
+            while to[v] < 0:
+                v = page.parent[v]
+        extra = v != element
+        j = 0 if extra else seen[element]
+        seen[element] += 1
+        d = -1 if named < 0 else (to[named] if to and to[named] >= 0 else -2)
+        out.append((to[v] if to else 0, j, extra, d, named < 0 and main <= element < end, page.heading[element], text))
+    return best, out
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page by itself, without a wrapper."""
+    return "\n".join(text for *_, plain, _, text in placed_blocks(outline(page), [])[1] if plain)
+
+
+# ---------------------------------------------------------------- wrappers
+
+
+def wrapper_of(seed: Page, pages: int, nodes: list[tuple[int, int, bool, int, int, int, int]]) -> tuple | None:
+    """(lo, hi, around, template, head) from the counts over `pages` different pages.
+
+    A node is (v, j, extra, mass, most, key, length): characters over all pages,
+    and on how many pages the commonest text stands, its key and its length.
+    [lo, hi) are the region's elements, `around` those that hold it, `template`
+    the (v, j, key) of constant blocks, and `head` tells that headings before the
+    region belong to it.
+    """
+    if pages < LEAST_PAGES:
+        return None
+    need = max(LEAST_PAGES, SAME_SHARE * pages)
+    slots, same, extras = ([0.0] * len(seed.label) for _ in range(3))
+    template = []
+    for v, j, extra, mass, most, key, length in nodes:
+        if not extra and most >= need:
+            template.append((v, j, key))
+            same[v] += most * length
+            mass -= most * length
+        slots[v] += mass
+        extras[v] += mass if extra else 0
+    inside = [False] * len(seed.label)
+    for e in range(len(seed.label)):
+        inside[e] = seed.is_main[e] or (e > 0 and inside[seed.parent[e]])
+    weights = [(MAIN_WEIGHT if m else 1.0) * (NAMED_WEIGHT if d >= 0 else 1.0) for m, d in zip(inside, seed.named)]
+    total = seed.sums([s * w for s, w in zip(slots, weights)])
+    if not total[0]:
+        return None
+    v, around = 0, [0]
+    while not seed.is_main[v]:
+        wide = [k for k in seed.kids[v] if seed.kids[k] or extras[k]]
+        top = max(wide, key=total.__getitem__, default=None)
+        if top is None or total[top] < DOMINANT * total[v]:
+            break
+        v = top
+        around.append(v)
+    end = v + seed.size[v]
+    own = [0.0 if seed.named[e] >= 0 and seed.named[e] not in around else 1.0 for e in range(v, end)]
+    constant = sum(s * w for s, w in zip(same[v:end], own))
+    varied = sum(s * w for s, w in zip(slots[v:end], own))
+    if constant > varied:
+        template = [t for t in template if not v <= t[0] < end]
+    return v, end, around, template, not (inside[v] or any(seed.heading[v:end]))
 
 
 # ---------------------------------------------------------------- stages
@@ -371,63 +516,162 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """`host`, `template`, `fixed` and `n`, the pages of the host, from `host` and `html`."""
-    sizes = materialise(pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+_SKELETON = re.compile(r"<((?:article|main|div|section|aside|header|form|table)\b[^>]*)>", re.I)
+
+
+def skeleton(page: str) -> int:
+    """Stands for the different opening tags of a page's containers, digits left out."""
+    tags = sorted({re.sub(r"\d+", "", t) for t in _SKELETON.findall(page)})
+    return xxhash.xxh3_64_intdigest("\n".join(tags)) - (1 << 63)
+
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeds(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`host`, `n`) of all hosts, and for hosts of enough pages `host` and `seeds`, pages of its commonest skeletons."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], list] = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(host, kind, n, order, page) for (host, kind), (n, order, page) in found.items()]
+            found.clear()
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["host", "kind", "n", "order", "html"]
+            )
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                order = xxhash.xxh3_64_intdigest(page) - (1 << 63)
+                kept = found.setdefault((host, skeleton(page)), [0, 1 << 62, ""])
+                kept[0] += 1
+                if order < kept[1] or not kept[2]:
+                    held += len(page) - len(kept[2])
+                    kept[1:] = order, page
+                if held > HELD_BYTES:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    some = source.where("host <> ''").select("host", "html").mapInArrow(count, "host string, kind long, n long, order long, html string")
+    kinds = some.groupBy("host", "kind").agg(F.sum("n").alias("n"), F.min_by("html", "order").alias("html"))
+    kinds = materialise(kinds, "skeletons")
+    hosts = materialise(kinds.groupBy("host").agg(F.sum("n").alias("n")), "hosts")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "kind"))
+    top = kinds.withColumn("rank", rank).where(F.col("rank") <= SEEDS)
+    seeds = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "html"))).alias("s"))
+    seeds = seeds.join(hosts.where(F.col("n") >= LEAST_PAGES).select("host").hint("merge"), "host", "left_semi")
+    return hosts, materialise(seeds.select("host", F.col("s.html").alias("seeds")), "seeds")
+
+
+_BLOCKS = "array<struct<v: int, j: int, extra: boolean, d: int, plain: boolean, heading: boolean, t: string>>"
+_BLOCK_TYPES = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_(), pa.string())
+_BLOCK_NAMES = ("v", "j", "extra", "d", "plain", "heading", "t")
+
+
+def _aligned(source: DataFrame, hosts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """`id`, `url`, `host`, the seed's number, a key of the page's longest block, and its placed blocks."""
+    spark = source.sparkSession
+    kind = source.schema["id"].dataType.simpleString()
+    size = seeds.agg(F.sum(F.expr("aggregate(seeds, 0L, (a, x) -> a + octet_length(x))"))).first()[0] or 0
+    if size <= SEED_BYTES:
+        shared = spark.sparkContext.broadcast({r["host"]: r["seeds"] for r in seeds.collect()})
+        rows = source.withColumn("seeds", F.lit(None).cast("array<string>"))
+    else:
+        shared = spark.sparkContext.broadcast({})
+        rows = behind_leaders(source, seeds, hosts, "host", PAGES_PER_KEY, F.monotonically_increasing_id())
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[Matcher]] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = []
-                for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    root = parse(page)
-                    main = _main_node(root)
-                    title = _key("", _page_title(root, main))
-                    found = set(blocks(root)) | set(blocks(*main) if main else ())
-                    rows.append((host, None, None, title))  # counts the titles
-                    rows += [(host, _key(path, ""), _key(path, text), title) for path, text in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h", "p", "b", "title"])
-
-    seen = pages.where("host <> ''").select(F.xxhash64("host").alias("h"), "html").mapInArrow(read, "h long, p long, b long, title long")
-    support = seen.distinct().groupBy("h", "p", "b").agg(F.count(F.lit(1)).alias("c"))
-    block = F.when(F.col("c") >= LEAST_PAGES, F.struct("b", "c"))
-    paths = support.groupBy("h", "p").agg(F.collect_list(block).alias("blocks"), (F.min("b") == F.max("b")).alias("alone"))
-    hosts = paths.groupBy("h").agg(
-        F.max(F.when(F.col("p").isNull(), F.get("blocks", F.lit(0))["c"])).alias("titles"),
-        F.flatten(F.collect_list(F.when(F.col("p").isNotNull(), F.col("blocks")))).alias("blocks"),
-        F.flatten(F.collect_list(F.when(F.col("p").isNotNull() & F.col("alone"), F.col("blocks")))).alias("fixed"),
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                id_type = batch.schema.field(0).type
+                out: list[list] = [[] for _ in range(5)]
+                blocks: list[list] = [[] for _ in _BLOCK_NAMES]
+                offsets = [0]
+                for page_id, url, host, page, given in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                    if given is not None:
+                        known = {host: [Matcher(outline(x)) for x in given]}
+                        continue
+                    if host not in known and host in shared.value:
+                        if len(known) >= 100:
+                            known.clear()
+                        known[host] = [Matcher(outline(x)) for x in shared.value[host]]
+                    seed, found = placed_blocks(outline(page), known.get(host, []))
+                    longest = max((b[-1] for b in found), key=len, default="")
+                    for column, value in zip(out, (page_id, url, host, seed, xxhash.xxh3_64_intdigest(longest) - (1 << 63))):
+                        column.append(value)
+                    for block in found:
+                        for column, value in zip(blocks, block):
+                            column.append(value)
+                    offsets.append(len(blocks[0]))
+                items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(blocks, _BLOCK_TYPES)], _BLOCK_NAMES)
+                types = (id_type, pa.string(), pa.string(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, t) for c, t in zip(out, types)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)],
+                    ["id", "url", "host", "seed", "longest", "blocks"],
+                )
+
+    placed = rows.select("id", "url", "host", "html", "seeds").mapInArrow(
+        align, f"id {kind}, url string, host string, seed int, longest long, blocks {_BLOCKS}"
     )
-    learned = hosts.where("titles IS NOT NULL").select(
-        "h", F.expr(f"transform(filter(blocks, x -> x.c >= {SAME_SHARE} * titles), x -> x.b)").alias("template"), F.col("fixed.b").alias("fixed")
+    return materialise(placed, "placed")
+
+
+def _wrappers(placed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """`key` (host and seed), `n` pages, and the wrapper's region, surroundings, template and head."""
+    key = F.concat_ws(" ", "seed", "host").alias("key")
+    pages = placed.where("seed >= 0")
+    counted = pages.groupBy(key, "longest").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    counted = materialise(counted.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")), "counted")
+    rows = pages.select(key, "longest", F.explode("blocks").alias("b"))
+    seen = rows.groupBy("key", "b.v", "b.j", "b.extra", F.xxhash64("b.t").alias("k"), "longest").agg(F.max(F.length("b.t")).alias("length"))
+    texts = seen.groupBy("key", "v", "j", "extra", "k").agg(F.count(F.lit(1)).alias("c"), F.max("length").alias("length"))
+    nodes = texts.groupBy("key", "v", "j", "extra").agg(
+        F.sum(F.col("c") * F.col("length")).alias("mass"), F.max(F.struct("c", "k", "length")).alias("top")
     )
-    named = sizes.withColumn("h", F.xxhash64("host"))
-    return materialise(named.join(learned, "h").select("host", "template", "fixed", "n"), "wrappers")
+    # As many nodes as the seed has blocks, at most.
+    node = F.struct("v", "j", "extra", "mass", F.col("top.c").alias("c"), F.col("top.k").alias("k"), F.col("top.length").alias("length"))
+    listed = nodes.groupBy("key").agg(F.collect_list(node).alias("nodes"))
+    each = seeds.select("host", F.posexplode("seeds").alias("seed", "html")).select(key, "html")
+    ready = each.join(listed, "key").join(counted, "key").select("key", "n", "different", "html", "nodes")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, n, different, page, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                wrapper = wrapper_of(outline(page), different, [tuple(x.values()) for x in found])
+                if wrapper:
+                    lo, hi, around, template, head = wrapper
+                    rows.append((name, n, lo, hi, around, [{"v": v, "j": j, "k": k} for v, j, k in template], head))
+            types = (
+                pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()),
+                pa.list_(pa.struct([("v", pa.int32()), ("j", pa.int32()), ("k", pa.int64())])), pa.bool_(),
+            )
+            names = ["key", "n", "lo", "hi", "around", "template", "head"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
+
+    schema = "key string, n long, lo int, hi int, around array<int>, template array<struct<v: int, j: int, k: long>>, head boolean"
+    return materialise(ready.mapInArrow(learn, schema), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: its main text and the length of it in code points."""
     source = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"), host_of(url_col).alias("host")
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), text_of(html_col).alias("html")
     )
-    kind = source.schema["id"].dataType.simpleString()
-    joined = spread_join(source, wrappers(source.select("host", "html")), "host", PAGES_PER_KEY)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
-        for batch in batches:
-            texts = []
-            for host, page, template, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template", "fixed"))):
-                if host not in sets:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    sets[host] = (frozenset(template or ()), frozenset(fixed or ()))
-                texts.append(main_text(page, sets[host][0], fixed=sets[host][1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                [id_col, "url", "text", "n_chars"],
-            )
-
-    return joined.select("id", "url", "html", "host", "template", "fixed").mapInArrow(
-        run, f"`{id_col}` {kind}, url string, text string, n_chars long"
+    hosts, seeds = _seeds(source)
+    placed = _aligned(source, hosts, seeds)
+    wrapped = placed.withColumn("key", F.concat_ws(" ", "seed", "host"))
+    joined = spread_join(wrapped, _wrappers(placed, seeds), "key", PAGES_PER_KEY)
+    constant = lambda b: F.exists(
+        "template", lambda t: ~b["extra"] & (t["v"] == b["v"]) & (t["j"] == b["j"]) & (t["k"] == F.xxhash64(b["t"]))
     )
+    open_ = lambda b: ((b["d"] == -1) | F.array_contains("around", b["d"])) & ~constant(b)
+    inside = F.filter("blocks", lambda b: (b["v"] >= F.col("lo")) & (b["v"] < F.col("hi")) & open_(b))
+    before = F.filter("blocks", lambda b: F.col("head") & b["heading"] & (b["v"] < F.col("lo")) & open_(b))
+    chosen = joined.select("id", "url", "blocks", inside.alias("inside"), before.alias("before"))
+    kept = F.when(F.size("inside") > 0, F.concat("before", "inside")).otherwise(F.filter("blocks", lambda b: b["plain"]))
+    texts = chosen.select("id", "url", F.array_join(F.transform(kept, lambda b: b["t"]), "\n").alias("text"))
+    return texts.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))
