@@ -21,6 +21,11 @@ def counts_of(texts):
     return dict(seen)
 
 
+def arrays_of(texts):
+    counts = counts_of(texts)
+    return np.array(list(counts), np.uint32).reshape(-1, langid.ORDER), np.array(list(counts.values()))
+
+
 def plain_bits(texts, text):
     """Kneser-Ney by its formula, over dictionaries; sum of log2 after the first character."""
     levels = {langid.ORDER: counts_of(texts)}
@@ -45,7 +50,7 @@ def plain_bits(texts, text):
 @pytest.mark.parametrize("stretch", [1 << 20, 3])
 def test_sorted_arrays_equal_the_formula(monkeypatch, text, stretch):
     monkeypatch.setattr(langid, "STRETCH", stretch)
-    models = langid.build_models({k: counts_of(v) for k, v in TEXTS.items()})
+    models = langid.build_models({k: arrays_of(v) for k, v in TEXTS.items()})
     got = langid.log_probabilities(models, langid.characters(text))
     want = [plain_bits(TEXTS[k], text) for k in models.languages]
     assert np.allclose(got, want, atol=1e-6)
@@ -58,8 +63,24 @@ def test_characters():
     assert show("漢𝒜x😀y") == " 漢𝒜x y "
 
 
+def test_verdicts_equal_the_formula():
+    """Language, score, entropy and rejection recomputed from `plain_bits`; equal languages go by name."""
+    models = langid.build_models({k: arrays_of(v) for k, v in {**TEXTS, "ab": TEXTS["aa"]}.items()})
+    models.limits = np.array([(2.0, 1.5), (2.0, 1.5), (1.5, 1.0)])
+    for text in ("the other cat", "der hund und das haus", "zzz qqq xxx", "ein", "that THAT, that! 12"):
+        n = len(langid.characters(text)) - 1
+        bits = [-plain_bits(TEXTS[k], text) / n for k in ("aa", "aa", "bb")]
+        best = bits.index(min(bits))
+        share = 1 / sum(2 ** ((bits[best] - b) * langid.SHARPNESS) for b in bits)
+        mean, room = models.limits[best]
+        excess = (bits[best] - mean) / (room + langid.REJECT_SHORT_BITS / math.sqrt(n))
+        want = (("aa", "ab", "bb")[best], share * min(1.0, max(0.0, 1.0 - max(0.0, excess) ** 4)), bits[best], excess > 1)
+        got = langid.judge(models, text)
+        assert got[0] == want[0] and np.allclose(got[1:3], want[1:3], atol=1e-6) and got[3] == want[3]
+
+
 def test_unclear_texts_are_und():
-    models = langid.build_models({k: counts_of(v) for k, v in TEXTS.items()})
+    models = langid.build_models({k: arrays_of(v) for k, v in TEXTS.items()})
     for text in (None, "", "12 34 !?"):
         assert langid.judge(models, text) == ("und", 0.0, 0.0, True)
     assert langid.judge(langid.build_models({}), "hello")[0] == "und"

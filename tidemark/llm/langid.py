@@ -13,7 +13,8 @@ Characters: letters in lower case; each run of anything else is one space.
 
 Defined cases: a text that is null or has no letter is `und`, rejected, with
 score 0. A null id counts as the empty id when the texts are divided. With no
-labelled text every text is `und`. Rows are judged one by one, so repeated rows
+labelled text every text is `und`. Of languages of equal cross-entropy the first
+by name wins. A text shorter than the n-grams is judged by its shorter ones. Rows are judged one by one, so repeated rows
 agree; columns other than id, text and (for training) the label are not read.
 Whole texts are scored, in stretches of bounded memory.
 """
@@ -32,16 +33,17 @@ from .common import crc_remainder, materialise, text_of
 
 ORDER = 4
 DISCOUNT = 0.75
-#: About how many labelled texts of each language the models are fitted on.
+#: About how many labelled texts of each language the models are fitted on: the bound of the labelled sample.
 FIT_TEXTS = 1500
-#: n-grams of the highest order kept for each language, the most frequent.
-FIT_GRAMS = 200_000
+#: One in so many of them is not counted but tells how far entropies spread.
+CALIBRATE = 5
 #: Rejection: cross-entropy above the mean of fitted texts by so many of their
 #: standard deviations, and at least by so many bits.
 REJECT_SD, REJECT_BITS = 8.0, 1.0
 #: Shorter texts vary more; the distance allowed grows with this over the root of the length.
 REJECT_SHORT_BITS = 12.0
-SCORE_CHARS = 12
+#: What differences of bits per character are multiplied with before they are compared as probabilities.
+SHARPNESS = 12
 #: Characters scored in one go.
 STRETCH = 1 << 20
 UNKNOWN = "und"
@@ -120,75 +122,81 @@ class Models:
     limits: np.ndarray | None = None
 
 
-def build_models(counts: dict[str, dict[tuple[int, ...], int]], order: int = ORDER) -> Models:
-    """Interpolated Kneser-Ney models from counts of n-grams of the highest order."""
-    languages = sorted(counts)
-    probability: dict[int, list[dict]] = {n: [] for n in range(1, order + 1)}
-    backoff: dict[int, list[dict]] = {n: [] for n in range(1, order)}
-    floor = []
-    for language in languages:
-        level: dict[tuple, int] = counts[language]
-        levels = {order: level}
-        for n in range(order - 1, 0, -1):
-            lower: dict[tuple, int] = {}
-            for gram in level:
-                lower[gram[1:]] = lower.get(gram[1:], 0) + 1
-            levels[n] = level = lower
-        total = sum(levels[1].values()) + 1
-        # Characters never seen share the mass of one count.
-        p = {g: c / total for g, c in levels[1].items()}
-        floor.append(1 / total)
-        probability[1].append(p)
-        for n in range(2, order + 1):
-            mass: dict[tuple, int] = {}
-            kinds: dict[tuple, int] = {}
-            for gram, c in levels[n].items():
-                mass[gram[:-1]] = mass.get(gram[:-1], 0) + c
-                kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
-            back = {h: DISCOUNT * kinds[h] / mass[h] for h in mass}
-            p = {g: (c - DISCOUNT) / mass[g[:-1]] + back[g[:-1]] * p[g[1:]] for g, c in levels[n].items()}
-            probability[n].append(p)
-            backoff[n - 1].append(back)
-    floor = np.array(floor)
-
-    def hashed(grams: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array(grams, np.uint32)
-        acc = np.full(len(grams), codes.shape[1], _U)
-        for i in range(codes.shape[1]):
-            acc = _mix(acc * _U(0x9E3779B97F4A7C15) + codes[:, i].astype(_U) + _U(1))
-        order_ = np.argsort(acc)
-        return acc[order_], order_
-
-    out = Models(languages, {}, {}, {}, {}, np.log2(floor))
+def _ordered_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of each row of characters, as `gram_hashes` gives it."""
+    acc = np.full(len(codes), codes.shape[1], _U)
+    for i in range(codes.shape[1]):
+        acc = _mix(acc * _U(0x9E3779B97F4A7C15) + codes[:, i].astype(_U) + _U(1))
+    return acc
 
-    def full(gram: tuple, which: int) -> float:
-        """Probability of a gram that other languages have, found by going down."""
-        weight = 1.0
-        while gram:
-            p = probability[len(gram)][which].get(gram)
-            if p is not None:
-                return weight * p
-            if len(gram) > 1:
-                weight *= backoff[len(gram) - 1][which].get(gram[:-1], 1.0)
-            gram = gram[1:]
-        return weight * floor[which]
 
+@dataclass
+class _Level:
+    """n-grams of one order in one language, by hash: probability, and of their histories the weight of going down."""
+
+    hashes: np.ndarray
+    p: np.ndarray
+    histories: np.ndarray
+    back: np.ndarray
+
+
+def _levels(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[dict[int, _Level], float, dict[int, np.ndarray]]:
+    """Levels of one language, the probability of a character never seen, and the n-grams of each order."""
+    grams, seen = {order: codes}, {order: counts.astype(np.float64)}
+    for n in range(order - 1, 0, -1):
+        # Continuation counts: how many different n-grams end in each shorter one.
+        hashes, at, kinds = np.unique(_ordered_hashes(grams[n + 1][:, 1:]), return_index=True, return_counts=True)
+        grams[n], seen[n] = grams[n + 1][at][:, 1:], kinds.astype(np.float64)
+    total = seen[1].sum() + 1
+    # Characters never seen share the mass of one count.
+    hashes = _ordered_hashes(grams[1])
+    at = np.argsort(hashes)
+    none = np.zeros(0)
+    out = {1: _Level(hashes[at], (seen[1] / total)[at], np.zeros(0, _U), none)}
+    for n in range(2, order + 1):
+        histories, which, kinds = np.unique(_ordered_hashes(grams[n][:, :-1]), return_inverse=True, return_counts=True)
+        mass = np.bincount(which, seen[n])
+        back = DISCOUNT * kinds / mass
+        lower, found = _find(out[n - 1].hashes, _ordered_hashes(grams[n][:, 1:]))
+        p = (seen[n] - DISCOUNT) / mass[which] + back[which] * np.where(found, out[n - 1].p[lower], 0.0)
+        hashes = _ordered_hashes(grams[n])
+        at = np.argsort(hashes)
+        out[n] = _Level(hashes[at], p[at], histories, back)
+    return out, 1 / total, grams
+
+
+def build_models(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Models:
+    """Interpolated Kneser-Ney models from n-grams of the highest order (rows of code points) and their counts."""
+    languages = sorted(counts)
+    fitted = [_levels(*counts[language], order) for language in languages]
+    floor = np.array([f[1] for f in fitted])
+    out = Models(languages, {}, {}, {}, {}, np.log2(floor))
     for n in range(1, order + 1):
-        grams = sorted(set().union(*probability[n]))
-        if not grams:
-            out.hashes[n], out.log_p[n] = np.zeros(0, _U), np.zeros((0, len(languages)))
-            continue
-        table = np.array([[full(g, i) for i in range(len(languages))] for g in grams])
-        out.hashes[n], at = hashed(grams)
-        out.log_p[n] = np.log2(table)[at]
+        grams = [f[2][n] for f in fitted]
+        every = np.concatenate(grams) if grams else np.zeros((0, n), np.uint32)
+        out.hashes[n], at = np.unique(_ordered_hashes(every), return_index=True)
+        table = np.zeros((len(at), len(languages)))
+        for which, (levels, low, _) in enumerate(fitted):
+            # A gram that only other languages have is found by going down.
+            weight, pending = np.ones(len(at)), np.arange(len(at))
+            for k in range(n, 0, -1):
+                part = every[at[pending]][:, n - k :]
+                place, found = _find(levels[k].hashes, _ordered_hashes(part))
+                table[pending[found], which] = weight[pending[found]] * levels[k].p[place[found]]
+                pending, part = pending[~found], part[~found]
+                if k > 1 and len(pending):
+                    place, found = _find(levels[k].histories, _ordered_hashes(part[:, :-1]))
+                    weight[pending[found]] *= levels[k].back[place[found]]
+            table[pending, which] = weight[pending] * low
+        out.log_p[n] = np.log2(table) if len(table) else table
     for n in range(1, order):
-        grams = sorted(set().union(*backoff[n]))
-        if not grams:
-            out.context[n], out.log_back[n] = np.zeros(0, _U), np.zeros((0, len(languages)))
-            continue
-        table = np.array([[b.get(g, 1.0) for b in backoff[n]] for g in grams])
-        out.context[n], at = hashed(grams)
-        out.log_back[n] = np.log2(table)[at]
+        every = [f[0][n + 1].histories for f in fitted]
+        out.context[n] = np.unique(np.concatenate(every)) if every else np.zeros(0, _U)
+        table = np.ones((len(out.context[n]), len(languages)))
+        for which, (levels, _, _) in enumerate(fitted):
+            place, found = _find(levels[n + 1].histories, out.context[n])
+            table[found, which] = levels[n + 1].back[place[found]]
+        out.log_back[n] = np.log2(table)
     return out
 
 
@@ -231,9 +239,9 @@ def log_probabilities(models: Models, chars: np.ndarray, order: int = ORDER) ->
 def judge(models: Models, text: str | None) -> tuple[str, float, float, bool]:
     """(language, score, bits per character, rejected) of one text.
 
-    The score is the share of the best language when the mean probabilities of
-    up to `SCORE_CHARS` characters are compared, times a factor that falls to 0
-    at rejection.
+    The score is the share of the best language when the mean bits a character,
+    times `SHARPNESS`, are compared as probabilities, times a factor that falls
+    to 0 at rejection.
     """
     chars = characters(text or "")
     if not models.languages or len(chars) < 3:
@@ -241,7 +249,7 @@ def judge(models: Models, text: str | None) -> tuple[str, float, float, bool]:
     n = len(chars) - 1
     bits = -log_probabilities(models, chars) / n
     best = int(bits.argmin())
-    share = float(1.0 / np.exp2((bits[best] - bits) * min(n, SCORE_CHARS)).sum())
+    share = float(1.0 / np.exp2((bits[best] - bits) * SHARPNESS).sum())
     if models.limits is None:
         return models.languages[best], share, float(bits[best]), False
     mean, room = models.limits[best]
@@ -257,8 +265,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     """Models from labelled texts outside the held-out fold.
 
     The sample is bounded: about `FIT_TEXTS` texts for each language, chosen by
-    the hash of their ids. The counts that reach the driver are bounded by
-    `FIT_GRAMS` for each language.
+    the hash of their ids; all their n-grams are counted, except of one in
+    `CALIBRATE`, on which entropies are measured. Where a language has none of
+    these, its limit is the mean of the others'.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), text_of(text_col).alias("t"), F.col(id_col).alias("id")).where(
         F.col("lang").isNotNull() & (crc_remainder("id", folds) != held_fold)
@@ -268,7 +277,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         return build_models({})
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, FIT_TEXTS / n)))])
     drawn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    sample = materialise(labelled.where(drawn).select("lang", "t"), "labelled")
+    apart = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(CALIBRATE)) == 0
+    sample = materialise(labelled.where(drawn).select("lang", "t", apart.alias("apart")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,26 +301,29 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                     ["lang", "gram", "n"],
                 )
 
-    found = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = materialise(found, "grams")
-    counts: dict[str, dict[tuple[int, ...], int]] = {lang: {} for lang in sizes}
-    for lang in sizes:
-        top = found.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(FIT_GRAMS).toArrow()
-        counts[lang] = {tuple(map(ord, g)): n for g, n in zip(top.column("gram").to_pylist(), top.column("n").to_pylist())}
-    models = build_models({lang: c for lang, c in counts.items() if c})
+    counted = sample.where(~F.col("apart")).mapInArrow(count, "lang string, gram string, n long")
+    # The n-grams of a bounded number of texts.
+    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counts = {}
+    for lang, part in grams.groupby("lang"):
+        codes = np.frombuffer("".join(part["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+        counts[lang] = (codes, part["n"].to_numpy())
+    models = build_models(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = [judge(models, t) for t in batch.column(1).to_pylist()]
+            judged = [judge(shared.value, t) for t in batch.column(1).to_pylist()]
             same = [(lang, j[2]) for lang, j in zip(batch.column(0).to_pylist(), judged) if lang == j[0]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s[0] for s in same], pa.string()), pa.array([s[1] for s in same], pa.float64())], ["lang", "bits"]
             )
 
-    spread = sample.mapInArrow(entropies, "lang string, bits double").groupBy("lang")
+    spread = sample.where("apart").select("lang", "t").mapInArrow(entropies, "lang string, bits double").groupBy("lang")
     # A row for each language.
     known = {r["lang"]: (r["m"], r["s"] or 0.0) for r in spread.agg(F.avg("bits").alias("m"), F.stddev_pop("bits").alias("s")).collect()}
-    models.limits = np.array([(m, max(REJECT_SD * s, REJECT_BITS)) for m, s in (known.get(x, (0.0, 99.0)) for x in models.languages)])
+    usual = tuple(np.mean(list(known.values()), axis=0)) if known else (0.0, 99.0)
+    models.limits = np.array([(m, max(REJECT_SD * s, REJECT_BITS)) for m, s in (known.get(x, usual) for x in models.languages)])
     return models
 
 
