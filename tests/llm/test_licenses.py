@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,20 +43,45 @@ def test_key_phrases_are_mandatory_and_small_changes_are_not():
     assert licenses.scan_text(INDEX, "the license of the software is without a name")[5:] == ("", 0.0)
 
 
-def test_an_index_that_looks_at_every_place_agrees():
-    """Votes of rare words lose no template that stands in the text."""
-    words = " ".join(f"{t.text} filler{i} of the and" for i, t in enumerate(licenses.TEMPLATES)).encode().split()
+def brute_templates(words):
+    """Each template at each offset, word by word."""
     want = {}
     for t in licenses.TEMPLATES:
         body = t.text.encode().split()
         keys = [k.encode().split() for k in t.key_phrases]
-        for o in range(len(words) - len(body) + 1):
-            window = words[o : o + len(body)]
-            share = sum(a == b for a, b in zip(window, body)) / len(body)
-            ok = all(any(body[i : i + len(k)] == k and window[i : i + len(k)] == k for i in range(len(body))) for k in keys)
+        at = lambda i: words[i] if 0 <= i < len(words) else None  # noqa: E731, B023
+        for o in range(-len(body), len(words)):
+            share = sum(at(o + i) == w for i, w in enumerate(body)) / len(body)
+            ok = all(
+                any(body[i : i + len(k)] == k and all(at(o + i + j) == w for j, w in enumerate(k)) for i in range(len(body))) for k in keys
+            )
             if ok and share >= licenses.LEAST_SHARE:
                 want[t.label] = max(share, want.get(t.label, 0))
-    assert licenses.match_templates(INDEX, words) == want
+    return want
+
+
+def test_an_index_that_looks_at_every_place_agrees():
+    """No template that stands in the text is lost, however damaged, cut off or surrounded by its own words."""
+    rng = random.Random(2)
+    pool = " ".join(t.text for t in licenses.TEMPLATES).encode().split()
+    found = 0
+    for template in licenses.TEMPLATES * 2:
+        body = template.text.encode().split()
+        phrases = [p.encode().split() for p in template.key_phrases]
+        fixed = {i + j for p in phrases for i in range(len(body)) if body[i : i + len(p)] == p for j in range(len(p))}
+        damaged = [w if i in fixed or rng.random() > 0.37 else rng.choice(pool) for i, w in enumerate(body)]
+        words = rng.choices(pool, k=rng.randint(0, 12)) + damaged[: rng.randint(len(damaged) // 2, len(damaged))] + rng.choices(body, k=20)
+        want = brute_templates(words)
+        assert licenses.match_templates(licenses.Places(INDEX, words)) == want
+        found += template.label in want
+    assert found > 30
+
+
+def test_long_texts_take_time_in_proportion():
+    many = "the " * 200_000 + "apache license " * 20_000 + " ".join(licenses.TEMPLATES[7].text.split() * 3000)
+    began = time.process_time()
+    row = licenses.scan_text(INDEX, many)
+    assert row[1] == 20_000 and "mit-text" in row[5] and time.process_time() - began < 5
 
 
 def test_rows(spark):

@@ -1,20 +1,24 @@
 """License scans through a positional index of rare template words.
 
-Templates are short passages of public licences, each with key phrases that
-must occur. An index lists for each template word where it stands. A file's
-words are looked up from the rarest down, rarity being the inverse document
-frequency over all documents; every occurrence votes for the template offset
-(its place less the template's), and places that several rare words agree on
-are verified: the key phrases must stand there, and the share of template words
-found at their places is the score.
+Templates are passages of public licences, each with key phrases that must
+occur. For every word of the templates a file's places are listed. Each key
+phrase is looked up by the rarest of its words, rarity being the inverse
+document frequency over all documents; a place of the phrase less its place in
+the template is an offset at which the template may stand. The offsets of all
+key phrases are intersected, and at those left, where all key phrases stand as
+in the template, the share of template words found at their places is the score.
+Every place at which a template's key phrases stand is scored, whatever else the
+file holds; the work is linear in the file for each template.
 
 Four base phrases are counted at all places where their words stand side by
 side; they give the base labels. Other labels come from templates.
 
 Defined cases: a null text is the empty text: no words, no places, empty labels
 and score 0. Words are runs of 0-9, a-z (A-Z in lower case) and characters from
-0x80 on. Repeated rows are scanned one by one; columns beside id and text are
-not read. Texts are scanned whole.
+0x80 on. A label that several templates or places give is listed once; the score
+is the best share of any template, and 0.5 at least where a base phrase stands.
+Repeated rows are scanned one by one; columns beside id and text are not read.
+Texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +74,26 @@ TEMPLATES = (
     Template("cc-by-sa-text", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
+    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("permission is hereby granted", "deal in the software without restriction")),
+    Template("mit-text", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    Template("warranty-disclaimer", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("without warranty of any kind", "in no event shall")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    Template("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    Template("warranty-disclaimer", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("express or implied warranties", "are disclaimed")),
+    Template("apache-text", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("distributed on an as is basis", "limitations under the license")),
+    Template("gpl-text", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("in the hope that it will be useful", "gnu general public license")),
+    Template("gpl-text", "you should have received a copy of the gnu general public license along with this program", ("should have received a copy", "gnu general public license")),
+    Template("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ("should have received a copy", "gnu lesser general public license")),
+    Template("agpl", "you should have received a copy of the gnu affero general public license along with this program", ("should have received a copy", "gnu affero general public license")),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license", "if a copy of the mpl was not distributed")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify", "appear in all copies")),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish",)),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("permission is granted to anyone to use this software", "redistribute it freely")),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
 )
 
-#: A file's words looked up, from the rarest down; the rest only confirm.
-RARE_WORDS = 6
 #: Share of a template's words that must stand at their places.
 LEAST_SHARE = 0.6
 
@@ -84,109 +105,118 @@ _IN_WORD[0x80:] = True
 
 @dataclass
 class Index:
-    """Postings of template words and the rarity of each."""
+    """The vocabulary with the rarity of each word, the base phrases, and the templates, all as word numbers."""
 
-    rarity: dict[bytes, float]
-    templates: list[tuple[str, list[bytes], list[tuple[list[bytes], list[int]]]]] = field(default_factory=list)
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
-    anchors: list[bytes] = field(default_factory=list)
+    number: dict[bytes, int]
+    rarity: np.ndarray
+    base: list[tuple[str, np.ndarray]]
+    #: Label, body, and the key phrases, each with its places in the body.
+    templates: list[tuple[str, np.ndarray, list[tuple[np.ndarray, list[int]]]]]
+    #: Each template and each base phrase holds one of these words.
+    anchors: list[bytes]
 
 
 def vocabulary(templates=TEMPLATES) -> list[bytes]:
-    return sorted({w for t in templates for w in t.text.encode().split()})
+    texts = [t.text for t in templates] + [phrase for phrase, _ in BASE]
+    return sorted({w for text in texts for w in text.encode().split()})
 
 
 def build_index(n_documents: int, frequency: dict[bytes, int], templates=TEMPLATES) -> Index:
-    """Postings of all template words; `frequency` counts documents that hold a word."""
+    """`frequency` counts the documents that hold a word."""
     words = vocabulary(templates)
-    index = Index({w: math.log((n_documents + 1) / (frequency.get(w, 0) + 1)) for w in words})
+    number = {w: i for i, w in enumerate(words)}
+    rarity = np.array([math.log((n_documents + 1) / (frequency.get(w, 0) + 1)) for w in words])
+    ids = lambda text: np.array([number[w] for w in text.encode().split()], np.int32)
+    index = Index(number, rarity, [(label, ids(phrase)) for phrase, label in BASE], [], [])
     anchors: set[bytes] = set()
-    for number, template in enumerate(templates):
-        body = template.text.encode().split()
+    rarest = lambda phrase: words[max(phrase.tolist(), key=lambda i: (rarity[i], i))]
+    for template in templates:
+        body = ids(template.text)
         keys = []
-        for phrase in template.key_phrases:
-            parts = phrase.encode().split()
-            at = [i for i in range(len(body)) if body[i : i + len(parts)] == parts]
-            keys.append((parts, at))
+        for phrase in map(ids, template.key_phrases):
+            at = [i for i in range(len(body) - len(phrase) + 1) if (body[i : i + len(phrase)] == phrase).all()]
+            keys.append((phrase, at))
+        # The phrase with the rarest word is looked up first.
+        keys.sort(key=lambda k: -rarity[k[0]].max())
         index.templates.append((template.label, body, keys))
-        for i, w in enumerate(body):
-            index.postings.setdefault(w, []).append((number, i))
-        # The rarest word of the first key phrase: a file without it can't match.
-        anchors.add(max(keys[0][0], key=lambda w: (index.rarity[w], w)))
-    index.anchors = sorted(anchors)
+        anchors.add(rarest(keys[0][0]))
+    index.anchors = sorted(anchors | {rarest(phrase) for _, phrase in index.base})
     return index
 
 
-def _word_count(raw: np.ndarray) -> int:
-    inside = _IN_WORD[raw]
-    return int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(len(inside) > 0 and inside[0])
+class Places:
+    """A file's words as numbers (-1: in no template) and the places of each number."""
 
+    def __init__(self, index: Index, words: list[bytes]):
+        self.index = index
+        self.ids = np.fromiter(map(index.number.get, words, repeat(-1)), np.int32, len(words))
+        known = np.flatnonzero(self.ids >= 0)
+        self.order = known[np.argsort(self.ids[known], kind="stable")]
+        self.bounds = np.searchsorted(self.ids[self.order], np.arange(len(index.number) + 1))
 
-def base_places(words: list[bytes]) -> list[tuple[int, int, str]]:
-    """(start, last word, label) of each base phrase, in order."""
-    found = []
-    for phrase, label in BASE:
-        parts = phrase.encode().split()
-        at = -1
-        while True:
-            try:
-                at = words.index(parts[0], at + 1)
-            except ValueError:
-                break
-            if words[at : at + len(parts)] == parts:
-                found.append((at, at + len(parts) - 1, label))
-    return sorted(found)
-
-
-def match_templates(index: Index, words: list[bytes]) -> dict[str, float]:
-    """Labels of the templates that stand in the words, with the share found."""
-    places: dict[bytes, list[int]] = {}
-    for i, w in enumerate(words):
-        if w in index.postings:
-            places.setdefault(w, []).append(i)
-    # Each template is looked up by the rarest of its words that the file has.
+    def of(self, number: int) -> np.ndarray:
+        return self.order[self.bounds[number] : self.bounds[number + 1]]
+
+    def phrase(self, phrase: np.ndarray) -> np.ndarray:
+        """Where the phrase starts, from the places of its rarest word."""
+        if any(self.bounds[w] == self.bounds[w + 1] for w in phrase.tolist()):
+            return np.zeros(0, np.int64)
+        first, *others = np.argsort(-self.index.rarity[phrase], kind="stable").tolist()
+        starts = self.of(phrase[first]) - first
+        starts = starts[(starts >= 0) & (starts + len(phrase) <= len(self.ids))]
+        for i in others:
+            starts = starts[self.ids[starts + i] == phrase[i]]
+        return starts
+
+
+def match_templates(places: Places) -> dict[str, float]:
+    """Labels of the templates whose key phrases stand in the file, with the best share of words at their places."""
     found: dict[str, float] = {}
-    by_rarity = sorted(places, key=lambda w: (-index.rarity[w], w))
-    looked: dict[int, int] = {}
-    votes: dict[tuple[int, int], int] = {}
-    for w in by_rarity:
-        for number, i in index.postings[w]:
-            if looked.get(number, 0) < RARE_WORDS:
-                for p in places[w]:
-                    votes[number, p - i] = votes.get((number, p - i), 0) + 1
-        for number in {n for n, _ in index.postings[w]}:
-            looked[number] = looked.get(number, 0) + 1
-    for (number, offset), n in votes.items():
-        label, body, keys = index.templates[number]
-        # Two of the looked-up words agree, or the template's rarest are all the file has of it.
-        if n < 2:
-            continue
-        if not all(any(words[offset + a : offset + a + len(parts)] == parts for a in at if offset + a >= 0) for parts, at in keys):
+    known: dict[bytes, np.ndarray] = {}
+    for label, body, keys in places.index.templates:
+        offsets = None
+        for phrase, at in keys:
+            name = phrase.tobytes()
+            if name not in known:
+                known[name] = places.phrase(phrase)
+            here = np.unique(np.concatenate([known[name] - i for i in at]))
+            offsets = here if offsets is None else np.intersect1d(offsets, here, assume_unique=True)
+            if not len(offsets):
+                break
+        if not len(offsets):
             continue
-        same = sum(0 <= offset + i < len(words) and words[offset + i] == w for i, w in enumerate(body))
-        share = same / len(body)
+        # What sticks out of the file matches nothing.
+        margin = len(body)
+        padded = np.concatenate([np.full(margin, -2, np.int32), places.ids, np.full(margin, -2, np.int32)])
+        same = np.zeros(len(offsets), np.int64)
+        for i, word in enumerate(body.tolist()):
+            same += padded[offsets + margin + i] == word
+        share = float(same.max()) / len(body)
         if share >= LEAST_SHARE and share > found.get(label, 0.0):
             found[label] = share
     return found
 
 
+def _word_count(raw: np.ndarray) -> int:
+    inside = _IN_WORD[raw]
+    return int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(len(inside) > 0 and inside[0])
+
+
 def scan_text(index: Index, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     raw = (text or "").encode("utf-8")
     low = raw.lower()
-    # Every base phrase and every template holds one of the anchors.
-    if not any(a in low for a in index.anchors) and b"license" not in low and not (b"cc" in low and b"by" in low):
+    if not any(a in low for a in index.anchors):
         return _word_count(np.frombuffer(raw, np.uint8)), 0, None, None, "", "", 0.0
     words = WORD.findall(low)
-    places = base_places(words)
-    base = {label for _, _, label in places}
-    more = match_templates(index, words)
-    starts = [p[0] for p in places]
-    score = max([*more.values(), *([0.5] if base else [])], default=0.0)
-    labels = base | set(more)
+    places = Places(index, words)
+    starts = {label: found for label, phrase in index.base if len(found := places.phrase(phrase))}
+    more = match_templates(places)
+    every = np.concatenate(list(starts.values())) if starts else np.zeros(0, np.int64)
+    score = max([*more.values(), *([0.5] if starts else [])], default=0.0)
     return (
-        len(words), len(places), min(starts, default=None), max(starts, default=None),
-        ",".join(sorted(base)), ",".join(sorted(labels)), float(score),
+        len(words), len(every), int(every.min()) if starts else None, int(every.max()) if starts else None,
+        ",".join(sorted(starts)), ",".join(sorted({*starts, *more})), float(score),
     )
 
 
