@@ -57,6 +57,9 @@ def test_plain_merging_on_every_piece_of_a_small_vocabulary():
 
     import itertools
 
+    tokens = vocabulary.tokens
+    for a, b in itertools.product([i for i in tokens if i > 255 or i in b"abcd"], repeat=2):
+        assert vocabulary._apart(a, b) == (merged(tokens[a] + tokens[b]) == [a, b]), (tokens[a], tokens[b])
     for size in range(1, 8):
         for letters in itertools.product(b"abcd", repeat=size):
             piece = bytes(letters)
@@ -70,12 +73,26 @@ def test_memo_keeps_what_is_used():
     assert len(memo) + len(memo.old) <= 4
 
 
+def test_pairs_of_the_vocabulary_stay_apart_or_merge(own, other):
+    """Random pairs of tokens against merging their bytes whole."""
+    import random
+
+    rng = random.Random(6)
+    tokens = own.vocabulary.tokens
+    for _ in range(4000):
+        a, b = rng.choice([i for i in (rng.randrange(50_000), rng.randrange(600))]), rng.randrange(50_000)
+        both = tokens[a] + tokens[b]
+        if len(both) < 40:
+            want = other._core_bpe.encode_single_piece(both) == [a, b]
+            assert own.vocabulary._apart(a, b) == want, (tokens[a], tokens[b])
+
+
 def test_query_shape(spark, other):
-    rows = [(1, "a b", "u"), (2, None, "v"), (1, "a b", "u"), (None, "x\n", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    rows = [(1, "a b", "u", 1), (2, None, "v", 2), (1, "a b", "u", 1), (None, "x\n", None, 3), (5, "y" * 300_000, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
     got = bpe.round_trip(docs, PATH, PATTERN).collect()
     want = []
-    for i, text, _ in rows:
+    for i, text, *_ in rows:
         ids = other.encode_ordinary(text or "")
         joined = " ".join(map(str, ids)).encode()
         want.append((i, len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))

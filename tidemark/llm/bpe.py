@@ -4,7 +4,7 @@ The vocabulary is a table of byte strings and ranks. Bytes are mapped to the
 Latin-1 characters of the same number, so that an Aho-Corasick automaton finds
 for each position of a piece the longest token that begins there. A token may
 follow another only if merging their bytes together would give exactly these
-two; that test undoes merges pair by pair and is memoised. Where no token that
+two; that test looks for a merge across the seam that would come first, and is memoised. Where no token that
 begins at a position is compatible, the last token is taken back and its next
 shorter prefix tried; a position found hopeless is never entered again, so the
 work is linear in the piece.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Entries after which a half of the memo of encoded units is dropped.
-MEMO_UNITS = 600_000
+#: Entries of the memo of encoded units at most, and the longest unit that it keeps.
+MEMO_UNITS, LONGEST_KEPT = 600_000, 48
 #: Entries after which the memo of token pairs is emptied.
 MEMO_PAIRS = 1_000_000
 #: The characters of the Unicode property White_Space (fixed values).
@@ -48,8 +48,12 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
+        #: The token that two tokens make where they are the last two pieces of its own merging.
         self.joined: dict[tuple[int, int], int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
+        #: The pieces at the right end and at the left end of each token, the
+        #: token itself first, with the rank of the merge that ends each piece.
+        self.right_ends: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.left_ends: dict[int, tuple[tuple[int, int], ...]] = {}
         self.allowed: dict[tuple[int, int], bool] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             self._add(token, i)
@@ -59,39 +63,35 @@ class Vocabulary:
         prefixes = [p for cut in range(len(token) - 1, 0, -1) if (p := self.ranks.get(token[:cut])) is not None]
         if prefixes:
             self.shorter[i] = prefixes[0]
-        self.halves[i] = (i, i)
+        never = len(self.ranks) + 1
+        self.right_ends[i] = self.left_ends[i] = ((i, never),)
         for left in prefixes:
             right = self.ranks.get(token[self.length[left] :])
             if right is not None and left < i and right < i and self._apart(left, right):
                 self.joined[left, right] = i
-                self.halves[i] = (left, right)
+                # The halves lived until this merge; their own ends until the merges that made the halves.
+                self.right_ends[i] = ((i, never), (right, i), *self.right_ends[right][1:])
+                self.left_ends[i] = ((i, never), (left, i), *self.left_ends[left][1:])
                 return
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether merging leaves `left` and `right` side by side as they are.
 
-        Walks back through the merges of both along the seam. A merge across
-        the seam that ranks before the merge just undone would have come first.
+        Merges happen in the order of their ranks, the leftmost first among
+        equals. While both are built, the piece at the right end of `left` and
+        the one at the left end of `right` are neighbours until one of them is
+        merged inside its token. If they make a token of a rank before that,
+        they are merged across the seam; so the tokens stay apart if and only
+        if no pair of end pieces does. A merge inside `left` of the same rank
+        lies further left and wins, one inside `right` does not.
         """
-        bound = len(self.ranks) + 1
-        while True:
-            merged = self.joined.get((left, right))
-            if merged is not None and merged < bound:
-                return False
-            if left > right:
-                bound, left = left, self.halves[left][1]
-                if left != bound:
-                    continue
-                bound, right = right + 1, self.halves[right][0]
-                if right + 1 == bound:
-                    return True
-            else:
-                bound, right = right + 1, self.halves[right][0]
-                if right + 1 != bound:
-                    continue
-                bound, left = left, self.halves[left][1]
-                if left == bound:
-                    return True
+        joined = self.joined
+        for a, ends in self.right_ends[left]:
+            for b, also in self.left_ends[right]:
+                rank = joined.get((a, b))
+                if rank is not None and rank < ends and rank <= also:
+                    return False
+        return True
 
     def may_follow(self, left: int, right: int) -> bool:
         known = self.allowed.get((left, right))
@@ -138,7 +138,7 @@ class Vocabulary:
 
 
 class _Memo(dict):
-    """A bounded memo of two generations: what is used stays, the rest goes."""
+    """A memo of two generations, bounded in entries and their length: what is used stays, the rest goes."""
 
     def __init__(self, make, limit: int = MEMO_UNITS):
         super().__init__()
@@ -148,6 +148,8 @@ class _Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST_KEPT:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
