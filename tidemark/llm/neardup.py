@@ -53,7 +53,7 @@ HUB_ROUNDS = 3
 #: Words after which the memo of word hashes is emptied, and the longest word that it keeps.
 MEMO_WORDS, LONGEST_KEPT = 500_000, 32
 #: Comparisons with one hub that share a task's key.
-PER_HUB = 1000
+PER_HUB = 100
 #: Shingles that are signed in one go.
 CHUNK = 400_000
 
