@@ -50,7 +50,8 @@ SEEDS = 3
 DOMINANT = 0.6
 #: Weights of slot text in article or main elements, and in elements whose names mark what surrounds an article.
 MAIN_WEIGHT, NAMED_WEIGHT = 4.0, 0.25
-#: Seeds of all hosts together up to this size are broadcast; beyond it they are sent ahead of their host's pages.
+#: Seeds of all hosts together up to this size are broadcast, and so are wrappers;
+#: beyond it seeds are sent ahead of their host's pages and wrappers are joined by shuffle.
 SEED_BYTES = 16 << 20
 #: Pages of one host that share a join key.
 PAGES_PER_KEY = 2000
@@ -664,7 +665,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hosts, seeds = _seeds(source)
     placed = _aligned(source, hosts, seeds)
     wrapped = placed.withColumn("key", F.concat_ws(" ", "seed", "host"))
-    joined = spread_join(wrapped, _wrappers(placed, seeds), "key", PAGES_PER_KEY)
+    learned = _wrappers(placed, seeds)
+    size = learned.agg(F.sum(100 + 2 * F.length("key") + 16 * F.size("template") + 4 * F.size("around"))).first()[0] or 0
+    if size <= SEED_BYTES:
+        joined = wrapped.join(F.broadcast(learned.drop("n")), "key", "left")
+    else:
+        joined = spread_join(wrapped, learned, "key", PAGES_PER_KEY)
     constant = lambda b: F.exists(
         "template", lambda t: ~b["extra"] & (t["v"] == b["v"]) & (t["j"] == b["j"]) & (t["k"] == F.xxhash64(b["t"]))
     )
