@@ -82,3 +82,94 @@ def coverage(bars: DataFrame, step: int) -> DataFrame:
     got = bars.groupBy("instrument").agg(F.count(F.lit(1)).alias("present"), F.min("ts_open").alias("lo"), F.max("ts_open").alias("hi"))
     rows = got.select("instrument", F.expr(f"(hi - lo) div {step} + 1").alias("expected"), "present")
     return rows.withColumn("missing", F.col("expected") - F.col("present")).withColumn("coverage_pct", F.col("present") * 100.0 / F.col("expected"))
+
+
+def _bounded(bars: DataFrame, stretches: DataFrame, step: int) -> DataFrame:
+    """For each instrument the slots [first, after) of each open stretch that lie within the bars it holds.
+
+    A stretch belongs to the span from an instrument's first bar to the end of
+    its last one; what overlaps only in part counts only there. `stretches` has
+    a few rows a day, so it is broadcast.
+    """
+    ends = bars.groupBy("instrument").agg(F.min("ts_open").alias("lo"), (F.max("ts_open") + step).alias("hi"))
+    both = ends.join(F.broadcast(stretches), (F.col("open_ns") < F.col("hi")) & (F.col("close_ns") > F.col("lo")))
+    start, end = F.greatest("open_ns", "lo"), F.least("close_ns", "hi")
+    up = lambda x: F.expr(f"({x} + {step - 1}) div {step}")
+    cut = both.withColumns({"s": start, "e": end})
+    return cut.select("instrument", "trading_day", "part", up("s").alias("first"), up("e").alias("after"), "s", "e").where("after > first")
+
+
+def _in_stretches(bars: DataFrame, stretches: DataFrame, step: int) -> DataFrame:
+    """Bars with the day and part of the open stretch that they open in; others are left out."""
+    day_ns = 86_400_000_000_000
+    keyed = stretches.withColumn("utc_day", F.explode(F.sequence(F.expr(f"open_ns div {day_ns}"), F.expr(f"close_ns div {day_ns}"))))
+    staged = bars.select("instrument", "ts_open", F.expr(f"ts_open div {day_ns}").alias("utc_day"))
+    inside = staged.join(F.broadcast(keyed), "utc_day").where((F.col("ts_open") >= F.col("open_ns")) & (F.col("ts_open") < F.col("close_ns")))
+    return inside.select("instrument", "trading_day", "part", F.expr(f"ts_open div {step}").alias("slot"))
+
+
+def session_gaps(bars: DataFrame, stretches: DataFrame, step: int) -> DataFrame:
+    """Runs of slots that lack a bar while the exchange trades: day, first slot's time, end and how many.
+
+    Slots before the first, between two and after the last bar of each stretch
+    are found by lags, without a grid of all slots.
+    """
+    key = ["instrument", "trading_day", "part"]
+    marks = _in_stretches(bars, stretches, step).select(*key, "slot")
+    expected = _bounded(bars, stretches, step)
+    # A mark before the first slot and one after the last close each stretch in.
+    fence = expected.select(*key, (F.col("first") - 1).alias("slot")).unionByName(expected.select(*key, F.col("after").alias("slot")))
+    order = Window.partitionBy(*key).orderBy("slot")
+    rows = marks.unionByName(fence).withColumn("before", F.lag("slot").over(order))
+    found = rows.where(F.col("slot") > F.col("before") + 1)
+    return found.select(
+        "instrument", "trading_day", ((F.col("before") + 1) * step).alias("from_ts"), (F.col("slot") * step).alias("to_ts"),
+        (F.col("slot") - F.col("before") - 1).alias("missing"),
+    )
+
+
+def session_coverage(bars: DataFrame, stretches: DataFrame, step: int) -> DataFrame:
+    """Per instrument the slots that the exchange traded while it was held, how many lack a bar, and the percentage present."""
+    expected = _bounded(bars, stretches, step).groupBy("instrument").agg(F.sum(F.col("after") - F.col("first")).alias("expected"))
+    missing = session_gaps(bars, stretches, step).groupBy("instrument").agg(F.sum("missing").alias("missing"))
+    rows = expected.join(missing, "instrument", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    return rows.withColumn("coverage_pct", (F.col("expected") - F.col("missing")) * 100.0 / F.col("expected"))
+
+
+def report(bars: DataFrame, stretches: DataFrame, step: int) -> DataFrame:
+    """One row per instrument and check: ran with how many findings, or skipped with the reason."""
+    names = bars.select("instrument").distinct()
+    count = lambda found, check: found.groupBy("instrument").agg(F.count(F.lit(1)).alias("n")).select("instrument", F.lit(check).alias("check"), "n")
+    outside = bars.select("instrument", "ts_open").join(
+        _in_stretches(bars, stretches, step).select("instrument", (F.col("slot") * step).alias("ts_open")), ["instrument", "ts_open"], "left_anti"
+    )
+    found = count(ohlc_violations(bars), "ohlc").unionByName(count(zero_volume_runs(bars), "zero_volume"))
+    found = found.unionByName(count(spikes(bars, step), "spikes")).unionByName(count(session_gaps(bars, stretches, step), "coverage"))
+    found = found.unionByName(count(outside, "unexpected"))
+    checks = names.withColumn("check", F.explode(F.array(*map(F.lit, ("ohlc", "zero_volume", "spikes", "coverage", "unexpected")))))
+    ran = status(bars, step).select("instrument", F.lit("spikes").alias("check"), "reason")
+    rows = checks.join(found, ["instrument", "check"], "left").join(ran, ["instrument", "check"], "left")
+    skipped = F.col("reason").isNotNull()
+    return rows.select(
+        "instrument", "check", F.when(skipped, "skipped").otherwise("ran").alias("status"), "reason",
+        F.when(~skipped, F.coalesce("n", F.lit(0))).alias("findings"),
+    )
+
+
+def presence(bars: DataFrame, zone: str) -> DataFrame:
+    """`root`, `date_key` and `minute` of the exchange's own clock with at least one traded bar (`us`, `volume`); by civil date, not trading day."""
+    local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("us"), zone))
+    minutes = bars.where(F.col("volume") > 0).withColumn("m", F.floor(local / 60_000_000).cast("long"))
+    return minutes.select("root", F.floor(F.col("m") / 1440).cast("long").alias("date_key"), F.pmod("m", F.lit(1440)).alias("minute")).distinct()
+
+
+def short_days(grid: DataFrame, evening: int, cutoff: int) -> DataFrame:
+    """Weekdays from a root's first to its last date whose day session is absent or ends before `cutoff`, with the first evening minute.
+
+    Every date is asked, so one without any trade is found as well.
+    """
+    span = grid.groupBy("root").agg(F.min("date_key").alias("lo"), F.max("date_key").alias("hi"))
+    dates = span.select("root", F.explode(F.sequence("lo", "hi")).alias("date_key")).where((F.col("date_key") + 3) % 7 < 5)
+    day, night = F.when(F.col("minute") < evening, F.col("minute")), F.when(F.col("minute") >= evening, F.col("minute"))
+    got = dates.join(grid, ["root", "date_key"], "left").groupBy("root", "date_key").agg(F.max(day).alias("last_day_minute"), F.min(night).alias("first_evening"))
+    return got.where(F.coalesce("last_day_minute", F.lit(-1)) < cutoff)
