@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import beside
+
 MASK = (1 << 64) - 1
 #: Draws of the random-entry control.
 RANDOM_ENTRY_DRAWS = 16
@@ -45,18 +49,18 @@ def random_schedule(holdings: list[int], start: int, window: int, seed: int) ->
     return out
 
 
-def walk_schedule(schedule: list[tuple[int, int, int]], bars: int) -> list[int]:
-    """The target after each bar. An entry on the bar of the last exit is consumed by that exit and never happens."""
-    targets, held, k = [], 0, 0
-    for bar in range(bars):
+def walk_schedule(schedule: list[tuple[int, int, int]]) -> Iterator[int]:
+    """The target after each bar, without end. An entry on the bar of the last exit is consumed by that exit and never happens."""
+    held, k, bar = 0, 0, 0
+    while True:
         if held and bar >= schedule[k][1]:
             held, k = 0, k + 1
             if k < len(schedule) and schedule[k][0] <= bar:
                 k += 1
         elif not held and k < len(schedule) and bar >= schedule[k][0]:
             held = schedule[k][2]
-        targets.append(held)
-    return targets
+        yield held
+        bar += 1
 
 
 def random_entry_targets(bars: DataFrame, trades: DataFrame, seed: int, start: int = 0) -> DataFrame:
@@ -67,25 +71,39 @@ def random_entry_targets(bars: DataFrame, trades: DataFrame, seed: int, start: i
     return random_entry_draws(bars, trades, [seed], start).drop("draw")
 
 
+class _Entries:
+    """Targets of one draw; its first row says how many bars there are and which episodes are to be placed."""
+
+    def __init__(self, key: tuple, start: int):
+        self.key, self.start, self.bar, self.targets = key, start, 0, None
+
+    def feed(self, rows: pa.RecordBatch) -> list:
+        out = []
+        for bars, episodes in zip(rows.column("__bars").to_pylist(), rows.column("__episodes").to_pylist()):
+            if bars is not None:
+                found = [(x["opened"], x["closed"], x["direction"]) for x in episodes or ()]
+                holds = [max(1, closed - max(opened, self.start)) for opened, closed, _ in found]
+                seed = fnv1a(f"{self.key[0]}|{self.key[1]}")
+                placed = random_schedule(holds, self.start, bars - self.start, seed) if found else []
+                self.targets = walk_schedule([(a, b, d) for (a, b), (_, _, d) in zip(placed, found)])
+                out.append(None)
+            else:
+                out.append(next(self.targets))
+        return [pa.array(out, pa.int32())]
+
+
 def random_entry_draws(bars: DataFrame, trades: DataFrame, seeds: list[int], start: int = 0) -> DataFrame:
-    """`random_entry_targets` of each of some seeds, which stand in `draw`."""
-    episodes = trades.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("opened", "closed", "direction"))).alias("e"))
-    joined = bars.select("instrument", "ts_open", "open", "high", "low", "close").join(episodes, "instrument", "left")
-    joined = joined.withColumn("draw", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_open").reset_index(drop=True)
-        e = pdf["e"].iloc[0]
-        e = [] if e is None else [(int(x["opened"]), int(x["closed"]), int(x["direction"])) for x in e]
-        holds = [max(1, c - max(o, start)) for o, c, _ in e]
-        key = fnv1a(f"{pdf['instrument'].iloc[0]}|{pdf['draw'].iloc[0]}")
-        placed = random_schedule(holds, start, len(pdf) - start, key) if e else []
-        pdf["target"] = walk_schedule([(a, b, d) for (a, b), (_, _, d) in zip(placed, e)], len(pdf))
-        return pdf.drop(columns=["e"])
-
-    return joined.groupBy("instrument", "draw").applyInPandas(
-        run, "instrument string, ts_open long, open long, high long, low long, close long, draw long, target int"
-    )
+    """`random_entry_targets` of each of some seeds, which stand in `draw`.
+
+    The episodes of a draw travel once, ahead of its bars, which pass in batches.
+    """
+    prices = bars.select("instrument", "ts_open", "open", "high", "low", "close")
+    episodes = trades.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("opened", "closed", "direction"))).alias("__episodes"))
+    counted = prices.groupBy("instrument").agg(F.count(F.lit(1)).alias("__bars")).join(episodes, "instrument", "left")
+    both = counted.withColumn("ts_open", F.lit(-(1 << 62)).cast("long")).unionByName(prices, allowMissingColumns=True)
+    both = both.withColumn("draw", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    run = beside(both, ["instrument", "draw"], ["ts_open"], lambda key: _Entries(key, start), "target int")
+    return run.where("__bars IS NULL").select(*prices.columns, "draw", "target")
 
 
 def full_sample_targets(bars: DataFrame, entry: float = 1.0) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.prices import points
+from .kernel import beside
 
 
 def series() -> WindowSpec:
@@ -65,26 +66,42 @@ def sma_exact(bars: DataFrame, column: str, period: int) -> DataFrame:
     return run.select("instrument", "ts_open", value.alias(f"sma_{period}"))
 
 
-def ema(bars: DataFrame, column: str, period: int) -> DataFrame:
-    """EMA with factor 2 / (period + 1), seeded with the mean of the first `period` bars.
-
-    The recurrence is sequential in one instrument, so it is a grouped kernel.
+class _Emas:
+    def __init__(self, column: int, periods: tuple[int, ...]):
+        self.column, self.periods = column, periods
+        self.seen, self.levels = 0, [0.0] * len(periods)
+
+    def feed(self, rows: pa.RecordBatch) -> list:
+        x = rows.column(self.column).to_numpy(zero_copy_only=False).tolist()
+        found = []
+        for k, period in enumerate(self.periods):
+            alpha, level, out = 2.0 / (period + 1), self.levels[k], np.full(len(x), np.nan)
+            for i, value in enumerate(x):
+                n = self.seen + i + 1
+                if n <= period:
+                    level += value
+                    if n == period:
+                        level /= period
+                else:
+                    level = alpha * value + (1 - alpha) * level
+                if n >= period:
+                    out[i] = level
+            self.levels[k] = level
+            found.append(pa.array(out, pa.float64(), mask=np.isnan(out)))
+        self.seen += len(x)
+        return found
+
+
+def with_emas(bars: DataFrame, column: str, named: dict[str, int], keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """`bars` with EMAs (name: period) of a column of doubles, factor 2 / (period + 1), seeded with the mean of the first `period` bars.
+
+    The recurrence is sequential in one series; batches are passed through a kernel that keeps the levels.
     """
-    alpha = 2.0 / (period + 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_open")
-        x = pdf["x"].to_numpy(float)
-        out = np.full(len(x), np.nan)
-        if len(x) >= period:
-            level = x[:period].sum() / period
-            out[period - 1] = level
-            for i in range(period, len(x)):
-                level = alpha * x[i] + (1 - alpha) * level
-                out[i] = level
-        return pd.DataFrame({"instrument": pdf["instrument"], "ts_open": pdf["ts_open"], "ema": out})
+    at = [*keys, *[c for c in bars.columns if c not in keys]].index(column)
+    return beside(bars, list(keys), ["ts_open"], lambda _: _Emas(at, tuple(named.values())), ", ".join(f"`{n}` double" for n in named))
 
+
+def ema(bars: DataFrame, column: str, period: int) -> DataFrame:
+    """EMA of a price column in points."""
     source = bars.select("instrument", "ts_open", points(F.col(column)).alias("x"))
-    return source.groupBy("instrument").applyInPandas(run, "instrument string, ts_open long, ema double").withColumn(
-        "ema", F.nanvl("ema", F.lit(None).cast("double"))
-    )
+    return with_emas(source, "x", {"ema": period}).select("instrument", "ts_open", "ema")

@@ -2,19 +2,21 @@
 
 An order decided on one bar fills on the next bar's open. Three kernels, from
 the weakest that is exact: targets without state are a few windows; the
-enter/exit machine is a fold over an instrument's bars; brackets and partial
-closes run in a grouped kernel over whole numbers.
+enter/exit machine and, over whole numbers, brackets and partial closes are
+kernels that take an instrument's bars in order, batch by batch.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NANO
+from .kernel import beside, rows_of
 
 # ---------------------------------------------------------------- costs
 
@@ -65,60 +67,81 @@ def buy_and_hold_targets(bars: DataFrame, start: int = 0) -> DataFrame:
     return bars.withColumn("target", (F.row_number().over(series()) > start).cast("int"))
 
 
-def equity(targets: DataFrame, spec: Spec, costs: Costs, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
-    """Equity after each bar, for targets of -q, 0 or q; exact in whole nanos."""
+def marked(targets: DataFrame, spec: Spec, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """Targets of -q, 0 or q with `position`, contracts `traded` and `gross`, the change of equity before any cost."""
     over = Window.partitionBy(*keys).orderBy("ts_open")
     pos = F.coalesce(F.lag("target").over(over), F.lit(0)).cast("long") * spec.quantity
     out = targets.withColumn("position", pos)
     before = F.coalesce(F.lag("position").over(over), F.lit(0))
     last_close = F.coalesce(F.lag("close").over(over), F.col("open"))
-    traded = F.abs(F.col("position") - before)
-    out = out.withColumn("traded", traded).withColumn("fee", traded * F.lit(costs.fee))
-    change = (
-        before * (F.col("open") - last_close) * spec.point_value
-        + F.col("position") * (F.col("close") - F.col("open")) * spec.point_value
-        - F.col("traded") * F.lit(costs.slip * spec.point_value + costs.fee)
-    )
-    out = out.withColumn("delta", change)
-    total = F.sum("delta").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("equity", F.lit(spec.cash) + total).drop("delta")
+    gross = before * (F.col("open") - last_close) * spec.point_value + F.col("position") * (F.col("close") - F.col("open")) * spec.point_value
+    return out.withColumns({"traded": F.abs(F.col("position") - before), "gross": gross})
 
 
-# ---------------------------------------------------------------- K2: enter and exit rules
+def equity(targets: DataFrame, spec: Spec, costs: Costs, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """Equity after each bar, for targets of -q, 0 or q; exact in whole nanos."""
+    over = Window.partitionBy(*keys).orderBy("ts_open").rowsBetween(Window.unboundedPreceding, 0)
+    out = marked(targets, spec, keys).withColumn("fee", F.col("traded") * F.lit(costs.fee))
+    change = F.col("gross") - F.col("traded") * F.lit(costs.slip * spec.point_value + costs.fee)
+    return out.withColumn("equity", F.lit(spec.cash) + F.sum(change).over(over)).drop("gross")
 
 
-def rule_targets(bars: DataFrame, enter_long: Column, exit_long: Column, enter_short: Column | None = None, exit_short: Column | None = None) -> DataFrame:
-    """Adds `target` and `conflict`: exits first, then entries when flat; both entries at once stay flat.
+def cost_levels(targets: DataFrame, spec: Spec, levels: tuple[int, ...], fee: int, tick: int, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """Per key and half-spread level in half ticks: bars, contracts, fees and final equity.
 
-    Each bar maps the state {-1, 0, 1} to a state. Such maps compose, but a
-    plain fold over one instrument's bars in the JVM is enough.
+    Costs are linear in the contracts traded, so the bars are replayed once,
+    whatever the number of levels.
     """
+    done = marked(targets, spec, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"), F.sum("traded").alias("traded"), F.sum("gross").alias("gross"))
+    rows = done.withColumn("half_ticks", F.explode(F.array(*map(F.lit, levels))))
+    slip = F.expr(f"half_ticks * {tick}L div 2")
+    cost = F.col("traded") * (slip * spec.point_value + fee)
+    return rows.select(
+        *keys, "half_ticks", "bars", "traded", (F.col("traded") * F.lit(fee)).alias("fees"), (F.lit(spec.cash) + F.col("gross") - cost).alias("final_equity")
+    )
+
+
+# ---------------------------------------------------------------- K2: enter and exit rules
+
+
+def machine(state: int, enter_long: bool, exit_long: bool, enter_short: bool, exit_short: bool) -> tuple[int, bool]:
+    """The next state and whether both entries fired at once: exits first, then entries when flat."""
+    if (state == 1 and exit_long) or (state == -1 and exit_short):
+        state = 0
+    if state:
+        return state, False
+    if enter_long and enter_short:
+        return 0, True
+    return (1 if enter_long else -1 if enter_short else 0), False
+
+
+class _Machine:
+    def __init__(self, flags: list[int]):
+        self.flags, self.state = flags, 0
+
+    def feed(self, rows: pa.RecordBatch) -> list:
+        flags = [rows.column(i).to_numpy(zero_copy_only=False) for i in self.flags]
+        acts = np.flatnonzero(flags[0] | flags[1] | flags[2] | flags[3])
+        target, conflict = np.full(rows.num_rows, self.state, np.int32), np.zeros(rows.num_rows, bool)
+        # A bar that acts on no state keeps the last one.
+        for at, *now in zip(acts.tolist(), *(f[acts].tolist() for f in flags)):
+            self.state, conflict[at] = machine(self.state, *now)
+            target[at:] = self.state
+        return [pa.array(target, pa.int32()), pa.array(conflict, pa.bool_())]
+
+
+def rule_targets(
+    bars: DataFrame, enter_long: Column, exit_long: Column, enter_short: Column | None = None, exit_short: Column | None = None,
+    keys: tuple[str, ...] = ("instrument",),
+) -> DataFrame:
+    """Adds `target` and `conflict`: exits first, then entries when flat; both entries at once stay flat."""
     no = F.lit(False)
+    names = ("__el", "__xl", "__es", "__xs")
     flags = [F.coalesce(c, no) if c is not None else no for c in (enter_long, exit_long, enter_short, exit_short)]
-    staged = bars.withColumns(dict(zip(("__el", "__xl", "__es", "__xs"), flags)))
-    # A bar that acts on no state is skipped; the last state is carried on by a window.
-    item = F.struct("ts_open", "__el", "__xl", "__es", "__xs")
-    acts = F.col("__el") | F.col("__xl") | F.col("__es") | F.col("__xs")
-    folded = staged.where(acts).groupBy("instrument").agg(F.sort_array(F.collect_list(item)).alias("events"))
-
-    def step(acc, e):
-        flat = F.when((acc["s"] == 1) & e["__xl"], 0).when((acc["s"] == -1) & e["__xs"], 0).otherwise(acc["s"])
-        both = (flat == 0) & e["__el"] & e["__es"]
-        s = F.when((flat != 0) | both, flat).when(e["__el"], 1).when(e["__es"], -1).otherwise(flat)
-        return F.struct(
-            s.cast("int").alias("s"),
-            F.concat(acc["out"], F.array(F.struct(e["ts_open"].alias("ts_open"), s.cast("int").alias("s"), both.alias("c")))).alias("out"),
-        )
-
-    empty = F.expr("cast(array() as array<struct<ts_open:bigint,s:int,c:boolean>>)")
-    states = folded.select(
-        "instrument", F.inline(F.aggregate("events", F.struct(F.lit(0).alias("s"), empty.alias("out")), step, lambda a: a["out"]))
-    )
-    joined = staged.drop("__el", "__xl", "__es", "__xs").join(states, ["instrument", "ts_open"], "left")
-    over = Window.partitionBy("instrument").orderBy("ts_open").rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("target", F.coalesce(F.last("s", ignorenulls=True).over(over), F.lit(0))).withColumn(
-        "conflict", F.coalesce("c", F.lit(False))
-    ).drop("s", "c")
+    staged = bars.withColumns(dict(zip(names, flags)))
+    columns = [*keys, *[c for c in staged.columns if c not in keys]]
+    at = [columns.index(n) for n in names]
+    return beside(staged, list(keys), ["ts_open"], lambda _: _Machine(at), "target int, conflict boolean").drop(*names)
 
 
 # ---------------------------------------------------------------- K3: the general kernel
@@ -191,46 +214,90 @@ class Portfolio:
         return self.cash + open_gain
 
 
-def run_bars(bars, targets, step: int, spec: Spec, costs: Costs, stop: int | None = None, target: int | None = None):
-    """Per bar: pending fill, bracket exit, mark, decision. Returns (equity, fills, trades, cancelled).
-
-    `targets` gives the wanted position after each bar, None to leave it. Bars
-    out of order are an error.
-    """
-    book, equity_points, fills = Portfolio(spec), [], []
-    pending, live, last = None, None, None
-    for bar, wanted in zip(bars, targets):
-        ts = bar.ts_open + step
-        if last is not None and ts < last:
-            raise ValueError(f"bar at {ts} comes after {last}")
-        last = ts
-        if pending:
-            side = 1 if pending > 0 else -1
-            price = bar.open + side * costs.slip
-            book.fill(ts, pending, price, costs.fee)
-            fills.append((ts, pending, price, "order", False))
-            pending, live = None, None
-            if book.position and (stop is not None or target is not None):
-                live = bracket_levels(price, 1 if book.position > 0 else -1, costs.tick, stop, target)
-        if live and book.position:
+class BracketRun:
+    """One instrument's bars in order: pending fill, bracket exit, mark, decision. Bars out of order are an error."""
+
+    def __init__(self, step: int, spec: Spec, costs: Costs, stop: int | None = None, target: int | None = None):
+        self.step, self.costs, self.stop, self.target = step, costs, stop, target
+        self.book, self.fills = Portfolio(spec), []
+        self.pending = self.live = self.last = None
+
+    def _fill(self, ts: int, change: int, price: int, leg: str, unsure: bool) -> None:
+        self.book.fill(ts, change, price, self.costs.fee)
+        self.fills.append((ts, change, price, leg, unsure))
+
+    def take(self, bar, wanted: int | None) -> tuple[int, int]:
+        """(time, equity) after the bar; `wanted` is the position decided on it, None to leave it."""
+        book, ts = self.book, bar.ts_open + self.step
+        if self.last is not None and ts < self.last:
+            raise ValueError(f"bar at {ts} comes after {self.last}")
+        self.last = ts
+        if self.pending:
+            side = 1 if self.pending > 0 else -1
+            price = bar.open + side * self.costs.slip
+            self._fill(ts, self.pending, price, "order", False)
+            self.pending, self.live = None, None
+            if book.position and (self.stop is not None or self.target is not None):
+                self.live = bracket_levels(price, 1 if book.position > 0 else -1, self.costs.tick, self.stop, self.target)
+        if self.live and book.position:
             side = 1 if book.position > 0 else -1
-            hit = resolve_bracket(side, bar, *live)
+            hit = resolve_bracket(side, bar, *self.live)
             if hit:
                 price, leg, _, unsure = hit
                 if leg == "stop":
-                    price -= side * costs.slip
-                change = -book.position
-                book.fill(ts, change, price, costs.fee)
-                fills.append((ts, change, price, leg, unsure))
-                live = None
-        equity_points.append((ts, book.mark(bar.close)))
+                    price -= side * self.costs.slip
+                self._fill(ts, -book.position, price, leg, unsure)
+                self.live = None
+        mark = (ts, book.mark(bar.close))
         if wanted is not None and wanted != book.position:
-            pending = wanted - book.position
-    return equity_points, fills, book.trades, int(pending is not None)
+            self.pending = wanted - book.position
+        return mark
+
+
+def run_bars(bars, targets, step: int, spec: Spec, costs: Costs, stop: int | None = None, target: int | None = None):
+    """(equity, fills, trades, cancelled) of one series; `targets` gives the wanted position after each bar."""
+    run = BracketRun(step, spec, costs, stop, target)
+    points = [run.take(bar, wanted) for bar, wanted in zip(bars, targets)]
+    return points, run.fills, run.book.trades, int(run.pending is not None)
+
+
+@dataclass
+class _Bar:
+    ts_open: int
+    open: int
+    high: int
+    low: int
+    close: int
+
+
+class _Brackets:
+    """Feeds a `BracketRun` and hands out what is new of its result."""
+
+    TYPES = {
+        "fills": (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()),
+        "trades": (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()),
+        "equity": (pa.int64(), pa.int64()),
+        "cancelled": (pa.int64(), pa.int64()),
+    }
+
+    def __init__(self, run: BracketRun, result: str, quantity: int):
+        self.run, self.result, self.quantity = run, result, quantity
+
+    def feed(self, rows: pa.RecordBatch) -> list:
+        columns = [rows.column(c).to_pylist() for c in ("ts_open", "open", "high", "low", "close", "target")]
+        points, opened = [], []
+        for *bar, wanted in zip(*columns):
+            points.append(self.run.take(_Bar(*bar), wanted * self.quantity))
+            opened.append((points[-1][0], self.run.pending or 0))
+        found = {"fills": self.run.fills, "trades": self.run.book.trades, "equity": points, "cancelled": opened}[self.result]
+        out = [pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * len(self.TYPES[self.result]), self.TYPES[self.result])]
+        self.run.fills.clear()
+        self.run.book.trades.clear()
+        return out
 
 
 def bracket_replay(targets: DataFrame, step: int, spec: Spec, costs: Costs, stop: int | None, target: int | None, result: str = "fills") -> DataFrame:
-    """Runs the general kernel for each instrument; `result` is fills, trades or equity.
+    """Runs the general kernel for each instrument; `result` is fills, trades, equity or cancelled (orders that never filled).
 
     A target decided while the same side was just protected out is entered again.
     """
@@ -238,20 +305,15 @@ def bracket_replay(targets: DataFrame, step: int, spec: Spec, costs: Costs, stop
         "fills": "instrument string, ts long, change long, price long, leg string, path_sensitive boolean",
         "trades": "instrument string, closed_ts long, net long, direction int, opened_ts long, mae long, mfe long",
         "equity": "instrument string, ts long, equity long",
+        "cancelled": "instrument string, ts long, change long",
     }
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_open")
-        wanted = [int(t) * spec.quantity for t in pdf["target"]]
-        points, fills, trades, _ = run_bars(pdf.itertuples(index=False), wanted, step, spec, costs, stop, target)
-        rows = {"fills": fills, "trades": trades, "equity": points}[result]
-        names = [x.split()[0] for x in schemas[result].split(", ")[1:]]
-        out = pd.DataFrame(rows, columns=names)
-        out.insert(0, "instrument", pdf["instrument"].iloc[0])
-        return out
-
     need = targets.select("instrument", "ts_open", "open", "high", "low", "close", "target")
-    return need.groupBy("instrument").applyInPandas(run, schemas[result])
+    make = lambda _: _Brackets(BracketRun(step, spec, costs, stop, target), result, spec.quantity)
+    found = rows_of(need, ["instrument"], ["ts_open"], make, schemas[result])
+    if result != "cancelled":
+        return found
+    last = found.groupBy("instrument").agg(F.max_by("change", "ts").alias("change"), F.max("ts").alias("ts"))
+    return last.where("change <> 0").select("instrument", "ts", "change")
 
 
 # ---------------------------------------------------------------- trades without state

@@ -4,26 +4,56 @@ from __future__ import annotations
 
 import hashlib
 import tomllib
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import session_clock, with_session
 from ..functions.prices import points
 from ..operators import indicators, replay
-from .rules import Expr, RuleError, canonical, compile_rule, has_cross, parse
+from ..operators.kernel import rows_of
+from ..schema import NANO
+from .rules import PRICES, SESSION, Expr, RuleError, canonical, compile_rule, evaluate, has_cross, operands, parse
 
 WARN_COMBOS, MOST_COMBOS = 10_000, 50_000
+#: Combos whose states one kernel carries side by side.
+CHUNK = 64
+RULES = ("enter_long", "exit_long", "enter_short", "exit_short")
+#: Keys of the other tables of a configuration.
+TABLES = {
+    "meta": ("name", "hypothesis", "family"),
+    "contract": ("tick", "point_value", "quantity"),
+    "execution": ("half_spread_ticks", "fee", "cash"),
+    "walk_forward": ("train_days", "test_days", "step_days", "anchored"),
+    "run": ("seed",),
+}
 FIELDS = {"sma": ("value",), "ema": ("value",), "bollinger": ("lower", "middle", "upper"), "zscore": ("value",), "stdev": ("value",)}
 
 
 @dataclass(frozen=True)
 class Config:
-    """Slots sorted by name, each with its axes in declared order; the four rules."""
+    """Slots sorted by name, each with its axes in declared order; the four rules; the other tables as they were written."""
 
     slots: tuple[tuple[str, str, tuple[tuple[str, tuple], ...]], ...]
     rules: tuple[tuple[str, Expr], ...]
+    tables: dict[str, dict] = field(default_factory=dict)
+
+    def costs(self) -> replay.Costs:
+        """Half-spread in whole or half ticks and fee in dollars a contract; there is no default."""
+        execution, tick = self.tables["execution"], self.tables["contract"]["tick"]
+        doubled = float(execution["half_spread_ticks"]) * 2
+        if doubled < 0 or abs(doubled - round(doubled)) > 1e-9:
+            raise ValueError("half_spread_ticks is not in half ticks")
+        return replay.Costs(round(doubled), round(float(execution["fee"]) * NANO), round(float(tick) * NANO))
+
+    def spec(self) -> replay.Spec:
+        contract, execution = self.tables.get("contract", {}), self.tables.get("execution", {})
+        return replay.Spec(contract.get("point_value", 50), contract.get("quantity", 1), execution.get("cash", 100_000) * NANO)
 
     def axes(self) -> list[tuple[str, str, tuple]]:
         return [(slot, axis, values) for slot, _, axes in self.slots for axis, values in axes]
@@ -37,6 +67,7 @@ class Config:
     def identity(self) -> str:
         """A hash that does not depend on spelling or slot order."""
         text = [f"{s}:{k}:{axes!r}" for s, k, axes in self.slots] + [f"{n}={canonical(e)}" for n, e in self.rules]
+        text += [f"{t}.{k}={v!r}" for t in sorted(self.tables) for k, v in sorted(self.tables[t].items()) if t != "meta"]
         return hashlib.sha256("\n".join(f"{len(t)}:{t}" for t in text).encode()).hexdigest()
 
     def combos(self) -> list[dict[str, object]]:
@@ -65,8 +96,11 @@ def _axis(name: str, value) -> tuple:
 def load(text: str) -> Config:
     """Reads TOML; unknown keys are refused."""
     raw = tomllib.loads(text)
-    if set(raw) - {"meta", "indicators", "rules"}:
-        raise ValueError(f"unknown tables: {sorted(set(raw) - {'meta', 'indicators', 'rules'})}")
+    if unknown := sorted(set(raw) - {*TABLES, "indicators", "rules"}):
+        raise ValueError(f"unknown tables: {unknown}")
+    for name in TABLES:
+        if unknown := sorted(set(raw.get(name, {})) - set(TABLES[name])):
+            raise ValueError(f"unknown keys of {name}: {unknown}")
     slots, known = [], set()
     for slot in sorted(raw.get("indicators", {})):
         body = dict(raw["indicators"][slot])
@@ -76,58 +110,145 @@ def load(text: str) -> Config:
         slots.append((slot, kind, tuple((a, _axis(a, v)) for a, v in body.items())))
         known |= {f"{slot}.{f}" for f in FIELDS[kind]}
     rules = raw.get("rules", {})
-    if set(rules) - {"enter_long", "exit_long", "enter_short", "exit_short"} or not rules:
+    if set(rules) - set(RULES) or not rules:
         raise RuleError("rules are enter_long, exit_long, enter_short and exit_short")
-    config = Config(tuple(slots), tuple((n, parse(rules[n], known)) for n in sorted(rules)))
+    config = Config(tuple(slots), tuple((n, parse(rules[n], known)) for n in sorted(rules)), {t: raw[t] for t in TABLES if t in raw})
+    if config.size() > WARN_COMBOS:
+        warnings.warn(f"{config.size()} combos are many trials", stacklevel=2)
     if config.size() > MOST_COMBOS:
         raise ValueError(f"{config.size()} combos; at most {MOST_COMBOS} are run")
     return config
 
 
-def _columns(config: Config, combo: dict[str, object]) -> dict[str, Column]:
-    close = points(F.col("close"))
-    out: dict[str, Column] = {p: points(F.col(p)) for p in ("open", "high", "low", "close")} | {"volume": F.col("volume").cast("double")}
-    for slot, kind, _ in config.slots:
-        given = {k.split(".")[1]: v for k, v in combo.items() if k.startswith(f"{slot}.")}
-        period = int(given["period"])
-        if kind == "sma":
-            out[f"{slot}.value"] = indicators.sma(close, period)
-        elif kind == "bollinger":
-            for field, c in zip(("lower", "middle", "upper"), indicators.bollinger(close, period, float(given.get("k", 2.0)))):
-                out[f"{slot}.{field}"] = c
-        elif kind == "zscore":
-            out[f"{slot}.value"] = indicators.zscore(close, period)
-        elif kind == "stdev":
-            out[f"{slot}.value"] = indicators.stdev(close, period)
-        else:
-            raise ValueError(f"{kind} is not a window expression; join its operator's result")
-    return out
-
-
-def signals(bars: DataFrame, config: Config, combo: dict[str, object]) -> DataFrame:
+def _fields(kind: str, given: dict[str, object], ema: Column | None) -> dict[str, Column]:
+    """The indicator's columns, by field, with one choice of its axes."""
+    close, period = points(F.col("close")), int(given["period"])
+    if kind == "bollinger":
+        return dict(zip(("lower", "middle", "upper"), indicators.bollinger(close, period, float(given.get("k", 2.0)))))
+    return {"value": {"sma": indicators.sma, "zscore": indicators.zscore, "stdev": indicators.stdev}[kind](close, period) if ema is None else ema}
+
+
+def _settings(config: Config) -> list[tuple[str, str, tuple[tuple[str, object], ...]]]:
+    """(slot, kind, choice of axes) of everything that any combo asks for: sums over slots, not products."""
+    return [(slot, kind, tuple(zip([a for a, _ in axes], values))) for slot, kind, axes in config.slots for values in product(*(v for _, v in axes))]
+
+
+def _staged(bars: DataFrame, config: Config, settings: list, dim: DataFrame | None, step: int | None) -> tuple[DataFrame, dict[tuple, str]]:
+    """Bars with a column for each setting's field and session word, and the columns' names."""
+    emas = {f"__e{given['period']}": int(given["period"]) for _, kind, choice in settings if kind == "ema" for given in [dict(choice)]}
+    if emas:
+        bars = indicators.with_emas(bars.withColumn("__x", points(F.col("close"))), "__x", emas).drop("__x")
+    names: dict[tuple, str] = {}
+    columns: dict[str, Column] = {}
+    for slot, kind, choice in settings:
+        ema = F.col(f"__e{dict(choice)['period']}") if kind == "ema" else None
+        for name, column in _fields(kind, dict(choice), ema).items():
+            names[slot, choice, name] = f"__v{len(names)}"
+            columns[names[slot, choice, name]] = column
+    used = set().union(*(operands(e) for _, e in config.rules)) & set(SESSION)
+    if used:
+        if dim is None or step is None:
+            raise RuleError("the rules ask for session words, so a session table is needed")
+        clock = session_clock(step)
+        inside = with_session(bars, dim, step).select("instrument", "ts_open", *[clock[w].alias(f"__{w}") for w in sorted(used)])
+        bars = bars.join(inside, ["instrument", "ts_open"], "left")
+        names |= {("session", w): f"__{w}" for w in used}
+    return bars.withColumns(columns).drop(*emas), names
+
+
+def signals(bars: DataFrame, config: Config, combo: dict[str, object], dim: DataFrame | None = None, step: int | None = None) -> DataFrame:
     """Bars with the rules of one combo as columns; the first bars are held back."""
     over = indicators.series()
-    values = _columns(config, combo)
+    choice = lambda slot: tuple((k.split(".")[1], v) for k, v in combo.items() if k.startswith(f"{slot}."))
     # Indicator columns first, so that crossovers look at columns, not at windows of windows.
-    named = {f"__v{i}": c for i, c in enumerate(values.values())}
-    staged = bars.withColumns(named | {"__n": F.row_number().over(over)})
-    columns = {name: F.col(f"__v{i}") for i, name in enumerate(values)}
-    ready = F.col("__n") > config.warmup()
-    rules = {name: compile_rule(e, columns, over) for name, e in config.rules}
-    staged = staged.withColumns({f"rule_{n}": c for n, c in rules.items()})
-    return staged.withColumns({f"rule_{n}": ready & F.coalesce(F.col(f"rule_{n}"), F.lit(False)) for n in rules}).drop("__n", *named)
-
-
-def run(bars: DataFrame, config: Config, spec: replay.Spec, costs: replay.Costs) -> DataFrame:
-    """Final equity of each combo and instrument. The bars are scanned from one materialised source."""
-    out = None
-    for index, combo in enumerate(config.combos()):
-        s = signals(bars, config, combo)
-        rule = lambda n: F.col(f"rule_{n}") if f"rule_{n}" in s.columns else None  # noqa: B023, E731
-        targets = replay.rule_targets(s, rule("enter_long") if rule("enter_long") is not None else F.lit(False), rule("exit_long"), rule("enter_short"), rule("exit_short"))
-        curve = replay.equity(targets, spec, costs)
-        one = curve.groupBy("instrument").agg(F.max_by("equity", "ts_open").alias("final_equity"), F.sum("traded").alias("contracts")).select(
-            F.lit(index).alias("combo"), "instrument", "final_equity", "contracts"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    staged, names = _staged(bars, config, [(slot, kind, choice(slot)) for slot, kind, _ in config.slots], dim, step)
+    columns = {p: points(F.col(p)) for p in PRICES[:4]} | {"volume": F.col("volume").cast("double")}
+    columns |= {k[1] if k[0] == "session" else f"{k[0]}.{k[2]}": F.col(c) for k, c in names.items()}
+    ready = F.row_number().over(over) > config.warmup()
+    rules = {f"rule_{n}": ready & F.coalesce(compile_rule(e, columns, over), F.lit(False)) for n, e in config.rules}
+    return staged.withColumns(rules).drop(*names.values())
+
+
+class _Combos:
+    """The states and equity of some combos over one instrument's bars."""
+
+    def __init__(self, config: Config, places: dict[str, np.ndarray], combos: np.ndarray, spec: replay.Spec, costs: replay.Costs):
+        self.rules, self.warmup, self.combos, self.places = dict(config.rules), config.warmup(), combos, places
+        self.spec, self.cost = spec, costs.slip * spec.point_value + costs.fee
+        n = len(combos)
+        self.seen, self.close = 0, None
+        self.state, self.position = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.equity, self.contracts = np.full(n, spec.cash, np.int64), np.zeros(n, np.int64)
+        self.before: dict[str, float] = {}
+
+    def _values(self, rows: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """Operands as rows x combos (or x 1), the last row of the batch before first."""
+        plain = {}
+        for name in rows.schema.names:
+            if name in PRICES or name.startswith("__"):
+                x = rows.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                x = x / NANO if name in PRICES[:4] else x
+                plain[name] = np.concatenate([[self.before.get(name, np.nan)], np.where(np.isfinite(x), x, np.nan)])
+        self.before = {name: float(x[-1]) for name, x in plain.items()}
+        out = {name: plain[name][:, None] for name in PRICES} | {w: plain[f"__{w}"][:, None] for w in SESSION if f"__{w}" in plain}
+        return out | {name: np.stack([plain[c] for c in columns], axis=1) for name, columns in self.places.items()}
+
+    def feed(self, rows: pa.RecordBatch) -> list:
+        n, c = rows.num_rows, len(self.combos)
+        values = self._values(rows)
+        ready = np.arange(self.seen + 1, self.seen + n + 1) > self.warmup
+        flags = []
+        for name in RULES:
+            if name not in self.rules:
+                flags.append(np.zeros((n, c), bool))
+                continue
+            known, value = evaluate(self.rules[name], values)
+            flags.append(np.broadcast_to((known & value)[1:], (n, c)) & ready[:, None])
+        enter_long, exit_long, enter_short, exit_short = flags
+        target = np.empty((n, c), np.int64)
+        acts = (enter_long | exit_long | enter_short | exit_short).any(axis=1)
+        state, last = self.state, 0
+        for i in np.flatnonzero(acts).tolist():
+            target[last:i] = state
+            state = np.where(((state == 1) & exit_long[i]) | ((state == -1) & exit_short[i]), 0, state)
+            opening = np.where(enter_long[i] & ~enter_short[i], 1, np.where(enter_short[i] & ~enter_long[i], -1, 0))
+            state = np.where(state == 0, opening, state)
+            last = i
+        target[last:] = state
+        opened, closed = (rows.column(x).to_numpy() for x in ("open", "close"))
+        held = np.vstack([self.state[None], target[:-1]]) * self.spec.quantity
+        before = np.vstack([self.position[None], held[:-1]])
+        gap = opened - np.concatenate([[opened[0] if self.close is None else self.close], closed[:-1]])
+        traded = np.abs(held - before)
+        gain = (before * gap[:, None] + held * (closed - opened)[:, None]) * self.spec.point_value - traded * self.cost
+        self.equity, self.contracts = self.equity + gain.sum(axis=0), self.contracts + traded.sum(axis=0)
+        self.state, self.position, self.close, self.seen = state, held[-1], int(closed[-1]), self.seen + n
+        numbers = (self.combos, np.full(c, self.seen), self.equity, self.contracts)
+        return [pa.array(x, pa.int64()) for x in numbers]
+
+
+def run(bars: DataFrame, config: Config, spec: replay.Spec, costs: replay.Costs, dim: DataFrame | None = None, step: int | None = None) -> DataFrame:
+    """Final equity and contracts traded of each combo and instrument.
+
+    Every indicator setting is one window column over one scan of the bars.
+    Combos are rows: chunks of them are a key beside the instrument, and a
+    kernel carries the states of a chunk, so neither the plan nor a task grows
+    with the number of combos.
+    """
+    settings = _settings(config)
+    staged, names = _staged(bars, config, settings, dim, step)
+    combos = config.combos()
+    wanted = sorted(set().union(*(operands(e) for _, e in config.rules)) - set(PRICES) - set(SESSION))
+    choices = [{slot: tuple((k.split(".")[1], v) for k, v in combo.items() if k.startswith(f"{slot}.")) for slot, _, _ in config.slots} for combo in combos]
+    places = {w: np.array([names[w.split(".")[0], choice[w.split(".")[0]], w.split(".")[1]] for choice in choices]) for w in wanted}
+    used = {*(c for columns in places.values() for c in columns), *(c for k, c in names.items() if k[0] == "session")}
+    chunks = -(-len(combos) // CHUNK)
+    rows = staged.select("instrument", "ts_open", *PRICES, *sorted(used)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def make(key: tuple) -> _Combos:
+        part = np.arange(key[1] * CHUNK, min(len(combos), (key[1] + 1) * CHUNK))
+        return _Combos(config, {w: columns[part] for w, columns in places.items()}, part, spec, costs)
+
+    schema = "instrument string, chunk int, combo long, n long, final_equity long, contracts long"
+    found = rows_of(rows, ["instrument", "chunk"], ["ts_open"], make, schema)
+    return found.groupBy("combo", "instrument").agg(F.max_by("final_equity", "n").alias("final_equity"), F.max("contracts").alias("contracts"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -127,6 +128,38 @@ def has_cross(e: Expr) -> bool:
     return (e.kind == "compare" and str(e.value).startswith("crosses")) or any(map(has_cross, e.args))
 
 
+def operands(e: Expr) -> set[str]:
+    """All words that a rule reads."""
+    return {str(e.value)} if e.kind == "operand" else set().union(*map(operands, e.args))
+
+
+def evaluate(e: Expr, values: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(known, value) of a rule over arrays whose first axis is time; not-a-number is null, and a cross looks one row back."""
+    if e.kind == "compare":
+        a, b = (np.full((1, 1), x.value) if x.kind == "number" else values[str(x.value)] for x in e.args)
+        a, b = np.broadcast_arrays(a, b)
+        if str(e.value).startswith("crosses") and len(a) == 1:  # two numbers never cross
+            shape = next(iter(values.values())).shape[0], 1
+            return np.ones(shape, bool), np.zeros(shape, bool)
+        known = ~(np.isnan(a) | np.isnan(b))
+        with np.errstate(invalid="ignore"):
+            if not str(e.value).startswith("crosses"):
+                return known, {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[str(e.value)]
+            up = e.value == "crosses_above"
+            now, was = (a > b, a <= b) if up else (a < b, a >= b)
+        out, sure = np.zeros(a.shape, bool), np.zeros(a.shape, bool)
+        out[1:] = was[:-1] & now[1:]
+        # As in SQL, one side that is false decides even if the other is null.
+        sure[1:] = (known[:-1] & known[1:]) | (known[:-1] & ~was[:-1]) | (known[1:] & ~now[1:])
+        return sure, out & sure
+    known, value = evaluate(e.args[0], values)
+    if e.kind == "not":
+        return known, known & ~value
+    also, other = evaluate(e.args[1], values)
+    decided = known & (~value if e.kind == "and" else value)
+    return known & (decided | also), np.where(decided, value, other)
+
+
 def compile_rule(e: Expr, columns: dict[str, Column], over: WindowSpec) -> Column:
     """A nullable boolean column; prices are signal prices in points."""
     if e.kind == "number":
