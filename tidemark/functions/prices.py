@@ -36,9 +36,17 @@ def round_to_tick(price: Column, tick: int) -> Column:
     return (moved - moved % F.lit(tick)).cast("long")
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_decimal(text: Column, digits: int = 9) -> Column:
     """Exact nanos of a decimal text; null for exponents, too many digits or anything else."""
-    plain = F.regexp_replace(text, "_", "")
+    return let(F.regexp_replace(text, "_", ""), lambda plain: _parsed(plain, digits))
+
+
+def _parsed(plain: Column, digits: int) -> Column:
     ok = plain.rlike(rf"^[+-]?[0-9]+(\.[0-9]{{1,{digits}}})?$")
     sign = F.when(plain.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
     whole = F.regexp_extract(plain, r"^[+-]?([0-9]+)", 1)
@@ -48,6 +56,10 @@ def parse_decimal(text: Column, digits: int = 9) -> Column:
 
 def show_decimal(nanos: Column) -> Column:
     """Decimal text without trailing zeros."""
+    return let(nanos, _shown)
+
+
+def _shown(nanos: Column) -> Column:
     size = F.abs(nanos)
     part = F.rtrim(F.lpad((size % F.lit(10**9)).cast("string"), 9, "0"), F.lit("0"))
     whole = ((size - size % F.lit(10**9)) / F.lit(10**9)).cast("long").cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONTH_CODES = "FGHJKMNQUVXZ"
@@ -41,3 +41,26 @@ def third_friday(y: Column, m: Column) -> Column:
 def recordable(symbol: Column) -> Column:
     """A symbol that a log line may hold: not empty, no white space or control characters."""
     return symbol.isNotNull() & symbol.rlike(r"^[^\x00-\x20\x7F]+$")
+
+
+def delivery_places(rows: DataFrame, contract: str, tie: str) -> DataFrame:
+    """`rows` with `place`, from 1 in each root: by year and month of delivery, not by letters, ties by `tie`.
+
+    No task sorts a whole root: places inside one delivery month are numbered
+    alone, and the months before, one row each, are added up.
+    """
+    month_key = ["__root", "__year", "__month"]
+    keyed = rows.withColumns({"__root": root(F.col(contract)), "__year": year(F.col(contract)), "__month": month(F.col(contract))})
+    before = Window.partitionBy("__root").orderBy("__year", "__month").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(*month_key).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = sizes.select(*month_key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy(*month_key).orderBy(tie))
+    placed = keyed.withColumn("__in", inside).join(ahead, month_key)
+    return placed.withColumn("place", (F.col("__ahead") + F.col("__in")).cast("long")).select(*rows.columns, "place")
+
+
+def alias_parts(alias: Column) -> tuple[Column, Column]:
+    """(root, rule) of `ROOT.rule.0`, rule v by volume or c by calendar; null for any other text or a deferred month."""
+    pattern = r"^([A-Z0-9]+)\.([vc])\.0+$"
+    part = lambda i: F.nullif(F.regexp_extract(alias, pattern, i), F.lit(""))
+    return part(1), part(2)

@@ -55,18 +55,36 @@ def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def subtract_intervals(wanted: DataFrame, owned: DataFrame, keys: list[str]) -> DataFrame:
-    """What of one wanted range per key the owned ranges do not cover."""
+    """What of each wanted range the owned ranges of its key do not cover; a key may want several ranges."""
     have = merge_intervals(owned, keys)
-    frame = wanted.select(*keys, F.col("start").alias("w0"), F.col("end").alias("w1"))
+    frame = wanted.select(*keys, F.col("start").alias("w0"), F.col("end").alias("w1")).where("w0 < w1").distinct()
     inside = frame.join(have, keys).where((F.col("end") > F.col("w0")) & (F.col("start") < F.col("w1")))
     marks = inside.select(*keys, "w0", "w1", "start", "end").unionByName(
         frame.select(*keys, "w0", "w1", F.col("w1").alias("start"), F.col("w1").alias("end"))
     )
-    before = F.max("end").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("end").over(Window.partitionBy(*keys, "w0", "w1").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     gaps = marks.withColumn("gap_start", F.greatest(F.coalesce(before, F.col("w0")), F.col("w0")))
     return gaps.where(F.col("gap_start") < F.col("start")).select(*keys, F.col("gap_start").alias("start"), F.col("start").alias("end"))
 
 
+def purchase_plan(wanted: DataFrame, available: DataFrame, owned: DataFrame, keys: list[str]) -> DataFrame:
+    """What has to be bought, by month: wanted date ranges clipped to what is on offer, less what is owned.
+
+    Ranges are of dates, [start, end). Windows of a gap tile it by construction
+    of `month_windows`; `tiled` says whether they do, from their lengths.
+    """
+    clipped = wanted.join(available.select(*keys, F.col("start").alias("a0"), F.col("end").alias("a1")), keys).select(
+        *keys, F.greatest("start", "a0").alias("start"), F.least("end", "a1").alias("end")
+    )
+    # Wanted ranges that overlap share their gaps.
+    whole = merge_intervals(clipped, keys)
+    gaps = subtract_intervals(whole, owned, keys).withColumnsRenamed({"start": "gap_start", "end": "gap_end"})
+    months = month_windows(gaps.withColumns({"start": F.col("gap_start"), "end": F.col("gap_end")}), [*keys, "gap_start", "gap_end"])
+    gap = Window.partitionBy(*keys, "gap_start", "gap_end")
+    length = F.sum(F.datediff("end", "start")).over(gap) == F.datediff("gap_end", "gap_start")
+    return months.withColumn("tiled", length & (F.min("start").over(gap) == F.col("gap_start")) & (F.max("end").over(gap) == F.col("gap_end")))
+
+
 def month_windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Date ranges [start, end) cut at the first of each month."""
     months = F.sequence(F.trunc("start", "month"), F.date_sub("end", 1), F.expr("interval 1 month"))

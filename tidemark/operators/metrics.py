@@ -19,42 +19,57 @@ def drawdowns(equity: DataFrame, keys: tuple[str, ...] = ("instrument",)) -> Dat
     return out.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")).cast("double") / F.col("peak")))
 
 
-def power_sums(x: Column, names: str = "") -> list[Column]:
-    """n and the sums of the first four powers: partial sums that add up across any split."""
+def moments(x: Column) -> list[Column]:
+    """n, mean and the undivided central moments m2, m3, m4, merged across tasks by the engine's own stable aggregates."""
     x = x.cast("double")
-    return [F.count(x).alias(f"{names}n"), *(F.sum(F.pow(x, F.lit(p))).alias(f"{names}s{p}") for p in (1, 2, 3, 4))]
-
-
-def combine_power_sums(names: str = "") -> list[Column]:
-    return [F.sum(f"{names}{c}").alias(f"{names}{c}") for c in ("n", "s1", "s2", "s3", "s4")]
+    n, var = F.count(x).cast("double"), F.coalesce(F.var_pop(x), F.lit(0.0))
+    skew, excess = (F.when(var > 0, c).otherwise(F.lit(0.0)) for c in (F.skewness(x), F.kurtosis(x)))
+    return [
+        F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), (var * n).alias("m2"),
+        (skew * F.pow(var, F.lit(1.5)) * n).alias("m3"), F.when(var > 0, (excess + 3) * var * var * n).otherwise(F.lit(0.0)).alias("m4"),
+    ]
+
+
+def _merged(a, b):
+    """Moments of two samples put together (pairwise update of central moments by Chan and others, and by Pebay)."""
+    na, nb = a["n"].cast("double"), b["n"].cast("double")
+    n, d = na + nb, b["mean"] - a["mean"]
+    m3 = a["m3"] + b["m3"] + d * d * d * na * nb * (na - nb) / (n * n) + 3.0 * d * (na * b["m2"] - nb * a["m2"]) / n
+    m4 = (
+        a["m4"] + b["m4"] + d * d * d * d * na * nb * (na * na - na * nb + nb * nb) / (n * n * n)
+        + 6.0 * d * d * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n) + 4.0 * d * (na * b["m3"] - nb * a["m3"]) / n
+    )
+    both = F.struct(
+        (a["n"] + b["n"]).alias("n"), (a["mean"] + d * nb / n).alias("mean"), (a["m2"] + b["m2"] + d * d * na * nb / n).alias("m2"),
+        m3.alias("m3"), m4.alias("m4"),
+    )
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
 
 
-def central(names: str = "") -> dict[str, Column]:
-    """mean and the central moments m2, m3, m4 (population) from power sums."""
-    n, s1, s2, s3, s4 = (F.col(f"{names}{c}").cast("double") for c in ("n", "s1", "s2", "s3", "s4"))
-    mean = s1 / n
-    m2 = s2 / n - mean * mean
-    m3 = s3 / n - 3 * mean * s2 / n + 2 * F.pow(mean, F.lit(3))
-    m4 = s4 / n - 4 * mean * s3 / n + 6 * mean * mean * s2 / n - 3 * F.pow(mean, F.lit(4))
-    return {"mean": mean, "m2": m2, "m3": m3, "m4": m4}
+def combine_moments(parts: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`moments` of all parts of a key together, folded in the order given: a few contracts each, in one row."""
+    names = ("n", "mean", "m2", "m3", "m4")
+    rows = F.sort_array(F.collect_list(F.struct(order, F.struct(*names).alias("v"))))
+    empty = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in names[1:]])
+    total = F.aggregate(F.transform(rows, lambda x: x["v"]), empty, _merged)
+    return parts.groupBy(*keys).agg(total.alias("v")).select(*keys, "v.*")
 
 
-def sharpe(names: str = "", per_year: float = 1.0) -> Column:
+def sharpe(per_year: float = 1.0) -> Column:
     """mean over sample deviation, times the root of bars a year; null for fewer than two or no spread."""
-    m, n = central(names), F.col(f"{names}n").cast("double")
-    sd = F.sqrt(F.greatest(m["m2"], F.lit(0.0)) * n / (n - 1))
-    return F.when((n >= 2) & (m["m2"] > 0), m["mean"] / sd * F.sqrt(F.lit(per_year)))
+    n = F.col("n").cast("double")
+    return F.when((n >= 2) & (F.col("m2") > 0), F.col("mean") / F.sqrt(F.col("m2") / (n - 1)) * F.sqrt(F.lit(per_year)))
 
 
-def shape(names: str = "") -> tuple[Column, Column]:
+def shape() -> tuple[Column, Column]:
     """Population skew and raw kurtosis; null for fewer than two or no spread."""
-    m, n = central(names), F.col(f"{names}n")
-    ok = (n >= 2) & (m["m2"] > 0)
-    return F.when(ok, m["m3"] / F.pow(m["m2"], F.lit(1.5))), F.when(ok, m["m4"] / (m["m2"] * m["m2"]))
+    n, var = F.col("n").cast("double"), F.col("m2") / F.col("n")
+    ok = (n >= 2) & (F.col("m2") > 0)
+    return F.when(ok, F.col("m3") / n / F.pow(var, F.lit(1.5))), F.when(ok, F.col("m4") / n / (var * var))
 
 
-def summary(equity: DataFrame, per_year: float, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
-    """One row per curve: ends, return and drawdown in percent, Sharpe ratio, fees."""
+def summary(equity: DataFrame, per_year: float, keys: tuple[str, ...] = ("instrument",), trades: DataFrame | None = None) -> DataFrame:
+    """One row per curve: ends, return and drawdown in percent, Sharpe ratio, shape of the returns, fees, and of `trades` round trips and win rate."""
     rows = drawdowns(bar_returns(equity, keys), keys)
     got = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bars"),
@@ -62,16 +77,19 @@ def summary(equity: DataFrame, per_year: float, keys: tuple[str, ...] = ("instru
         F.max_by("equity", "ts_open").alias("final_equity"),
         F.max("drawdown").alias("__dd"),
         F.sum("fee").cast("long").alias("fees"),
-        F.avg("ret").alias("__mean"),
-        F.stddev_samp("ret").alias("__sd"),
+        *moments(F.col("ret")),
     )
-    return got.select(
-        *keys, "bars", "first_equity", "final_equity",
-        ((F.col("final_equity") - F.col("first_equity")).cast("double") / F.col("first_equity") * 100).alias("return_pct"),
-        (F.col("__dd") * 100).alias("max_drawdown_pct"),
-        F.when(F.col("__sd") > 0, F.col("__mean") / F.col("__sd") * F.sqrt(F.lit(per_year))).alias("sharpe"),
-        "fees",
+    skew, kurtosis = shape()
+    first = F.col("first_equity")
+    change = F.when(first != 0, (F.col("final_equity").cast("double") / first - 1) * 100).otherwise(F.lit(0.0))
+    out = got.select(
+        *keys, "bars", "first_equity", "final_equity", change.alias("return_pct"), (F.coalesce("__dd", F.lit(0.0)) * 100).alias("max_drawdown_pct"),
+        sharpe(per_year).alias("sharpe"), skew.alias("skew"), kurtosis.alias("kurtosis"), "fees",
     )
+    if trades is None:
+        return out
+    closed = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("round_trips"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
+    return out.join(closed, list(keys), "left").withColumn("round_trips", F.coalesce("round_trips", F.lit(0)))
 
 
 def account_days(equity: DataFrame, day: Column, cash: int, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
@@ -120,6 +138,6 @@ def first_insolvent(equity: DataFrame, keys: tuple[str, ...] = ("instrument",))
 
 def nearest_rank(days: DataFrame, column: str, percents: list[int], keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """Nearest-rank percentiles: the value at place ceil(p n / 100)."""
-    return days.groupBy(*keys).agg(
-        *[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").alias(f"p{p}") for p in percents]
-    )
+    kind = days.schema[column].dataType
+    at = lambda p: F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").cast(kind)
+    return days.groupBy(*keys).agg(*[at(p).alias(f"p{p}") for p in percents])

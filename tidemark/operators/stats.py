@@ -97,11 +97,14 @@ def overfitting(perf: DataFrame, folds: int) -> DataFrame:
     among equals, is ranked out of sample, where equals of lower index count
     below; it overfits if twice its rank is at most the combos and one.
     """
-    # Splits are bounded by `block_splits`, so they may be broadcast.
+    # One row for each combo, with its folds side by side, before it meets the
+    # splits, which `block_splits` bounds.
     splits = F.broadcast(block_splits(perf, folds))
-    inside = F.expr("(mask >> fold) & 1") == 1
-    scored = perf.join(splits).groupBy("mask", "combo").agg(
-        F.avg(F.when(inside, F.col("ret"))).alias("is_score"), F.avg(F.when(~inside, F.col("ret"))).alias("oos_score")
+    combos = perf.groupBy("combo").agg(F.sort_array(F.collect_list(F.struct("fold", "ret"))).alias("r"))
+    inside = lambda x: F.get(F.split(F.lpad(F.bin("mask"), folds, "0"), ""), F.lit(folds - 1) - x["fold"]) == "1"
+    mean = lambda rows: F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["ret"]) / F.size(rows))
+    scored = combos.join(splits).select(
+        "mask", "combo", mean(F.filter("r", inside)).alias("is_score"), mean(F.filter("r", lambda x: ~inside(x))).alias("oos_score")
     )
     best = scored.groupBy("mask").agg(F.max(F.struct("is_score", (-F.col("combo")).alias("neg"), "oos_score")).alias("w"), F.count(F.lit(1)).alias("combos"))
     ranked = scored.join(best, "mask").groupBy("mask").agg(

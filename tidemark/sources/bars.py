@@ -65,22 +65,48 @@ def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- the bar store
 
 
-def write_bars(bars: DataFrame, path: str, tf: str) -> None:
-    """Partitions by instrument and time frame, each sorted by time, so that scans prune files and row groups."""
+STORE_VERSION = 1
+
+
+def write_bars(bars: DataFrame, path: str, tf: str, mode: str = "errorifexists") -> None:
+    """Partitions by time frame and instrument, each sorted by time, so that scans prune files and row groups.
+
+    The schema version and time frame stand in every file's footer, as metadata
+    of `ts_open`. An instrument whose times repeat or a negative volume is an
+    error; by default so is a store that exists.
+    """
+    tf_ns(tf)
+    again = F.lag("ts_open").over(Window.partitionBy("instrument").orderBy("ts_open")) == F.col("ts_open")
+    fault = F.when(again, "a bar twice").when(F.col("volume") < 0, "a negative volume")
+    text = F.concat(F.col("instrument"), F.lit(" has "), fault)
+    checked = bars.withColumn("ts_open", F.when(fault.isNotNull(), F.raise_error(text).cast("long")).otherwise(F.col("ts_open")))
+    noted = F.col("ts_open").alias("ts_open", metadata={"schema_version": STORE_VERSION, "tf": tf})
     (
-        bars.withColumn("tf", F.lit(tf))
+        checked.select(*[noted if c == "ts_open" else F.col(c) for c in bars.columns])
+        .withColumn("tf", F.lit(tf))
         .repartitionByRange("instrument", "ts_open")
         .sortWithinPartitions("instrument", "ts_open")
         .write.partitionBy("tf", "instrument")
         .option("compression", "zstd")
-        .mode("overwrite")
+        .mode(mode)
         .parquet(path)
     )
 
 
+def footer(spark: SparkSession, path: str, tf: str) -> dict:
+    """What a store's files say about themselves, without reading a row; a frame that its folder does not name is an error."""
+    found = spark.read.parquet(f"{path}/tf={tf}").schema["ts_open"].metadata
+    if found.get("schema_version") != STORE_VERSION:
+        raise ValueError(f"{path} is of store version {found.get('schema_version')}")
+    if found.get("tf") != tf:
+        raise ValueError(f"{path} says {found.get('tf')} in a folder of {tf}")
+    return found
+
+
 def scan_bars(spark: SparkSession, path: str, tf: str, instrument: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Bars of [start, end); instrument and frame prune partitions, the range prunes row groups."""
+    """Bars of [start, end); instrument and frame prune partitions, the range prunes row groups. The footer has to agree."""
     tf_ns(tf)
+    footer(spark, path, tf)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BAR_SCHEMA.fields)
     found = spark.read.schema(f"{fields}, tf string").parquet(path).where(F.col("tf") == tf)
     if instrument is not None:
@@ -162,6 +188,8 @@ def is_spread(symbol: str) -> Column:
 
 # ---------------------------------------------------------------- synthetic bars
 
+#: When walks begin, 2023-11-14T22:13:20Z (fixed value).
+WALK_START = 1_700_000_000_000_000_000
 _M1, _M2, _GAMMA = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,29 +201,33 @@ def split_mix(seed: int, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def synthetic_walk(spark: SparkSession, seeds: list[int], n: int, tf: str = "1m", tick: int = 250_000_000, start_ticks: int = 16_000) -> DataFrame:
-    """Random walks on the tick grid, an instrument `SYN:<seed>` each; no price falls below 400 ticks."""
+def synthetic_walk(spark: SparkSession, seeds: list[int], n: int, tf: str = "1m", tick: int = 250_000_000, start_ticks: int = 16_000, vol: int = 4) -> DataFrame:
+    """Random walks on the tick grid, an instrument `SYN:<seed>` each; no close falls below 400 ticks.
+
+    Each bar takes four draws: the step, between -`vol` and `vol`, the wicks, up to `vol` both, and the volume.
+    """
     step = tf_ns(tf)
+    wide = np.uint64(vol + 1)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for seed in batch["seed"]:
                 r = split_mix(int(seed), 4 * n).reshape(n, 4)
-                move = (r[:, 0] % np.uint64(9)).astype(np.int64) - 4
+                move = (r[:, 0] % np.uint64(2 * vol + 1)).astype(np.int64) - vol
                 close = np.empty(n, np.int64)
                 level = start_ticks
                 for i in range(n):
                     level = max(400, level + int(move[i]))
                     close[i] = level
                 open_ = np.concatenate([[start_ticks], close[:-1]])
-                up, down = (r[:, 1] % np.uint64(4)).astype(np.int64), (r[:, 2] % np.uint64(4)).astype(np.int64)
+                up, down = (r[:, 1] % wide).astype(np.int64), (r[:, 2] % wide).astype(np.int64)
                 yield pd.DataFrame(
                     {
                         "instrument": f"SYN:{seed}",
-                        "ts_open": np.arange(n, dtype=np.int64) * step,
+                        "ts_open": WALK_START + np.arange(n, dtype=np.int64) * step,
                         "open": open_ * tick,
                         "high": (np.maximum(open_, close) + up) * tick,
-                        "low": np.maximum(400, np.minimum(open_, close) - down) * tick,
+                        "low": np.maximum(1, np.minimum(open_, close) - down) * tick,
                         "close": close * tick,
                         "volume": 100 + (r[:, 3] % np.uint64(901)).astype(np.int64),
                     }

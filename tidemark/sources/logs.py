@@ -101,3 +101,34 @@ def layout_findings(files: DataFrame, roots: list[str]) -> DataFrame:
         .when(~F.col("path").rlike(r"\.(parquet|jsonl|zst)$"), "unknown_kind")
     )
     return files.select("path", finding.alias("finding")).where("finding IS NOT NULL")
+
+
+CONDITION = "date string, condition string"
+
+
+def vendor_conditions(spark: SparkSession, path: str) -> DataFrame:
+    """(job, date, condition) of all delivery days that the vendor calls other than available, from `<path>/<job>/condition.json`.
+
+    Other fields are ignored; a file that is no such list gives one row with a null date and the condition unreadable.
+    """
+    files = spark.read.text(f"{path}/*/condition.json", wholetext=True)
+    job = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/condition\.json$", 1)
+    rows = files.select(job.alias("job"), F.from_json("value", f"array<struct<{CONDITION.replace(' string', ': string')}>>").alias("c"))
+    good = F.col("c").isNotNull() & F.forall("c", lambda x: x["condition"].isNotNull())
+    days = rows.where(good).select("job", F.inline("c")).where("condition <> 'available'")
+    return days.unionByName(rows.where(~F.coalesce(good, F.lit(False))).select("job", F.lit(None).cast("string").alias("date"), F.lit("unreadable").alias("condition")))
+
+
+def merge_papers(papers: DataFrame, order: str) -> DataFrame:
+    """One row per paper: by DOI, or without one by title, white space and case aside, and year.
+
+    Each field is the first that is given in `order`; `seen_in` and `topics` are all
+    sources and topics, sorted. Groups are merged by partial aggregates.
+    """
+    title = F.trim(F.regexp_replace(F.lower("title"), r"\s+", " "))
+    by_title = F.concat(F.lit("title:"), title, F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("")))
+    key = F.when(F.length("doi") > 0, F.concat(F.lit("doi:"), F.col("doi"))).otherwise(by_title)
+    given = lambda c: F.min(F.when(F.length(F.col(c).cast("string")) > 0, F.struct(order, c)))[c].alias(c)
+    first = [F.min(F.struct(order, "title"))["title"].alias("title"), *[given(c) for c in ("doi", "year", "abstract", "venue")]]
+    sets = [F.sort_array(F.collect_set(F.when(F.length(c) > 0, F.col(c)))).alias(n) for c, n in (("source", "seen_in"), ("topic", "topics"))]
+    return papers.withColumn("key", key).groupBy("key").agg(*first, *sets)
