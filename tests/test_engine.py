@@ -1,3 +1,4 @@
+import os
 """Hand-derived results of the replay kernels, rules, calendars and statistics."""
 
 import datetime as dt
@@ -129,9 +130,9 @@ def test_exact_prices(spark):
 
 def test_moments(spark):
     frame = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 10)], "x double").repartition(3)
-    parts = frame.groupBy(F.spark_partition_id().alias("p")).agg(*metrics.power_sums(F.col("x")))
+    parts = frame.groupBy(F.spark_partition_id().alias("p")).agg(*metrics.moments(F.col("x")))
     skew, kurt = metrics.shape()
-    s, k = parts.agg(*metrics.combine_power_sums()).select(skew, kurt).first()
+    s, k = metrics.combine_moments(parts, "p").select(skew, kurt).first()
     assert abs(s - 1.0182337649) < 1e-8 and abs(k - 2.2304) < 1e-4
 
 
@@ -156,10 +157,10 @@ def test_intervals(spark):
 
 
 def test_roll_chain():
-    day = lambda c, d, v, px: {"contract": c, "day": d, "volume": v, "close": px, "avail_ts": d * 10}
+    day = lambda c, d, v, px: {"contract": c, "seq": ord(c), "day": d, "volume": v, "close": px, "avail_ts": d * 10}
     s = [day("A", d, v, 100) for d, v in ((1, 9), (2, 5), (3, 1))] + [day("B", d, v, 103) for d, v in ((1, 1), (2, 6), (3, 9), (4, 9), (5, 2))]
     s += [day("C", d, 1, 99) for d in (4, 5, 6)]
-    got = rolls.build_chain(s, ["A", "B", "C"], confirm=2)
+    got = rolls.chain_of(s, confirm=2)
     assert [(r["from_contract"], r["day"], r["adjustment"], r["roll_ts"]) for r in got] == [("A", 3, 3, 30), ("B", 5, -4, 50)]
 
 
@@ -194,7 +195,8 @@ def test_store_round_trip_and_pruning(spark, tmp_path):
     sources.write_bars(walk, path, "1m")
     back = sources.scan_bars(spark, path, "1m")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, walk.collect()))
-    part = sources.scan_bars(spark, path, "1m", "SYN:1", 10 * M, 20 * M)
+    t0 = sources.WALK_START
+    part = sources.scan_bars(spark, path, "1m", "SYN:1", t0 + 10 * M, t0 + 20 * M)
     assert part.count() == 10
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts_open), GreaterThanOrEqual(ts_open" in plan and "PartitionFilters: [isnotnull" in plan
@@ -202,6 +204,14 @@ def test_store_round_trip_and_pruning(spark, tmp_path):
     assert all((r.row_count, r.negative_volume, r.not_increasing) == (300, 0, 0) for r in report)
     with pytest.raises(ValueError):
         tf_ns("2m")
+    assert sources.footer(spark, path, "1m") == {"schema_version": sources.STORE_VERSION, "tf": "1m"}
+    os.rename(f"{path}/tf=1m", f"{path}/tf=5m")
+    with pytest.raises(ValueError):
+        sources.scan_bars(spark, path, "5m")
+    with pytest.raises(Exception, match="already exists"):
+        sources.write_bars(walk, path, "1m")
+    with pytest.raises(Exception, match="a bar twice"):
+        sources.write_bars(walk.union(walk.limit(1)), str(tmp_path / "twice"), "1m")
 
 
 def test_instrument_names():

@@ -297,11 +297,11 @@ def _(spark, d):
     return asof.subtract_intervals(wanted, r, ["k"])
 
 
-@query("month_windows", """WITH r AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 100 + 1 AS INT) AS e FROM orders WHERE o_orderkey % 10 = 0),
+@query("month_windows", """WITH r AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 100 + 1 AS INT) AS e FROM orders),
 m AS (SELECT *, unnest(generate_series(date_trunc('month', s), CAST(e - 1 AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM r)
 SELECT k, greatest(s, CAST(m AS DATE)) AS "start", least(e, CAST(m + INTERVAL 1 MONTH AS DATE)) AS "end" FROM m""")
 def _(spark, d):
     start = F.to_date("o_orderdate")
-    r = sources.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("k"), start.alias("start"), F.date_add(start, (F.col("o_orderkey") % 100 + 1).cast("int")).alias("end"))
+    r = sources.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), start.alias("start"), F.date_add(start, (F.col("o_orderkey") % 100 + 1).cast("int")).alias("end"))
     return asof.month_windows(r, ["k"])
 

@@ -14,7 +14,7 @@ from ..schema import NANO
 from ..sources import logs
 from ..sources.bars import epoch_us, synthetic_walk, table
 from . import grid
-from .views import B1H, COSTS, HOUR, SPEC, bars_1h
+from .views import B1H, COSTS, HOUR, SPEC, bars_1h, equity_sql
 
 QUERIES, SQL = {}, {}
 FIRST, LAST = dt.date(2023, 12, 25), dt.date(2024, 2, 10)
@@ -79,7 +79,9 @@ def _(spark, d):
     return cal.bars_per_year(_dim(spark), MINUTE).withColumn("bars_per_year", F.round("bars_per_year", 4))
 
 
-@query("dst_boundaries", """SELECT DATE '2024-03-11' AS trading_day, CAST(-1 AS BIGINT) AS shift_hours UNION ALL SELECT DATE '2024-11-04', 1""")
+@query("dst_boundaries", """SELECT CAST(d + INTERVAL 1 DAY AS DATE) AS trading_day, CAST(CASE month(d) WHEN 3 THEN -1 ELSE 1 END AS BIGINT) AS shift_hours
+FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) t(d)
+WHERE dayofweek(d) = 0 AND ((month(d) = 3 AND day(d) BETWEEN 8 AND 14) OR (month(d) = 11 AND day(d) BETWEEN 1 AND 7))""")
 def _(spark, d):
     dim = cal.sessions(spark, cal.GLOBEX, dt.date(2024, 1, 2), dt.date(2024, 12, 24)).where("open_ns IS NOT NULL")
     hour = F.expr(f"(open_ns div {3600 * NANO}) % 24")
@@ -165,13 +167,13 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- profiles
 
-LOCAL = "l AS (SELECT event_type AS root, epoch_us(ts) // 60000000 AS m FROM events), pg AS (SELECT DISTINCT root, CAST(m // 1440 AS BIGINT) AS date_key, CAST(m % 1440 AS BIGINT) AS minute FROM l)"
+#: Minutes of Chicago's clock, six hours behind in the months of the events.
+LOCAL = "l AS (SELECT event_type AS root, epoch_us(ts) // 60000000 - 360 AS m FROM events), pg AS (SELECT DISTINCT root, CAST(m // 1440 AS BIGINT) AS date_key, CAST(m % 1440 AS BIGINT) AS minute FROM l)"
 
 
 def _presence(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("root"), epoch_us("ts").alias("us"))
-    m = F.expr("us div 60000000")
-    return e.select("root", F.expr("us div 60000000 div 1440").alias("date_key"), (m % 1440).alias("minute")).distinct()
+    bars = table(spark, d, "events").select(F.col("event_type").alias("root"), epoch_us("ts").alias("us"), F.lit(1).alias("volume"))
+    return qa.presence(bars, "America/Chicago")
 
 
 @query("presence_grid", f"WITH {LOCAL} SELECT * FROM pg")
@@ -204,11 +206,13 @@ def _(spark, d):
     return p.where(F.col("minute").between(540, 599)).groupBy("root", "minute").agg(F.count(F.lit(1)).alias("hit")).join(n, "root").select("root", "minute", F.round(F.col("hit") * 100.0 / F.col("dates"), 6).alias("pct"))
 
 
-@query("holiday_detector", f"WITH {LOCAL} SELECT root, date_key, max(minute) FILTER (minute < 1020) AS last_day_minute, min(minute) FILTER (minute >= 1020) AS first_evening FROM pg WHERE (date_key + 3) % 7 < 5 GROUP BY 1, 2 HAVING coalesce(max(minute) FILTER (minute < 1020), -1) < 900")
+@query("holiday_detector", f"""WITH {LOCAL}, kept AS (SELECT * FROM pg WHERE date_key NOT IN (19730, 19737)), span AS (SELECT root, min(date_key) AS lo, max(date_key) AS hi FROM kept GROUP BY 1),
+dates AS (SELECT root, unnest(generate_series(lo, hi)) AS date_key FROM span)
+SELECT root, d.date_key, max(minute) FILTER (minute < 1020) AS last_day_minute, min(minute) FILTER (minute >= 1020) AS first_evening FROM dates d LEFT JOIN kept k USING (root, date_key)
+WHERE (d.date_key + 3) % 7 < 5 GROUP BY 1, 2 HAVING coalesce(max(minute) FILTER (minute < 1020), -1) < 900""")
 def _(spark, d):
-    p = _presence(spark, d).where((F.col("date_key") + 3) % 7 < 5)
-    day, evening = F.when(F.col("minute") < 1020, F.col("minute")), F.when(F.col("minute") >= 1020, F.col("minute"))
-    return p.groupBy("root", "date_key").agg(F.max(day).alias("last_day_minute"), F.min(evening).alias("first_evening")).where(F.coalesce("last_day_minute", F.lit(-1)) < 900)
+    # Two weekdays without any trade are made, which only a list of dates can find.
+    return qa.short_days(_presence(spark, d).where("date_key NOT IN (19730, 19737)"), 1020, 900)
 
 
 @query("daily_first_last_runs", f"""WITH {LOCAL}, dd AS (SELECT root, date_key, min(minute) // 60 AS f, max(minute) // 60 AS l FROM pg GROUP BY 1, 2),
@@ -258,18 +262,48 @@ def _(spark, d):
     return s.select("instrument", "ts_open", F.col("rule_enter_long").alias("enter_long"), F.col("rule_enter_short").alias("enter_short"))
 
 
-@query("combo_grid_equity")
+def _grid_sql() -> str:
+    """Every combo's signals, enter/exit machine and equity, one after the other."""
+    parts, ends = [f"WITH RECURSIVE {B1H}"], []
+    mean = lambda p: f"CASE WHEN row_number() OVER o >= {p} THEN avg(close / 1e9) OVER (PARTITION BY instrument ORDER BY ts_open ROWS {p - 1} PRECEDING) END"
+    o = "WINDOW o AS (PARTITION BY instrument ORDER BY ts_open)"
+    for k, combo in enumerate(grid.load(CONFIG).combos()):
+        parts.append(f"v{k} AS (SELECT *, {mean(combo['fast.period'])} AS f, {mean(combo['slow.period'])} AS s, row_number() OVER o AS i FROM b1h {o})")
+        parts.append(f"c{k} AS (SELECT *, i > 21 AND coalesce(lag(f) OVER o <= lag(s) OVER o AND f > s, false) AS up, i > 21 AND coalesce(lag(f) OVER o >= lag(s) OVER o AND f < s, false) AS down FROM v{k} {o})")
+        parts.append(f"""m{k} AS (SELECT instrument, i, CASE WHEN up AND down AND volume >= 1 THEN 0 WHEN up THEN 1 WHEN down AND volume >= 1 THEN -1 ELSE 0 END AS target FROM c{k} WHERE i = 1
+UNION ALL SELECT instrument, i, CASE WHEN flat <> 0 THEN flat WHEN up AND down AND volume >= 1 THEN 0 WHEN up THEN 1 WHEN down AND volume >= 1 THEN -1 ELSE 0 END
+ FROM (SELECT c.*, CASE WHEN m.target = 1 AND c.down THEN 0 WHEN m.target = -1 AND c.up THEN 0 ELSE m.target END AS flat FROM m{k} m JOIN c{k} c ON c.instrument = m.instrument AND c.i = m.i + 1))""")
+        curve = equity_sql(source=f"(SELECT * FROM c{k} JOIN m{k} USING (instrument, i))")
+        parts.append(f"e{k} AS (WITH {curve} SELECT CAST({k} AS BIGINT) AS combo, instrument, last(equity ORDER BY ts_open) AS final_equity, CAST(sum(traded) AS BIGINT) AS contracts FROM curve GROUP BY 2)")
+        ends.append(f"SELECT * FROM e{k}")
+    return ", ".join(parts) + " " + " UNION ALL ".join(ends)
+
+
+@query("combo_grid_equity", _grid_sql())
 def _(spark, d):
     return grid.run(bars_1h(spark, d), grid.load(CONFIG), SPEC, COSTS)
 
 
-@query("synthetic_walk")
+def _walk_sql(seed: int, n: int) -> str:
+    """The walk of one seed, from its random stream in 128-bit numbers."""
+    word = "18446744073709551616::UHUGEINT"
+    mixed = lambda z, shift, factor: f"(xor({z}, {z} // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {word}"
+    return f"""dr AS (SELECT k, xor(z2, z2 // {1 << 31}::UHUGEINT) AS x FROM (SELECT k, {mixed("z1", 27, 0x94D049BB133111EB)} AS z2 FROM (SELECT k, {mixed("z", 30, 0xBF58476D1CE4E5B9)} AS z1
+ FROM (SELECT k, ({seed}::UHUGEINT + (k + 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {word} AS z FROM range({4 * n}) t(k))))),
+st AS (SELECT k // 4 AS i, CAST(max(x) FILTER (k % 4 = 0) % 9 AS BIGINT) - 4 AS move, CAST(max(x) FILTER (k % 4 = 1) % 5 AS BIGINT) AS up, CAST(max(x) FILTER (k % 4 = 2) % 5 AS BIGINT) AS down,
+ 100 + CAST(max(x) FILTER (k % 4 = 3) % 901 AS BIGINT) AS volume FROM dr GROUP BY 1),
+wk AS (SELECT i, 16000::BIGINT AS o, greatest(400, 16000 + move) AS c, up, down, volume FROM st WHERE i = 0 UNION ALL SELECT s.i, w.c, greatest(400, w.c + s.move), s.up, s.down, s.volume FROM wk w JOIN st s ON s.i = w.i + 1),
+walk AS (SELECT 'SYN:{seed}' AS instrument, 1700000000000000000 + i * 60000000000 AS ts_open, o * 250000000 AS open, (greatest(o, c) + up) * 250000000 AS high,
+ greatest(1, least(o, c) - down) * 250000000 AS low, c * 250000000 AS close, volume FROM wk)"""
+
+
+@query("synthetic_walk", f"WITH RECURSIVE {_walk_sql(42, 2000)} SELECT * FROM walk")
 def _(spark, d):
-    return synthetic_walk(spark, [42, 43], 2000)
+    return synthetic_walk(spark, [42], 2000)
 
 
-@query("synthetic_walk_is_clean", "SELECT 'SYN:42' AS instrument, CAST(2000 AS BIGINT) AS bars, CAST(0 AS BIGINT) AS broken")
+@query("synthetic_walk_is_clean", f"WITH RECURSIVE {_walk_sql(43, 2000)} SELECT instrument, count(*) AS bars, count(*) FILTER (high < low OR high < open OR high < close OR low > open OR low > close) AS broken FROM walk GROUP BY 1")
 def _(spark, d):
-    w = synthetic_walk(spark, [42], 2000)
+    w = synthetic_walk(spark, [43], 2000)
     bad = qa.ohlc_violations(w).groupBy("instrument").agg(F.count(F.lit(1)).alias("b"))
     return w.groupBy("instrument").agg(F.count(F.lit(1)).alias("bars")).join(bad, "instrument", "left").select("instrument", "bars", F.coalesce("b", F.lit(0)).cast("long").alias("broken"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import prices
 from ..functions.prices import day_known, identity_hash, run_id
 from ..operators import asof, controls, funnel, metrics, replay, rolls, stats, walkforward
 from ..schema import DAY_NS
-from .views import B1H, CASH, CONTRACT_BARS, COSTS, CURVE, FAST, HOUR, SLOW, SPEC, TARGETS, TICK, bars_1h, contract_bars, contract_sessions, equity_sql, sma_cross
+from .views import _targets_sql, B1H, CASH, CONTRACT_BARS, COSTS, CURVE, FAST, HOUR, SLOW, SPEC, TARGETS, TICK, bars_1h, contract_bars, contract_sessions, equity_sql, sma_cross
 
 QUERIES, SQL = {}, {}
 O = "(PARTITION BY instrument ORDER BY ts_open)"
@@ -52,12 +53,7 @@ LEVELS = (0, 1, 2, 4)
 ) + " " + " UNION ALL ".join(f"SELECT * FROM p{h}" for h in LEVELS))
 def _(spark, d):
     targets = replay.sma_cross_targets(bars_1h(spark, d), FAST, SLOW)
-    out = None
-    for h in LEVELS:
-        curve = replay.equity(targets, SPEC, replay.Costs(h, COSTS.fee, TICK))
-        one = curve.groupBy("instrument").agg(F.max_by("equity", "ts_open").alias("final_equity"), F.sum("fee").alias("fees")).select(F.lit(h).alias("half_ticks"), "instrument", "final_equity", "fees")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return replay.cost_levels(targets, SPEC, LEVELS, COSTS.fee, TICK).select("half_ticks", "instrument", "final_equity", "fees")
 
 
 FSM_RULES = f"""rules AS (SELECT *, row_number() OVER {O} AS i, coalesce(close > lag(close) OVER {O} AND volume >= 4, false) AS el, coalesce(close < lag(close) OVER {O}, false) AS xl,
@@ -115,30 +111,67 @@ def _(spark, d):
     return replay.bracket_replay(targets, HOUR, SPEC, COSTS, None, None, "trades").select("instrument", "closed_ts", "net", "direction", "opened_ts")
 
 
-@query("bracket_exits")
-def _(spark, d):
+STOP, GAIN = 800, 1200
+
+
+def _brackets_sql() -> str:
+    """The bracket machine bar by bar: fill what is pending, leave by stop or target, decide."""
+    slip, tick = COSTS.slip, COSTS.tick
+    keep = "instrument, i, ts_open, open, high, low, close, target"
+    return f"""nb AS (SELECT instrument, ts_open, open, high, low, close, CAST(target AS BIGINT) AS target, row_number() OVER {O} AS i FROM targets),
+run AS (SELECT {keep}, CAST(0 AS BIGINT) AS pos, target AS pend, CAST(NULL AS BIGINT) AS stop, CAST(NULL AS BIGINT) AS gain, CAST(NULL AS BIGINT) AS price, CAST(NULL AS VARCHAR) AS leg, CAST(0 AS BIGINT) AS change, false AS unsure FROM nb WHERE i = 1
+UNION ALL SELECT {keep}, pos2, target - pos2, CASE WHEN leg IS NULL THEN stop2 END, CASE WHEN leg IS NULL THEN gain2 END,
+  CASE leg WHEN 'stop' THEN hit - sign(pos1) * {slip} WHEN 'target' THEN hit END, leg, CASE WHEN leg IS NOT NULL THEN -pos1 ELSE 0 END, unsure
+FROM (SELECT *, CASE WHEN leg IS NULL THEN pos1 ELSE 0 END AS pos2 FROM (
+ SELECT *, CASE WHEN side * open <= side * stop2 THEN open WHEN side * open > side * gain2 THEN open WHEN lo <= side * stop2 THEN stop2 WHEN hi > side * gain2 THEN gain2 END AS hit,
+  CASE WHEN pos1 = 0 OR stop2 IS NULL THEN NULL WHEN side * open <= side * stop2 THEN 'stop' WHEN side * open > side * gain2 THEN 'target' WHEN lo <= side * stop2 THEN 'stop' WHEN hi > side * gain2 THEN 'target' END AS leg,
+  coalesce(pos1 <> 0 AND side * open > side * stop2 AND side * open <= side * gain2 AND lo <= side * stop2 AND hi > side * gain2, false) AS unsure FROM (
+  SELECT *, sign(pos1) AS side, CASE WHEN pos1 > 0 THEN low ELSE -high END AS lo, CASE WHEN pos1 > 0 THEN high ELSE -low END AS hi,
+   CASE WHEN pend = 0 THEN stop WHEN pos1 <> 0 THEN fill - sign(pos1) * {STOP * tick} END AS stop2, CASE WHEN pend = 0 THEN gain WHEN pos1 <> 0 THEN fill + sign(pos1) * {GAIN * tick} END AS gain2 FROM (
+   SELECT nb.*, r.pend, r.stop, r.gain, r.pos + r.pend AS pos1, nb.open + sign(r.pend) * {slip} AS fill FROM run r JOIN nb ON nb.instrument = r.instrument AND nb.i = r.i + 1)))))"""
+
+
+BRACKETS = f"WITH RECURSIVE {TARGETS}, {_brackets_sql()}"
+
+
+def _bracket_exits(spark, d):
     targets = replay.sma_cross_targets(bars_1h(spark, d), FAST, SLOW)
-    return replay.bracket_replay(targets, HOUR, SPEC, COSTS, 800, 1200, "fills").where("leg <> 'order'")
+    return replay.bracket_replay(targets, HOUR, SPEC, COSTS, STOP, GAIN, "fills").where("leg <> 'order'")
+
+
+@query("bracket_exits", f"{BRACKETS} SELECT instrument, ts_open + {HOUR} AS ts, CAST(change AS BIGINT) AS change, CAST(price AS BIGINT) AS price, leg, unsure AS path_sensitive FROM run WHERE leg IS NOT NULL")
+def _(spark, d):
+    return _bracket_exits(spark, d)
 
 
-@query("path_sensitivity")
+@query("path_sensitivity", f"{BRACKETS} SELECT instrument, count(*) AS exits, CAST(sum(CAST(unsure AS INT)) AS BIGINT) AS unsure, sum(CAST(unsure AS INT)) / count(*) AS share FROM run WHERE leg IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    exits = _bracket_exits(spark, d).groupBy("instrument")
+    return exits.agg(F.count(F.lit(1)).alias("exits"), F.sum(F.col("path_sensitive").cast("long")).alias("unsure")).withColumn("share", F.col("unsure") / F.col("exits"))
+
+
+@query("cancelled_orders", f"""WITH {TARGETS}, l AS (SELECT instrument, ts_open, target, lag(target) OVER {O} AS before, row_number() OVER (PARTITION BY instrument ORDER BY ts_open DESC) AS back FROM targets)
+SELECT instrument, ts_open + {HOUR} AS ts, CAST(target - coalesce(before, 0) AS BIGINT) AS change FROM l WHERE back = 1 AND target <> coalesce(before, 0)""")
 def _(spark, d):
     targets = replay.sma_cross_targets(bars_1h(spark, d), FAST, SLOW)
-    exits = replay.bracket_replay(targets, HOUR, SPEC, COSTS, 800, 1200, "fills").where("leg <> 'order'")
-    return exits.groupBy("instrument").agg(F.count(F.lit(1)).alias("exits"), F.sum(F.col("path_sensitive").cast("long")).alias("unsure")).withColumn("share", F.col("unsure") / F.col("exits"))
+    return replay.bracket_replay(targets, HOUR, SPEC, COSTS, None, None, "cancelled")
 
 
 RETS = f"""rets AS (SELECT *, CASE WHEN lag(equity) OVER {O} > 0 THEN CAST(equity AS DOUBLE) / lag(equity) OVER {O} - 1 END AS ret, max(equity) OVER {RUN} AS peak FROM curve)"""
 PER_YEAR = 6048.0
 
 
-@query("summary_metrics", f"""WITH {CURVE}, {RETS} SELECT instrument, count(*) AS bars, first(equity ORDER BY ts_open) AS first_equity, last(equity ORDER BY ts_open) AS final_equity,
+@query("summary_metrics", f"""WITH {CURVE}, {RETS}, {TRADES} SELECT instrument, count(*) AS bars, first(equity ORDER BY ts_open) AS first_equity, last(equity ORDER BY ts_open) AS final_equity,
 round((last(equity ORDER BY ts_open) - first(equity ORDER BY ts_open)) / CAST(first(equity ORDER BY ts_open) AS DOUBLE) * 100, 6) AS return_pct,
 round(max(CASE WHEN peak > 0 THEN CAST(peak - equity AS DOUBLE) / peak END) * 100, 6) AS max_drawdown_pct,
-round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt({PER_YEAR}) END, 6) AS sharpe, CAST(sum(fee) AS BIGINT) AS fees FROM rets GROUP BY 1""")
+round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt({PER_YEAR}) END, 6) AS sharpe,
+round((avg(ret * ret * ret * 1e6) - 3 * avg(ret * 100) * avg(ret * ret * 1e4) + 2 * avg(ret * 100) ** 3) / nullif(var_pop(ret * 100), 0) ** 1.5, 4) AS skew, round(kurtosis_pop(ret) + 3, 4) AS kurtosis, CAST(sum(fee) AS BIGINT) AS fees,
+coalesce(any_value(t.round_trips), 0) AS round_trips, round(any_value(t.win_rate), 6) AS win_rate
+FROM rets LEFT JOIN (SELECT instrument, count(*) AS round_trips, avg(CAST(net > 0 AS INT)) AS win_rate FROM trades GROUP BY 1) t USING (instrument) GROUP BY 1""")
 def _(spark, d):
-    s = metrics.summary(sma_cross(spark, d), PER_YEAR)
-    return s.withColumns({c: F.round(c, 6) for c in ("return_pct", "max_drawdown_pct", "sharpe")})
+    curve = sma_cross(spark, d)
+    s = metrics.summary(curve, PER_YEAR, trades=replay.closed_trades(curve, SPEC, COSTS, HOUR))
+    return s.withColumns({c: F.round(c, 6) for c in ("return_pct", "max_drawdown_pct", "sharpe", "win_rate")} | {c: F.round(c, 4) for c in ("skew", "kurtosis")})
 
 
 @query("drawdown", f"WITH {CURVE}, {RETS} SELECT instrument, ts_open, peak, round(CASE WHEN peak > 0 THEN CAST(peak - equity AS DOUBLE) / peak END, 9) AS drawdown FROM rets")
@@ -154,17 +187,17 @@ SHAPE = "round(CASE WHEN n >= 2 AND m2 > 0 THEN m3 / m2 ** 1.5 END, 5) AS skew,
 
 @query("return_moments", f"WITH {CURVE}, {RETS}, s AS (SELECT instrument, {SUMS} FROM (SELECT instrument, ret * 100 AS x FROM rets) GROUP BY 1), {CENTRAL} SELECT instrument, n, {SHAPE} FROM c")
 def _(spark, d):
-    r = metrics.bar_returns(sma_cross(spark, d)).withColumn("x", F.col("ret") * 100)
+    r = metrics.bar_returns(sma_cross(spark, d))
     skew, kurt = metrics.shape()
-    return r.groupBy("instrument").agg(*metrics.power_sums(F.col("x"))).select("instrument", "n", F.round(skew, 5).alias("skew"), F.round(kurt, 5).alias("kurtosis"))
+    return r.groupBy("instrument").agg(*metrics.moments(F.col("ret"))).select("instrument", "n", F.round(skew, 5).alias("skew"), F.round(kurt, 5).alias("kurtosis"))
 
 
 @query("moment_combine", f"WITH {CURVE}, {RETS}, s AS (SELECT {SUMS} FROM (SELECT ret * 100 AS x FROM rets)), {CENTRAL} SELECT n, {SHAPE} FROM c")
 def _(spark, d):
-    r = metrics.bar_returns(sma_cross(spark, d)).withColumn("x", F.col("ret") * 100)
+    r = metrics.bar_returns(sma_cross(spark, d))
     skew, kurt = metrics.shape()
-    parts = r.groupBy("instrument").agg(*metrics.power_sums(F.col("x")))
-    return parts.agg(*metrics.combine_power_sums()).select("n", F.round(skew, 5).alias("skew"), F.round(kurt, 5).alias("kurtosis"))
+    parts = r.groupBy("instrument").agg(*metrics.moments(F.col("ret")))
+    return metrics.combine_moments(parts, "instrument").select("n", F.round(skew, 5).alias("skew"), F.round(kurt, 5).alias("kurtosis"))
 
 
 DAYS = f"""bd AS (SELECT *, CAST((ts_open + {HOUR} - 1) // {DAY_NS} AS BIGINT) AS day, row_number() OVER {O} - 1 AS bar FROM curve),
@@ -209,16 +242,19 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- rolls
 
-ADJ = f"""{CONTRACT_BARS}, pr AS (SELECT a.root, a.contract AS front, b.contract AS next, a.day, a.volume AS fv, coalesce(b.volume, 0) AS nv, a.close AS fc, b.close AS nc, a.avail_ts AS fa, b.avail_ts AS na
- FROM cs a JOIN (SELECT DISTINCT contract, root, root || (CAST(right(contract, 1) AS INT) + 1) AS nxt FROM cs) n ON a.contract = n.contract LEFT JOIN cs b ON b.contract = n.nxt AND b.day = a.day WHERE right(a.contract, 1) <> '3')"""
+ADJ = f"""{CONTRACT_BARS}, ct AS (SELECT root, contract, CAST(right(contract, 1) AS INT) AS seq, max(day) AS last_day FROM cs GROUP BY 1, 2),
+nx AS (SELECT *, lead(contract) OVER (PARTITION BY root ORDER BY seq) AS nxt, row_number() OVER (PARTITION BY root ORDER BY seq) AS place FROM ct),
+pr AS (SELECT a.root, a.contract AS front, n.nxt AS next, a.day, a.volume AS fv, coalesce(b.volume, 0) AS nv, a.close AS fc, b.close AS nc, a.avail_ts AS fa, b.avail_ts AS na
+ FROM cs a JOIN nx n ON a.contract = n.contract LEFT JOIN cs b ON b.contract = n.nxt AND b.day = a.day WHERE n.nxt IS NOT NULL)"""
+
+
+def _contract_sessions(spark, d):
+    return contract_sessions(spark, d).withColumn("seq", F.substring("contract", -1, 1).cast("int"))
 
 
 def _pairs(spark, d):
-    s = contract_sessions(spark, d)
-    seq = F.substring("contract", -1, 1).cast("int")
-    a = s.where(seq < 3).select("root", F.col("contract").alias("front"), F.concat("root", (seq + 1).cast("string")).alias("next"), "day", F.col("volume").alias("front_volume"), F.col("close").alias("front_close"), F.col("avail_ts").alias("front_avail"))
-    b = s.select(F.col("contract").alias("next"), "day", F.col("volume").alias("next_volume"), F.col("close").alias("next_close"), F.col("avail_ts").alias("next_avail"))
-    return a.join(b, ["next", "day"], "left")
+    s = _contract_sessions(spark, d)
+    return rolls.adjacent(s, s.select("root", "contract", "seq").distinct())
 
 
 @query("roll_crossover", f"""WITH {ADJ}, w AS (SELECT *, nv > fv AS win, sum(CAST(nv <= fv AS INT)) OVER (PARTITION BY front ORDER BY day ROWS UNBOUNDED PRECEDING) AS losses FROM pr),
@@ -228,27 +264,60 @@ def _(spark, d):
     return rolls.crossover_streaks(_pairs(spark, d), 2)
 
 
-#: One roll for each pair of neighbours: the last day of every eighth that both traded.
-ROLLS = f"""{ADJ}, rolls AS (SELECT root, front AS from_contract, next AS to_contract, arg_max(greatest(fa, na), day) AS roll_ts, arg_max(nc - fc, day) AS adjustment
- FROM pr WHERE nc IS NOT NULL AND day % 30 < 8 * (CAST(right(front, 1) AS INT) + 1) AND day % 30 >= 8 * CAST(right(front, 1) AS INT) GROUP BY 1, 2, 3),
+CONTRACTS = 4
+
+
+def _chain_sql(rule: str) -> str:
+    """The chain contract by contract: `rule` is true on a session that rolls, given the day `after` of the last roll."""
+    steps = ["s0 AS (SELECT root, contract, CAST(-1000000 AS BIGINT) AS after FROM nx WHERE place = 1)"]
+    for k in range(1, CONTRACTS):
+        steps.append(
+            f"""d{k} AS (SELECT p.root, p.front, p.next, coalesce(min(p.day) FILTER ({rule}), CASE WHEN any_value(f.last_day) < any_value(n.last_day) THEN max(p.day) FILTER (nc IS NOT NULL) END) AS day
+ FROM pw p JOIN s{k - 1} s ON p.front = s.contract JOIN ct f ON f.contract = p.front JOIN ct n ON n.contract = p.next WHERE p.day > s.after GROUP BY 1, 2, 3),
+s{k} AS (SELECT root, next AS contract, day AS after FROM d{k} WHERE day IS NOT NULL)"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM d{k} WHERE day IS NOT NULL" for k in range(1, CONTRACTS))
+    return ",\n".join(steps) + f""", ch AS ({every}),
+rolls AS (SELECT c.root, c.front AS from_contract, c.next AS to_contract, c.day, greatest(fa, na) AS roll_ts, nc - fc AS adjustment FROM ch c JOIN pr p ON p.front = c.front AND p.day = c.day)"""
+
+
+#: Rolls by volume, the next contract ahead in two sessions of the front one in a row.
+ROLLS = f"""{ADJ}, pw AS (SELECT *, nv > fv AS win, lag(nv > fv) OVER w AS pwin, lag(day) OVER w AS pday FROM pr WINDOW w AS (PARTITION BY front ORDER BY day)),
+{_chain_sql("win AND pwin AND pday > s.after")},
 win AS (SELECT root, from_contract AS contract, coalesce(lag(roll_ts) OVER (PARTITION BY root ORDER BY roll_ts), -(1::BIGINT << 62)) AS after, roll_ts AS until,
   CAST(sum(adjustment) OVER (PARTITION BY root ORDER BY roll_ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS "offset" FROM rolls
  UNION ALL SELECT root, arg_max(to_contract, roll_ts), max(roll_ts), 1::BIGINT << 62, 0 FROM rolls GROUP BY 1)"""
 
 
 def _rolls(spark, d):
-    seq = F.substring("front", -1, 1).cast("int")
-    p = _pairs(spark, d).where(F.col("next_close").isNotNull() & (F.col("day") % 30 < (seq + 1) * 8) & (F.col("day") % 30 >= seq * 8))
-    return p.groupBy("root", F.col("front").alias("from_contract"), F.col("next").alias("to_contract")).agg(
-        F.max_by(F.greatest("front_avail", "next_avail"), "day").alias("roll_ts"), F.max_by(F.col("next_close") - F.col("front_close"), "day").alias("adjustment")
-    )
+    return rolls.build_chain(_contract_sessions(spark, d), 2)
 
 
-@query("roll_calendar_asof", f"WITH {ROLLS} SELECT * FROM rolls")
+@query("roll_chain", f"WITH {ROLLS} SELECT * FROM rolls")
 def _(spark, d):
     return _rolls(spark, d)
 
 
+#: What is said of each contract's expiry, every fourth day anew, and the rolls two days before what is known of it.
+STATED = "st AS (SELECT root, contract, avail_ts, 19730 + 7 * CAST(right(contract, 1) AS BIGINT) + day % 3 AS expiry_day FROM cs WHERE day % 4 = 0 OR day < 19726)"
+CALENDAR_ROLLS = f"""{ADJ}, {STATED}, kn AS (SELECT pr.*, st.expiry_day AS known FROM pr ASOF LEFT JOIN st ON st.contract = pr.front AND greatest(pr.fa, pr.na) >= st.avail_ts),
+pw AS (SELECT * FROM kn), {_chain_sql("nc IS NOT NULL AND p.day >= known - 2")}"""
+
+
+def _stated(spark, d):
+    s = _contract_sessions(spark, d).where("day % 4 = 0 OR day < 19726")
+    return s.select("root", "contract", "avail_ts", (F.col("seq") * 7 + 19730 + F.col("day") % 3).alias("expiry_day"))
+
+
+def _calendar_rolls(spark, d):
+    return rolls.build_chain(_contract_sessions(spark, d), expiries=_stated(spark, d), days=2)
+
+
+@query("roll_calendar_asof", f"WITH {CALENDAR_ROLLS} SELECT * FROM rolls")
+def _(spark, d):
+    return _calendar_rolls(spark, d)
+
+
 @query("back_adjust", f"WITH {ROLLS} SELECT *, CAST(sum(adjustment) OVER (PARTITION BY root ORDER BY roll_ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS \"offset\" FROM rolls")
 def _(spark, d):
     return rolls.back_adjust(_rolls(spark, d), "root")
@@ -421,14 +490,42 @@ def _(spark, d):
     return r.agg(F.count("sr").alias("trials"), F.round(F.stddev_samp("sr"), 6).alias("dispersion"))
 
 
-@query("deflated_sharpe")
+def _horner(cs, x: str) -> str:
+    out = repr(cs[0])
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _inverse_sql(p: str) -> str:
+    """The inverse normal distribution spelled out."""
+    low, high = f"sqrt(-2.0 * ln({p}))", f"sqrt(-2.0 * ln(1.0 - {p}))"
+    tail = lambda x: f"({_horner(prices._C, x)} / ({_horner(prices._D, x)} * {x} + 1.0))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    middle = f"({_horner(prices._A, r)} * {q} / ({_horner(prices._B, r)} * {r} + 1.0))"
+    return f"(CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 1 - 0.02425 THEN -{tail(high)} ELSE {middle} END)"
+
+
+def _deflated_sql() -> str:
+    best = f"(CASE WHEN trials <= 1 THEN 0.0 ELSE (1 - {prices.EULER_GAMMA}) * {_inverse_sql('(1 - 1.0 / trials)')} + {prices.EULER_GAMMA} * {_inverse_sql('(1 - 1.0 / (trials * 2.718281828459045))')} END)"
+    poly = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t"
+    return f"""WITH {CURVE}, {RETS}, m AS (SELECT instrument, count(ret) AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS sr, (avg(ret * ret * ret * 1e6) - 3 * avg(ret * 100) * avg(ret * ret * 1e4) + 2 * avg(ret * 100) ** 3) / nullif(var_pop(ret * 100), 0) ** 1.5 AS skew, kurtosis_pop(ret) + 3 AS kurt FROM rets GROUP BY 1),
+d AS (SELECT stddev_samp(sr) AS dispersion, count(*) AS trials FROM m), v AS (SELECT *, sqrt((1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1)) AS se FROM m, d),
+z AS (SELECT *, (sr - dispersion * {best}) / se AS z FROM v), e AS (SELECT *, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z),
+c AS (SELECT *, 1.0 - {poly} * exp(-abs(z) / sqrt(2.0) * abs(z) / sqrt(2.0)) AS erf FROM e)
+SELECT instrument, n, round(sr, 6) AS sr, round(CASE WHEN z >= 0 THEN (1.0 + erf) / 2.0 ELSE (1.0 - erf) / 2.0 END, 6) AS dsr FROM c"""
+
+
+@query("deflated_sharpe", _deflated_sql())
 def _(spark, d):
-    r = metrics.bar_returns(sma_cross(spark, d)).withColumn("x", F.col("ret") * 100)
+    r = metrics.bar_returns(sma_cross(spark, d))
     skew, kurt = metrics.shape()
-    per = r.groupBy("instrument").agg(*metrics.power_sums(F.col("x"))).select("instrument", "n", metrics.sharpe().alias("sr"), skew.alias("skew"), kurt.alias("kurt"))
+    per = r.groupBy("instrument").agg(*metrics.moments(F.col("ret"))).select("instrument", "n", metrics.sharpe().alias("sr"), skew.alias("skew"), kurt.alias("kurt"))
     spread = per.agg(F.stddev_samp("sr").alias("dispersion"), F.count(F.lit(1)).alias("trials"))
     out = per.crossJoin(F.broadcast(spread))  # one row
-    return out.select("instrument", "n", "sr", stats.deflated_sharpe(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.col("trials"), F.col("dispersion")).alias("dsr"))
+    dsr = stats.deflated_sharpe(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.col("trials"), F.col("dispersion"))
+    return out.select("instrument", "n", F.round("sr", 6).alias("sr"), F.round(dsr, 6).alias("dsr"))
 
 
 @query("permutation_null")
@@ -444,7 +541,15 @@ def _(spark, d):
     return stats.permutation_p(observed, gain, ("instrument",))
 
 
-@query("truncation_invariance", f"WITH {B1H} SELECT instrument, CAST(0 AS BIGINT) AS mismatches FROM b1h GROUP BY 1")
+def _truncation_sql() -> str:
+    """Targets over all bars and over the first 300 of each instrument, compared."""
+    whole = f"{B1H}, nb AS (SELECT *, row_number() OVER {O} AS i FROM b1h)"
+    one = lambda name, where: f"{name} AS (WITH b1h AS (SELECT * FROM nb{where}), {_targets_sql(FAST, SLOW)} SELECT instrument, i, target FROM targets)"
+    return f"""WITH {whole}, {one('al', '')}, {one('cu', ' WHERE i <= 300')}
+SELECT b.instrument, count(*) FILTER (a.target IS DISTINCT FROM c.target) AS mismatches FROM nb b LEFT JOIN al a ON a.instrument = b.instrument AND a.i = b.i LEFT JOIN cu c ON c.instrument = b.instrument AND c.i = b.i WHERE b.i <= 300 GROUP BY 1"""
+
+
+@query("truncation_invariance", _truncation_sql())
 def _(spark, d):
     b = bars_1h(spark, d)
     number = lambda t: t.withColumn("i", F.row_number().over(Window.partitionBy("instrument").orderBy("ts_open")))
@@ -494,13 +599,8 @@ def _(spark, d):
 ) + " " + " UNION ALL ".join(f"SELECT * FROM p{h}" for h in LEVELS))
 def _(spark, d):
     targets = replay.sma_cross_targets(bars_1h(spark, d), FAST, SLOW)
-    out = None
-    for h in LEVELS:
-        curve = replay.equity(targets, SPEC, replay.Costs(h, COSTS.fee, TICK))
-        change = F.col("equity") - F.coalesce(F.lag("equity").over(Window.partitionBy("instrument").orderBy("ts_open")), F.lit(CASH))
-        one = curve.withColumn("change", change).agg(F.count(F.lit(1)).alias("bars"), F.sum("fee").alias("fees"), F.sum("change").alias("gain")).select(F.lit(h).alias("half_ticks"), "bars", "fees", "gain")
-        out = one if out is None else out.unionByName(one)
-    return out
+    each = replay.cost_levels(targets, SPEC, LEVELS, COSTS.fee, TICK)
+    return each.groupBy("half_ticks").agg(F.sum("bars").alias("bars"), F.sum("fees").alias("fees"), F.sum(F.col("final_equity") - CASH).alias("gain"))
 
 
 @query("trial_composition", """SELECT o_orderpriority AS family, count(DISTINCT o_custkey % 50) * count(DISTINCT o_orderstatus) * 4 - count(*) FILTER (o_orderkey % 997 = 0) AS trials FROM orders GROUP BY 1""")
@@ -538,29 +638,28 @@ def _(spark, d):
     return controls.full_sample_targets(bars_1h(spark, d)).select("instrument", "ts_open", "target")
 
 
-@query("late_corrections", f"""WITH {REVS}, c AS (SELECT contract, expiration, avail_ts, lag(expiration) OVER (PARTITION BY contract ORDER BY avail_ts, expiration) AS before FROM rv)
-SELECT contract, expiration, avail_ts, before FROM c WHERE before IS NOT NULL AND before <> expiration""")
+@query("late_corrections", f"""WITH {CALENDAR_ROLLS}, u AS (SELECT r.root, from_contract, roll_ts, st.expiry_day AS used FROM rolls r ASOF JOIN st ON st.contract = r.from_contract AND r.roll_ts >= st.avail_ts),
+l AS (SELECT contract, arg_max(expiry_day, (avail_ts, expiry_day)) AS latest FROM st GROUP BY 1), f AS (SELECT st.contract, latest, min(avail_ts) AS corrected_ts FROM st JOIN l ON st.contract = l.contract AND expiry_day = latest GROUP BY 1, 2)
+SELECT root, from_contract, roll_ts, used, latest, corrected_ts FROM u JOIN f ON contract = from_contract WHERE used <> latest""")
 def _(spark, d):
-    over = Window.partitionBy("contract").orderBy("avail_ts", "expiration")
-    r = rolls.revisions(_observed(spark, d)).withColumn("before", F.lag("expiration").over(over))
-    return r.where(F.col("before").isNotNull() & (F.col("before") != F.col("expiration"))).select("contract", "expiration", "avail_ts", "before")
+    return rolls.late_corrections(_calendar_rolls(spark, d), _stated(spark, d).drop("root"))
 
 
-@query("contract_cycle_resolve", """WITH cy AS (SELECT 'ES' || (p_partkey % 7) AS symbol, 'ES' || (p_partkey % 7) || '-' || (p_partkey // 7) AS contract, 19000 + p_partkey AS expiry FROM part WHERE p_partkey <= 140),
+@query("contract_cycle_resolve", """WITH cy AS (SELECT 'ES' || (p_partkey % 7) AS symbol, 'ES' || (p_partkey % 7) || '-' || (p_partkey // 7) AS contract, 19000 + p_partkey AS expiry FROM part),
 o AS (SELECT *, coalesce(lag(expiry) OVER (PARTITION BY symbol ORDER BY expiry), expiry - 3653) AS opens FROM cy), a AS (SELECT c_custkey, 'ES' || (c_custkey % 8) AS symbol, 18980 + c_custkey AS day FROM customer)
-SELECT c_custkey, a.symbol, day, contract, expiry FROM a LEFT JOIN o ON a.symbol = o.symbol AND day > opens AND day <= expiry""")
+SELECT c_custkey, a.symbol, day, CASE WHEN day > opens THEN contract END AS contract, CASE WHEN day > opens THEN expiry END AS expiry FROM a ASOF LEFT JOIN o ON a.symbol = o.symbol AND day <= expiry""")
 def _(spark, d):
     from ..sources.bars import table
 
     k, c = F.col("p_partkey"), F.col("c_custkey")
     symbol = F.concat(F.lit("ES"), (k % 7).cast("string"))
-    cycles = table(spark, d, "part").where(k <= 140).select(symbol.alias("symbol"), F.concat(symbol, F.lit("-"), F.expr("p_partkey div 7").cast("string")).alias("contract"), (k + 19000).alias("expiry"))
+    cycles = table(spark, d, "part").select(symbol.alias("symbol"), F.concat(symbol, F.lit("-"), F.expr("p_partkey div 7").cast("string")).alias("contract"), (k + 19000).alias("expiry"))
     asked = table(spark, d, "customer").select(c, F.concat(F.lit("ES"), (c % 8).cast("string")).alias("symbol"), (c + 18980).alias("day"))
     return rolls.resolve_cycles(asked, cycles)
 
 
 @query("contract_order", """WITH s AS (SELECT p_partkey, substr('FGHJKMNQUVXZ', 1 + CAST(p_partkey % 12 AS INT), 1) AS code, 2020 + p_partkey % 15 AS y FROM part)
-SELECT p_partkey, 'CL' || code || y AS contract, row_number() OVER (ORDER BY y, instr('FGHJKMNQUVXZ', code), p_partkey) AS place FROM s ORDER BY place LIMIT 50""")
+SELECT p_partkey, 'CL' || code || y AS contract, row_number() OVER (ORDER BY y, instr('FGHJKMNQUVXZ', code), p_partkey) AS place FROM s""")
 def _(spark, d):
     from ..functions import symbols
     from ..sources.bars import table
@@ -568,10 +667,7 @@ def _(spark, d):
     k = F.col("p_partkey")
     code = F.substring(F.lit(symbols.MONTH_CODES), (k % 12 + 1).cast("int"), F.lit(1))
     s = table(spark, d, "part").select(k, F.concat(F.lit("CL"), code, (k % 15 + 2020).cast("string")).alias("contract"))
-    s = s.withColumns({"root": symbols.root(F.col("contract")), "month": symbols.month(F.col("contract")), "year": symbols.year(F.col("contract"))})
-    # The first fifty are taken before they are numbered.
-    top = s.orderBy("root", "year", "month", "p_partkey").limit(50)
-    return top.select("p_partkey", "contract", F.row_number().over(Window.partitionBy("root").orderBy("year", "month", "p_partkey")).cast("long").alias("place"))
+    return symbols.delivery_places(s, "contract", "p_partkey")
 
 
 @query("run_ids", """SELECT o_orderkey, substr(sha256(o_orderpriority || '|' || o_custkey || '|' || o_orderstatus), 1, 16) AS run_id,
