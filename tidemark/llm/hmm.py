@@ -316,9 +316,8 @@ def _index(shared) -> dict[bytes, int]:
     return _LOADED[shared.value[0]]
 
 
-_ENCODED = "row long, n_tokens long, known long, base double, inner double, tail array<struct<token: binary, n: int>>, s binary"
-_ENCODED_NAMES = ["row", "n_tokens", "known", "base", "inner", "tail", "s"]
-_TAIL = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
+_ENCODED = "row long, n_tokens long, known long, base double, inner double, s binary, tail array<struct<token: binary, n: int>>"
+_ENCODED_NAMES = ["row", "n_tokens", "known", "base", "inner", "s", "tail"]
 
 
 def _encode(source: DataFrame, shared) -> DataFrame:
@@ -328,7 +327,7 @@ def _encode(source: DataFrame, shared) -> DataFrame:
     log probabilities within shared symbols, `tail` the words that the head lacks.
     """
     kind = source.schema["id"].dataType.simpleString()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _TAIL, pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, lexicon, end_count = _index(shared), shared.value[1], shared.value[2]
@@ -340,23 +339,28 @@ def _encode(source: DataFrame, shared) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 columns: list[list] = [[] for _ in kinds]
+                tail_words, tail_counts, tail_ends = [], [], [0]
                 for text in batch.column(1):
                     words = words_of(text.as_py())
                     place, symbols = _symbols(index, lexicon, words)
                     in_head = place >= 0
-                    tail = Counter(words[i] for i in np.flatnonzero(~in_head))
+                    tail = Counter([words[i] for i in np.flatnonzero(~in_head).tolist()])
+                    tail_words += tail
+                    tail_counts += tail.values()
+                    tail_ends.append(len(tail_words))
                     logs = log_c[place[in_head]]
                     grouped = symbols > OWN
                     inner = float(logs[grouped[in_head]].sum()) - float(log_mass[symbols[grouped]].sum())
                     base = float(logs.sum()) + math.log10(end_count + 1) - (len(words) + 1) * per_token
-                    known = int(in_head.sum()) + (end_count > 0)
-                    rest = [{"token": w, "n": n} for w, n in tail.items()]
+                    known = len(logs) + (end_count > 0)
                     packed = np.append(symbols, 0).astype(np.int16).tobytes()
-                    for column, value in zip(columns, (row, len(words) + 1, known, base, inner, rest, packed)):
+                    for column, value in zip(columns, (row, len(words) + 1, known, base, inner, packed)):
                         column.append(value)
                     row += 1
+                words_of_tails = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int32())], ["token", "n"])
+                tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), words_of_tails)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds))],
+                    [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds)), tails],
                     ["id", "held_out", *_ENCODED_NAMES],
                 )
 
