@@ -212,6 +212,31 @@ def with_session(bars: DataFrame, dim: DataFrame, step: int) -> DataFrame:
     return joined.where(inside).drop("utc_day")
 
 
+def era_of(days: DataFrame, eras: DataFrame) -> DataFrame:
+    """Each row of `days` (`day`) with its calendar's latest era (`start`, `era`) that has begun, or else the first."""
+    from ..operators.asof import latest_as_of
+
+    found = latest_as_of(days, eras, ["calendar_id"], "day", "start", ["era"])
+    first = eras.groupBy("calendar_id").agg(F.min_by("era", "start").alias("__first"))
+    return found.join(F.broadcast(first), "calendar_id", "left").withColumn("era", F.coalesce("era", "__first")).drop("__first")
+
+
+def trading_day(ts: Column, cal: Calendar) -> Column:
+    """The date that an exchange books an instant (whole UTC nanoseconds) to: the next one from the evening's opening on.
+
+    The era is that of the civil date, as in `Calendar.trading_day`.
+    """
+    local = F.from_utc_timestamp(F.timestamp_micros(((ts - F.pmod(ts, F.lit(1000))) / F.lit(1000)).cast("long")), cal.zone)
+    date = F.to_date(local)
+    second = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    late = F.lit(False)
+    for era in cal.eras:  # a few; the last that has begun decides
+        opened = era.open.hour * 3600 + era.open.minute * 60
+        here = (second >= opened) if era.overnight else F.lit(False)
+        late = here if era is cal.eras[0] else F.when(date >= F.lit(era.start), here).otherwise(late)
+    return F.date_add(date, late.cast("int"))
+
+
 def with_phase(bars: DataFrame, dim: DataFrame, stretches: DataFrame) -> DataFrame:
     """`phase` of each bar's opening: closed, overnight, regular or post_regular."""
     day_ns = 86_400 * NANO

@@ -131,3 +131,31 @@ def identity_hash(*parts: Column) -> Column:
 
 def run_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def parse_usd(text: Column) -> Column:
+    """Exact nano-dollars of an amount, which may start with a dollar sign; null for signs, exponents, finer parts or anything else."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^\$", ""), "_", "")
+    full = F.when(plain.startswith("."), F.concat(F.lit("0"), plain)).otherwise(F.regexp_replace(plain, r"\.$", ""))
+    return F.when(plain.rlike(r"^([0-9]+\.?[0-9]{0,9}|\.[0-9]{1,9})$"), parse_decimal(full))
+
+
+def ceil_nanos(dollars: Column) -> Column:
+    """Nano-dollars of a double, never less than it says; null for a negative, infinite or larger one.
+
+    The double's own binary value counts, to twelve decimals: its fraction is a
+    whole number of 2**-52, which decimals hold exactly.
+    """
+    fits = F.when((dollars >= 0) & (dollars < 9.0e9), dollars)
+    whole = F.floor(fits)
+    units = F.floor((fits - whole) * F.lit(float(1 << 52))).cast("decimal(16,0)")
+    pico = F.bround(units * F.lit(10**12).cast("decimal(13,0)") / F.lit(1 << 52).cast("decimal(16,0)"), 0)
+    return whole.cast("long") * F.lit(10**9) + F.ceil(pico.cast("long") / 1000)
+
+
+def show_usd(nanos: Column) -> Column:
+    """`$1234.56`: at least two decimals, no further zeros."""
+    text = show_decimal(nanos)
+    places = F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1))
+    padded = F.when(places == 0, F.concat(text, F.lit(".00"))).when(places == 1, F.concat(text, F.lit("0"))).otherwise(text)
+    return F.concat(F.lit("$"), padded)

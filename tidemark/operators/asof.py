@@ -44,6 +44,24 @@ def latest_as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
     return both.where(F.col("__side") == 1).select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
+def next_as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
+    """The first row of `right` at or after `left_ts`, null where there is none: `latest_as_of` looking ahead."""
+    back = lambda t, c: t.withColumn("__back", -F.col(c))
+    return latest_as_of(back(left, left_ts), back(right, right_ts), keys, "__back", "__back", values).drop("__back")
+
+
+def order_faults(rows: DataFrame, keys: list[str], column: str, strict: bool = True) -> DataFrame:
+    """Per key how many rows do not come after the one before them, in the order of `place`."""
+    before = F.lag(column).over(Window.partitionBy(*keys).orderBy("place"))
+    fault = (F.col(column) <= before) if strict else (F.col(column) < before)
+    return rows.withColumn("__fault", F.coalesce(fault, F.lit(False)).cast("long")).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("__fault").alias("faults"))
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, and how often."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Half-open ranges [start, end) of each key, with touching and overlapping ones merged."""
     order = Window.partitionBy(*keys).orderBy("start", "end")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import beside
+from .kernel import beside, rows_of
 
 MASK = (1 << 64) - 1
 #: Draws of the random-entry control.
@@ -23,6 +23,42 @@ def fnv1a(text: str) -> int:
     return h
 
 
+#: Absorbed on the streams of controls only, so that none of them is a fold's (fixed value).
+CONTROL = 0xFF
+
+
+def fnv1a_bytes(data: bytes, h: int = 0xCBF29CE484222325) -> int:
+    for b in data:
+        h = ((h ^ b) * 0x100000001B3) & MASK
+    return h
+
+
+def derive_seed(config: bytes, root_seed: int, combo: int, fold: int | None = None, control: str | None = None, account: str | None = None) -> int:
+    """The seed of a fold's or a control's stream: FNV-1a over the run's identity, then the SplitMix64 finalizer."""
+    data = config + root_seed.to_bytes(8, "little") + (account or "").encode() + combo.to_bytes(8, "little")
+    data += bytes([CONTROL]) + control.encode() if control is not None else int(fold or 0).to_bytes(8, "little")
+    return split_mix(fnv1a_bytes(data))[1]
+
+
+class _Hash:
+    def __init__(self, column: int):
+        self.column, self.h, self.n = column, 0xCBF29CE484222325, 0
+
+    def feed(self, rows: pa.RecordBatch) -> list:
+        values = rows.column(self.column).to_pylist()
+        self.h = fnv1a_bytes(b"".join(v.to_bytes(8, "little", signed=True) for v in values), self.h)
+        self.n += len(values)
+        return [pa.array([self.n], pa.int64()), pa.array([f"{self.h:016x}"], pa.string())]
+
+
+def result_hash(rows: DataFrame, column: str, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """FNV-1a over a column's values in time order, eight bytes each: two runs agree on every bit, or their hashes differ."""
+    need = rows.select(*keys, "ts_open", column)
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    found = rows_of(need, list(keys), ["ts_open"], lambda _: _Hash(len(keys) + 1), f"{fields}, n long, hash string")
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.max_by("hash", "n").alias("hash"))
+
+
 def split_mix(state: int) -> tuple[int, int]:
     """The next state and draw of a SplitMix64 stream."""
     state = (state + 0x9E3779B97F4A7C15) & MASK

@@ -123,3 +123,38 @@ def pool_gaps(spans: DataFrame, group: str) -> DataFrame:
     return rows.where(F.col("next_first") > F.col("last_day") + 1).select(
         group, "contract", "follow", (F.col("next_first") - F.col("last_day") - 1).alias("gap_days")
     )
+
+
+def pool_evaluations(contracts: DataFrame, oos_days: DataFrame, group: str) -> DataFrame:
+    """One row per pool: contracts evaluated, out-of-sample days (the union, never a sum), trades (summed), and why others were skipped.
+
+    `contracts` has the group, contract, warmup_bars, warmup_needed, folds and
+    trades; `oos_days` group, contract and day. A lack of warm-up is judged
+    before a lack of folds.
+    """
+    reason = F.when(F.col("warmup_bars") < F.col("warmup_needed"), "warmup").when(F.col("folds") == 0, "no_fold")
+    judged = contracts.withColumn("reason", reason)
+    used = judged.where("reason IS NULL")
+    days = oos_days.join(used.select(group, "contract"), [group, "contract"], "left_semi").groupBy(group).agg(F.countDistinct("day").alias("oos_sessions"))
+    skipped = lambda r: F.count_if(F.col("reason") == r)
+    got = judged.groupBy(group).agg(
+        F.count_if(F.col("reason").isNull()).alias("evaluated"), skipped("warmup").alias("short_of_warmup"), skipped("no_fold").alias("without_fold"),
+        F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("trades"))), F.lit(0)).alias("oos_trades"),
+    )
+    return got.join(days, group, "left").withColumn("oos_sessions", F.coalesce("oos_sessions", F.lit(0)))
+
+
+def pool_evidence(parts: DataFrame, members: DataFrame, group: str, cash: int, per_year: float = 1.0) -> DataFrame:
+    """Pooled return and Sharpe ratio of each group from its contracts' moments, absent if any member has none.
+
+    `parts` has group, contract, net (change of equity) and `metrics.moments`; `members` group and contract.
+    """
+    from .metrics import combine_moments, sharpe
+
+    asked = members.groupBy(group).agg(F.countDistinct("contract").alias("asked"))
+    there = parts.where(F.col("n") > 0).groupBy(group).agg(F.countDistinct("contract").alias("there"), F.sum("net").alias("net"))
+    pooled = combine_moments(parts.where(F.col("n") > 0), "contract", (group,)).withColumn("sharpe", sharpe(per_year)).select(group, "n", "sharpe")
+    rows = asked.join(there, group, "left").join(pooled, group, "left")
+    whole = F.coalesce(F.col("asked") == F.col("there"), F.lit(False))
+    given = {"return_pct": F.col("net").cast("double") / cash * 100, "sharpe": F.col("sharpe"), "n": F.col("n")}
+    return rows.select(group, "asked", F.coalesce("there", F.lit(0)).alias("there"), *[F.when(whole, c).alias(n) for n, c in given.items()])

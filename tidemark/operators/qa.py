@@ -173,3 +173,36 @@ def short_days(grid: DataFrame, evening: int, cutoff: int) -> DataFrame:
     day, night = F.when(F.col("minute") < evening, F.col("minute")), F.when(F.col("minute") >= evening, F.col("minute"))
     got = dates.join(grid, ["root", "date_key"], "left").groupBy("root", "date_key").agg(F.max(day).alias("last_day_minute"), F.min(night).alias("first_evening"))
     return got.where(F.coalesce("last_day_minute", F.lit(-1)) < cutoff)
+
+
+def weekly_sessions(grid: DataFrame, open_share: float = 0.5, closed_share: float = 0.05, least_run: int = 5) -> DataFrame:
+    """Per root, year and weekday (Monday 0): the usual first and last minute, stretches inside that are usually closed, and minutes that are neither.
+
+    `grid` has root, date_key and minute. Shares are of the weekday's dates that traded at all.
+    """
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("date_key").cast("int"))
+    rows = grid.select("root", F.year(date).alias("year"), ((F.col("date_key") + 3) % 7).cast("int").alias("weekday"), "date_key", "minute")
+    by = ["root", "year", "weekday"]
+    dates = rows.groupBy(*by).agg(F.countDistinct("date_key").alias("dates"))
+    # A row for each minute of the day, whether it traded or not.
+    minutes = dates.withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(1439)))).join(
+        rows.groupBy(*by, F.col("minute").cast("int").alias("minute")).agg(F.count(F.lit(1)).alias("hit")), [*by, "minute"], "left"
+    )
+    minutes = minutes.withColumn("share", F.coalesce("hit", F.lit(0)) / F.col("dates"))
+    whole = Window.partitionBy(*by)
+    opened = F.when(F.col("share") >= open_share, F.col("minute"))
+    inside = minutes.withColumns({"first": F.min(opened).over(whole), "last": F.max(opened).over(whole)}).where((F.col("minute") >= F.col("first")) & (F.col("minute") <= F.col("last")))
+    shut = (F.col("share") <= closed_share).cast("int")
+    island = F.col("minute") - F.sum(shut).over(whole.orderBy("minute"))
+    runs = inside.withColumn("shut", shut).withColumn("island", island).where("shut = 1").groupBy(*by, "island").agg(F.count(F.lit(1)).alias("length"))
+    closed = runs.where(F.col("length") >= least_run).groupBy(*by).agg(F.count(F.lit(1)).alias("closed_runs"), F.sum("length").alias("closed_minutes"))
+    unsure = F.count_if((F.col("share") > closed_share) & (F.col("share") < open_share))
+    got = inside.groupBy(*by).agg(F.first("dates").alias("dates"), F.first("first").alias("first_minute"), F.first("last").alias("last_minute"), unsure.alias("ambiguous"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("closed_runs", "closed_minutes")}
+    return got.join(closed, by, "left").withColumns(zero)
+
+
+def worst_spikes(found: DataFrame, most: int) -> DataFrame:
+    """The `most` spikes of the most sigmas, ties by time and instrument, and how many there are in all."""
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy(F.desc("sigmas"), "ts_open", "instrument").limit(most).crossJoin(F.broadcast(total))  # one row

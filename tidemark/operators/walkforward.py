@@ -51,3 +51,36 @@ def stitched(equity: DataFrame, folds: DataFrame, cash: int) -> DataFrame:
     inside = rows.join(tests, (F.col("day_index") >= F.col("day_lo")) & (F.col("day_index") < F.col("day_hi")))
     run = over.rowsBetween(Window.unboundedPreceding, 0)
     return inside.withColumn("equity", F.lit(cash) + F.sum("delta").over(run)).drop("delta")
+
+
+def first_whole_day(numbered: DataFrame, warmup: int) -> DataFrame:
+    """Per instrument the first bar after the warm-up that opens a day, that day's index, and the bars of a cut day before it."""
+    opens = F.row_number().over(Window.partitionBy("instrument", "day_index").orderBy("bar")) == 1
+    rows = numbered.withColumn("opens", opens).where(F.col("bar") >= warmup)
+    got = rows.groupBy("instrument").agg(F.min(F.when(F.col("opens"), F.struct("bar", "day_index"))).alias("s"), F.count(F.lit(1)).alias("left"))
+    return got.select("instrument", F.col("s.bar").alias("first_bar"), F.col("s.day_index").alias("first_day"), F.coalesce(F.col("s.bar") - warmup, F.col("left")).alias("partial_day_bars"))
+
+
+def fold_summaries(equity: DataFrame, folds: DataFrame, cash: int, per_year: float = 1.0) -> DataFrame:
+    """Each window's own summary from one replay: its curve re-based to the initial cash, with return, Sharpe ratio, drawdown and days.
+
+    `fold` -1 with part test is the curve stitched over all test windows, and
+    with part train the windows of the pooled training parts one after the other.
+    """
+    from .metrics import moments, sharpe
+
+    over = Window.partitionBy("instrument").orderBy("bar")
+    rows = equity.withColumn("delta", F.col("equity") - F.coalesce(F.lag("equity").over(over), F.lit(cash)))
+    inside = rows.join(F.broadcast(folds), (F.col("day_index") >= F.col("day_lo")) & (F.col("day_index") < F.col("day_hi")))
+    inside = inside.select("instrument", "bar", "day_index", "delta", "part", F.explode(F.array(F.col("fold").cast("int"), F.lit(-1))).alias("window"), F.col("fold").alias("of"))
+    key = Window.partitionBy("instrument", "window", "part").orderBy("of", "bar")
+    based = inside.withColumn("e", F.lit(cash) + F.sum("delta").over(key.rowsBetween(Window.unboundedPreceding, 0)))
+    prev = F.coalesce(F.lag("e").over(key), F.lit(cash))
+    based = based.withColumn("ret", F.when(prev > 0, F.col("e").cast("double") / prev - 1))
+    based = based.withColumn("peak", F.greatest(F.lit(cash), F.max("e").over(key.rowsBetween(Window.unboundedPreceding, 0))))
+    fall = F.when(F.col("peak") > 0, (F.col("peak") - F.col("e")).cast("double") / F.col("peak"))
+    got = based.groupBy("instrument", F.col("window").alias("fold"), "part").agg(
+        F.count(F.lit(1)).alias("bars"), F.countDistinct("day_index").alias("sessions"), (F.sum("delta").cast("double") / cash * 100).alias("return_pct"),
+        (F.max(fall) * 100).alias("max_drawdown_pct"), *moments(F.col("ret")),
+    )
+    return got.select("instrument", "fold", "part", "bars", "sessions", "return_pct", "max_drawdown_pct", sharpe(per_year).alias("sharpe"))

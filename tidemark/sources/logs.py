@@ -68,6 +68,22 @@ def trials(runs: DataFrame, voids: DataFrame, family: str, identity: list[str])
     return runs.join(voids, "run_id", "left_anti").groupBy(family).agg(F.countDistinct(F.struct(*identity)).alias("trials"))
 
 
+def intent_states(events: DataFrame, at: str) -> DataFrame:
+    """What a purchase journal leaves of each intent, its events folded in the order `at`.
+
+    `events` has intent and event: intended, submitted, downloaded, appended or
+    abandoned. Giving up takes back the submission and the download before it;
+    submitting again takes back the giving up.
+    """
+    last = lambda e: F.max(F.when(F.col("event") == e, F.col(at)))
+    names = ("intended", "submitted", "downloaded", "appended", "abandoned")
+    got = events.groupBy("intent").agg(*[last(e).alias(e) for e in names])
+    since = lambda e: F.col(e).isNotNull() & (F.col("abandoned").isNull() | (F.col(e) > F.col("abandoned")))
+    gone = F.col("abandoned").isNotNull() & (F.col("submitted").isNull() | (F.col("abandoned") > F.col("submitted")))
+    states = {"intended": F.col("intended").isNotNull(), "submitted": since("submitted"), "staged": since("downloaded"), "appended": F.col("appended").isNotNull(), "abandoned": gone}
+    return got.select("intent", *[c.alias(n) for n, c in states.items()], (states["submitted"] & ~states["appended"] & ~gone).alias("in_flight"))
+
+
 def latest_state(events: DataFrame, key: str, state: str, at: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(state, at).alias(state))
 
