@@ -1,7 +1,7 @@
-import os
 """Hand-derived results of the replay kernels, rules, calendars and statistics."""
 
 import datetime as dt
+import os
 from collections import namedtuple
 
 import pytest

@@ -9,11 +9,10 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.operators import funnel, indicators, metrics, qa, replay, rolls, s0, stats
+from tidemark.operators import funnel, indicators, metrics, qa, replay, resample, rolls, s0, stats
 from tidemark.plans import evidence_queries, grid
 from tidemark.plans.queries import QUERIES
 from tidemark.sources import logs
@@ -87,8 +86,23 @@ def test_permutation_null_equals_plain_paths(spark):
     for r in bars_1h(spark, SF).orderBy("ts_open").collect():
         closes[r.instrument].append(r.close)
 
+    from tidemark.plans.views import COSTS, FAST, SLOW, SPEC
+
     def gain(path):
-        return float(sum(c - b for a, b, c in zip(path, path[1:], path[2:]) if b > a))
+        """The moving-average cross bar by bar; every bar opens at the close before it."""
+        mean = lambda i, p: sum(path[i - p + 1 : i + 1]) / p if i >= p - 1 else None
+        position = target = earned = 0
+        before = None
+        for i, close in enumerate(path):
+            last = path[i - 1] if i else close
+            earned -= abs(target - position) * (COSTS.slip * SPEC.point_value + COSTS.fee)
+            position = target
+            earned += position * (close - last) * SPEC.point_value
+            diff = mean(i, FAST) - mean(i, SLOW) if i >= SLOW - 1 else None
+            if before is not None and diff is not None:
+                target = 1 if before <= 0 < diff else -1 if before >= 0 > diff else target
+            before = diff
+        return float(earned)
 
     got = {r.instrument: r for r in QUERIES["permutation_null"](spark, SF).collect()}
     assert set(got) == set(closes)
@@ -97,7 +111,7 @@ def test_permutation_null_equals_plain_paths(spark):
         nulls = []
         for draw in range(50):
             order = sorted(keys[name, draw], key=keys[name, draw].get)
-            path, level = [], series[0]
+            path, level = [], series[0]  # the first close itself is not a step
             for block in order:
                 for m in moves[24 * block : 24 * block + 24]:
                     level += m
@@ -321,5 +335,29 @@ def test_vendor_conditions(spark, tmp_path):
 def test_overfitting_with_few_folds_and_missing_cells(spark):
     perf = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0)], "combo int, fold int, ret double")
     assert stats.overfitting(perf, 2).first().pbo == 1.0
-    over = Window.partitionBy("combo").orderBy("fold")
-    assert perf.withColumn("n", F.row_number().over(over)).count() == 4
+    whole = [(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0)]
+    for rows, why in ((whole[:3], "lacks a fold"), (whole[:3] + [(1, 0, 2.0)], "has a fold twice"), (whole[:3] + [(1, 1, float("nan"))], "no number"), (whole[:2], "single combo")):
+        with pytest.raises(Exception, match=why):
+            stats.overfitting(spark.createDataFrame(rows, perf.schema), 2).collect()
+    for folds in (3, 0, 30):
+        with pytest.raises(ValueError):
+            stats.overfitting(perf, folds)
+
+
+def test_sessions_that_can_not_be_resampled_are_refused(spark):
+    quarter, row = 900 * 10**9, lambda t: ("X", t, 1, 1, 1, 1, 1)
+    schema = "instrument string, ts_open long, open long, high long, low long, close long, volume long"
+
+    def run(calendar, day, at, source="15m"):
+        dim, stretches = cal.sessions(spark, calendar, day, day), cal.intervals(spark, calendar, day, day)
+        return resample.resample_sessions(spark.createDataFrame([row(at(dim.first()))], schema), dim, stretches, source, "1h").collect()
+
+    assert run(cal.GLOBEX, dt.date(2024, 3, 5), lambda s: s.open_ns + 4 * quarter)[0].bucket % H == 0
+    with pytest.raises(Exception, match="has a halt"):
+        run(cal.GLOBEX, dt.date(2016, 3, 1), lambda s: s.open_ns)
+    with pytest.raises(Exception, match="before the session"):
+        run(cal.GLOBEX, dt.date(2024, 3, 5), lambda s: s.open_ns - 1)
+    odd = cal.Calendar("odd", "UTC", (cal.Era(dt.date(2020, 1, 1), dt.time(9, 7), dt.time(16), dt.time(9, 7), dt.time(16)),), ())
+    with pytest.raises(Exception, match="off the grid"):
+        run(odd, dt.date(2024, 3, 5), lambda s: s.open_ns)
+

@@ -101,6 +101,11 @@ def overfitting(perf: DataFrame, folds: int) -> DataFrame:
     # splits, which `block_splits` bounds.
     splits = F.broadcast(block_splits(perf, folds))
     combos = perf.groupBy("combo").agg(F.sort_array(F.collect_list(F.struct("fold", "ret"))).alias("r"))
+    cells = F.size("r") == F.size(F.array_distinct(F.transform("r", lambda x: x["fold"])))
+    sound = F.forall("r", lambda x: x["ret"].isNotNull() & ~F.isnan(x["ret"]) & (F.abs(x["ret"]) < float("inf")) & x["fold"].between(0, folds - 1))
+    fault = F.when(F.size("r") != folds, "lacks a fold").when(~cells, "has a fold twice").when(~sound, "has a return that is no number or a fold that is none")
+    message = F.concat(F.lit("combo "), F.col("combo").cast("string"), F.lit(" "), fault)
+    combos = combos.withColumn("r", F.when(fault.isNotNull(), F.raise_error(message).cast(combos.schema["r"].dataType)).otherwise(F.col("r")))
     inside = lambda x: F.get(F.split(F.lpad(F.bin("mask"), folds, "0"), ""), F.lit(folds - 1) - x["fold"]) == "1"
     mean = lambda rows: F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["ret"]) / F.size(rows))
     scored = combos.join(splits).select(
@@ -113,7 +118,8 @@ def overfitting(perf: DataFrame, folds: int) -> DataFrame:
             ((F.col("oos_score") < F.col("w.oos_score")) | ((F.col("oos_score") == F.col("w.oos_score")) & (F.col("combo") <= -F.col("w.neg")))).cast("long")
         ).alias("rank"),
     )
-    over = (F.col("rank") * 2 <= F.col("combos") + 1).cast("long")
+    alone = F.raise_error(F.lit("a single combo can not be ranked")).cast("boolean")
+    over = F.when(F.col("combos") < 2, alone).otherwise(F.col("rank") * 2 <= F.col("combos") + 1).cast("long")
     return ranked.agg(F.count(F.lit(1)).alias("splits"), F.sum(over).alias("overfit")).withColumn("pbo", F.col("overfit") / F.col("splits"))
 
 

@@ -528,17 +528,23 @@ def _(spark, d):
     return out.select("instrument", "n", F.round("sr", 6).alias("sr"), F.round(dsr, 6).alias("dsr"))
 
 
+def _path_gain(spark, paths):
+    """What the strategy earns on series of closes, each bar opening at the close before it."""
+    over = Window.partitionBy("instrument").orderBy("ts_open")
+    bars = paths.withColumn("open", F.coalesce(F.lag("close").over(over), F.col("close")))
+    curve = replay.equity(replay.sma_cross_targets(bars, FAST, SLOW), SPEC, COSTS)
+    return curve.groupBy("instrument").agg((F.max_by("equity", "ts_open") - CASH).cast("double").alias("gain"))
+
+
 @query("permutation_null")
 def _(spark, d):
     b = bars_1h(spark, d)
     paths = stats.block_shuffled(b, 50, 24, 29)
-    over = Window.partitionBy("instrument", "draw").orderBy("step")
-    up = paths.withColumn("prev", F.lag("close").over(over)).withColumn("older", F.lag("close", 2).over(over))
-    gain = up.groupBy("instrument", "draw").agg(F.sum(F.when(F.col("prev") > F.col("older"), F.col("close") - F.col("prev")).otherwise(0)).cast("double").alias("null"))
-    w = Window.partitionBy("instrument").orderBy("ts_open")
-    seen = b.withColumn("prev", F.lag("close").over(w)).withColumn("older", F.lag("close", 2).over(w))
-    observed = seen.groupBy("instrument").agg(F.sum(F.when(F.col("prev") > F.col("older"), F.col("close") - F.col("prev")).otherwise(0)).cast("double").alias("observed"))
-    return stats.permutation_p(observed, gain, ("instrument",))
+    # Each draw is a series of its own, on which the whole strategy is run again.
+    named = paths.select(F.concat_ws("|", "instrument", "draw").alias("instrument"), F.col("step").cast("long").alias("ts_open"), "close")
+    null = _path_gain(spark, named).select(F.substring_index("instrument", "|", 1).alias("instrument"), F.col("gain").alias("null"))
+    observed = _path_gain(spark, b.select("instrument", "ts_open", "close")).withColumnRenamed("gain", "observed")
+    return stats.permutation_p(observed, null, ("instrument",))
 
 
 def _truncation_sql() -> str:

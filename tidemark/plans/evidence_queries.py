@@ -73,8 +73,7 @@ B15M = "b15m AS (" + _BAR.format(order="us, event_id", ticks=_event_ticks(900_00
 SELECT instrument, trading_day AS day, bucket, first(open ORDER BY ts_open) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts_open) AS close, CAST(sum(volume) AS BIGINT) AS volume,
  min(ts_open) > bucket OR max(ts_open) + {QUARTER} < bucket + {HOUR} AS partial FROM j GROUP BY 1, 2, 3""")
 def _(spark, d):
-    inside = cal.with_session(event_bars(spark, d, "15m"), _dim(spark), QUARTER)
-    return resample.resample(inside, "15m", "1h", F.col("trading_day"), F.col("open_ns"))
+    return resample.resample_sessions(event_bars(spark, d, "15m"), _dim(spark), _stretches(spark), "15m", "1h")
 
 
 @query("qa_report", f"""WITH {B1H}, {DIM}, {SLOTS}, names AS (SELECT DISTINCT instrument FROM b1h),
