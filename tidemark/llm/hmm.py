@@ -227,17 +227,9 @@ def _count_tokens(train: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            words = list(seen)
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(words, pa.binary()),
-                    pa.array([shared_symbol(w) if w else 0 for w in words], pa.int32()),
-                    pa.array(list(seen.values()), pa.int64()),
-                ],
-                ["token", "symbol", "c"],
-            )
+            columns = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
             seen.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(columns, ["token", "c"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -248,8 +240,11 @@ def _count_tokens(train: DataFrame) -> DataFrame:
         if seen:
             yield flush()
 
-    partial = train.select("t").mapInArrow(count, "token binary, symbol int, c long")
-    return materialise(partial.groupBy("token", "symbol").agg(F.sum("c").alias("c")), "counts")
+    partial = train.select("t").mapInArrow(count, "token binary, c long")
+    shared = F.crc32(F.substring("token", -3, 3)) % SHARED + (1 + OWN)  # as `shared_symbol`
+    symbol = F.when(F.length("token") == 0, F.lit(0)).otherwise(shared).cast("int")
+    counts = partial.groupBy("token").agg(F.sum("c").alias("c")).select("token", symbol.alias("symbol"), "c")
+    return materialise(counts, "counts")
 
 
 def _least_head_count(counts: DataFrame) -> int:
@@ -296,15 +291,6 @@ def _lexicon(counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
     return Lexicon(words, c, symbols, totals[0] or 0, totals[1], mass), symbol_counts
 
 
-def _symbols(index: dict[bytes, int], lexicon: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Place in the head (-1: none) and symbol of each word."""
-    place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-    symbols = lexicon.symbols[place] if len(lexicon.symbols) else np.zeros(len(words), np.int64)
-    for i in np.flatnonzero(place < 0):
-        symbols[i] = shared_symbol(words[i])
-    return place, symbols
-
-
 _LOADED: dict[int, dict[bytes, int]] = {}
 
 
@@ -327,7 +313,6 @@ def _encode(source: DataFrame, shared) -> DataFrame:
     log probabilities within shared symbols, `tail` the words that the head lacks.
     """
     kind = source.schema["id"].dataType.simpleString()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, lexicon, end_count = _index(shared), shared.value[1], shared.value[2]
@@ -336,33 +321,44 @@ def _encode(source: DataFrame, shared) -> DataFrame:
         per_token = math.log10(lexicon.n_tokens + lexicon.n_distinct + 1)
         row = TaskContext.get().partitionId() << 36
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                columns: list[list] = [[] for _ in kinds]
-                tail_words, tail_counts, tail_ends = [], [], [0]
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                words: list[bytes] = []
+                ends = []
                 for text in batch.column(1):
-                    words = words_of(text.as_py())
-                    place, symbols = _symbols(index, lexicon, words)
-                    in_head = place >= 0
-                    tail = Counter([words[i] for i in np.flatnonzero(~in_head).tolist()])
-                    tail_words += tail
-                    tail_counts += tail.values()
+                    words += words_of(text.as_py())
+                    ends.append(len(words))
+                    words.append(END)
+                last = np.array(ends)
+                first = np.concatenate([[0], last[:-1] + 1])
+                place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                symbols = lexicon.symbols[place] if len(lexicon.symbols) else np.zeros(len(words), np.int64)
+                symbols[last] = 0
+                in_head = place >= 0
+                rest = np.flatnonzero(~in_head)
+                rest = rest[symbols[rest] != 0] if len(lexicon.symbols) else np.setdiff1d(rest, last, assume_unique=True)
+                lacking = [words[i] for i in rest.tolist()]
+                symbols[rest] = [shared_symbol(w) for w in lacking]
+                logs = np.where(in_head, log_c[place], 0.0) if len(log_c) else np.zeros(len(words))
+                within = np.where(symbols > OWN, logs - log_mass[symbols], 0.0)
+                base = np.add.reduceat(logs, first) + math.log10(end_count + 1) - (last - first + 1) * per_token
+                known = np.add.reduceat(in_head.astype(np.int64), first) + (end_count > 0)
+                tail_words, tail_counts, tail_ends = [], [], [0]
+                cuts = np.searchsorted(rest, last).tolist()
+                for lo, hi in zip([0, *cuts[:-1]], cuts):
+                    if lo < hi:
+                        tail = Counter(lacking[lo:hi])
+                        tail_words += tail
+                        tail_counts += tail.values()
                     tail_ends.append(len(tail_words))
-                    logs = log_c[place[in_head]]
-                    grouped = symbols > OWN
-                    inner = float(logs[grouped[in_head]].sum()) - float(log_mass[symbols[grouped]].sum())
-                    base = float(logs.sum()) + math.log10(end_count + 1) - (len(words) + 1) * per_token
-                    known = len(logs) + (end_count > 0)
-                    packed = np.append(symbols, 0).astype(np.int16).tobytes()
-                    for column, value in zip(columns, (row, len(words) + 1, known, base, inner, packed)):
-                        column.append(value)
-                    row += 1
                 words_of_tails = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int32())], ["token", "n"])
                 tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), words_of_tails)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds)), tails],
-                    ["id", "held_out", *_ENCODED_NAMES],
-                )
+                offsets = np.concatenate([[0], (last + 1) * 2]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(offsets), pa.py_buffer(symbols.astype(np.int16))])
+                rows = np.arange(row, row + len(last))
+                row += len(last)
+                columns = [pa.array(c) for c in (rows, last - first + 1, known, base, np.add.reduceat(within, first))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, packed, tails], ["id", "held_out", *_ENCODED_NAMES])
 
     return source.select("id", "t", "held_out").mapInArrow(encode, f"id {kind}, held_out boolean, {_ENCODED}")
 
