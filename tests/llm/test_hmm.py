@@ -78,6 +78,25 @@ def test_rounds_do_not_lower_the_likelihood():
     assert hmm.forward_log10(model, sequences).sum() > 3000 * math.log10(1 / 8) + 100
 
 
+def test_stretched_rounds_get_as_far_as_more_plain_ones():
+    rng = np.random.default_rng(7)
+    sequences = []
+    for _ in range(300):  # runs of two kinds of symbols, partly shared
+        kinds = np.repeat(rng.integers(0, 2, 8), rng.integers(3, 9, 8))
+        sequences.append(np.where(kinds == 0, rng.integers(0, 6, len(kinds)), rng.integers(4, 10, len(kinds))))
+    counts = np.bincount(np.concatenate(sequences), minlength=10).astype(float)
+
+    def likelihood(rounds, stretch):
+        model = hmm.first_model(counts, 2)
+        for k in range(rounds):
+            new = hmm.reestimate(hmm.expected_counts(model, sequences), 2, 10)
+            model = hmm.stretched(model, new) if stretch and 0 < k < rounds - 1 else new
+        return hmm.forward_log10(model, sequences).sum()
+
+    assert likelihood(hmm.ROUNDS, True) > likelihood(hmm.ROUNDS + 2, False) - 5
+    assert likelihood(40, True) > likelihood(40, False) - 5
+
+
 @pytest.mark.parametrize("head", [hmm.HEAD, 3])
 def test_scores_equal_brute_force(spark, monkeypatch, head):
     """With a head of three words the rest goes through the join; nothing else changes."""
@@ -132,7 +151,7 @@ def test_all_rounds_see_all_texts_whole(spark, monkeypatch):
     learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
     tokens = sum(len(t.split()) + 1 for t in learned)
     k = hmm.STATES
-    assert len(sizes) == 9
+    assert len(sizes) == hmm.ROUNDS
     for counts in sizes:  # one start a text, a transition between all neighbours, all tokens emitted
         sums = counts[:k].sum(), counts[k : k + k * k].sum(), counts[k + k * k : -1].sum()
         assert np.allclose(sums, (len(learned), tokens - len(learned), tokens))
