@@ -163,13 +163,13 @@ def presence(bars: DataFrame, zone: str) -> DataFrame:
     return minutes.select("root", F.floor(F.col("m") / 1440).cast("long").alias("date_key"), F.pmod("m", F.lit(1440)).alias("minute")).distinct()
 
 
-def short_days(grid: DataFrame, evening: int, cutoff: int) -> DataFrame:
-    """Weekdays from a root's first to its last date whose day session is absent or ends before `cutoff`, with the first evening minute.
+def short_days(grid: DataFrame, first: int, last: int, evening: int, cutoff: int) -> DataFrame:
+    """Weekdays from `first` to `last` (date keys) whose day session is absent or ends before `cutoff`, with the first evening minute.
 
-    Every date is asked, so one without any trade is found as well.
+    Every date is asked of every root, so one without any trade is found as well.
     """
-    span = grid.groupBy("root").agg(F.min("date_key").alias("lo"), F.max("date_key").alias("hi"))
-    dates = span.select("root", F.explode(F.sequence("lo", "hi")).alias("date_key")).where((F.col("date_key") + 3) % 7 < 5)
+    dates = grid.select("root").distinct().withColumn("date_key", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+    dates = dates.where((F.col("date_key") + 3) % 7 < 5)
     day, night = F.when(F.col("minute") < evening, F.col("minute")), F.when(F.col("minute") >= evening, F.col("minute"))
     got = dates.join(grid, ["root", "date_key"], "left").groupBy("root", "date_key").agg(F.max(day).alias("last_day_minute"), F.min(night).alias("first_evening"))
     return got.where(F.coalesce("last_day_minute", F.lit(-1)) < cutoff)

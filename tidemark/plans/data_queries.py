@@ -206,13 +206,15 @@ def _(spark, d):
     return p.where(F.col("minute").between(540, 599)).groupBy("root", "minute").agg(F.count(F.lit(1)).alias("hit")).join(n, "root").select("root", "minute", F.round(F.col("hit") * 100.0 / F.col("dates"), 6).alias("pct"))
 
 
-@query("holiday_detector", f"""WITH {LOCAL}, kept AS (SELECT * FROM pg WHERE date_key NOT IN (19730, 19737)), span AS (SELECT root, min(date_key) AS lo, max(date_key) AS hi FROM kept GROUP BY 1),
-dates AS (SELECT root, unnest(generate_series(lo, hi)) AS date_key FROM span)
-SELECT root, d.date_key, max(minute) FILTER (minute < 1020) AS last_day_minute, min(minute) FILTER (minute >= 1020) AS first_evening FROM dates d LEFT JOIN kept k USING (root, date_key)
+#: The days asked for begin and end outside of what was traded.
+ASKED = ((FIRST - dt.date(1970, 1, 1)).days, (LAST - dt.date(1970, 1, 1)).days)
+
+
+@query("holiday_detector", f"""WITH {LOCAL}, dates AS (SELECT root, unnest(generate_series({ASKED[0]}::BIGINT, {ASKED[1]}::BIGINT)) AS date_key FROM (SELECT DISTINCT root FROM pg))
+SELECT root, d.date_key, max(minute) FILTER (minute < 1020) AS last_day_minute, min(minute) FILTER (minute >= 1020) AS first_evening FROM dates d LEFT JOIN pg k USING (root, date_key)
 WHERE (d.date_key + 3) % 7 < 5 GROUP BY 1, 2 HAVING coalesce(max(minute) FILTER (minute < 1020), -1) < 900""")
 def _(spark, d):
-    # Two weekdays without any trade are made, which only a list of dates can find.
-    return qa.short_days(_presence(spark, d).where("date_key NOT IN (19730, 19737)"), 1020, 900)
+    return qa.short_days(_presence(spark, d), *ASKED, 1020, 900)
 
 
 @query("daily_first_last_runs", f"""WITH {LOCAL}, dd AS (SELECT root, date_key, min(minute) // 60 AS f, max(minute) // 60 AS l FROM pg GROUP BY 1, 2),

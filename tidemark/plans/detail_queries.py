@@ -110,15 +110,14 @@ def _(spark, d):
 # ---------------------------------------------------------------- logs and times
 
 
-@query("intent_states", """WITH e AS (SELECT user_id AS intent, CASE event_type WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'intended' WHEN 'purchase' THEN 'downloaded' WHEN 'error' THEN 'abandoned' ELSE 'appended' END AS event, epoch_us(ts) AS t FROM events WHERE NOT (event_type NOT IN ('click', 'view', 'purchase', 'error') AND event_id % 3 > 0)),
+@query("intent_states", """WITH e AS (SELECT user_id AS intent, CASE event_type WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'intended' WHEN 'purchase' THEN 'downloaded' WHEN 'error' THEN 'abandoned' ELSE CASE WHEN user_id % 3 = 0 THEN 'appended' ELSE 'intended' END END AS event, epoch_us(ts) AS t FROM events),
 l AS (SELECT intent, max(t) FILTER (event = 'intended') AS i, max(t) FILTER (event = 'submitted') AS s, max(t) FILTER (event = 'downloaded') AS w, max(t) FILTER (event = 'appended') AS a, max(t) FILTER (event = 'abandoned') AS g FROM e GROUP BY 1)
 SELECT intent, i IS NOT NULL AS intended, s IS NOT NULL AND (g IS NULL OR s > g) AS submitted, w IS NOT NULL AND (g IS NULL OR w > g) AS staged, a IS NOT NULL AS appended, g IS NOT NULL AND (s IS NULL OR g > s) AS abandoned,
  s IS NOT NULL AND (g IS NULL OR s > g) AND a IS NULL AND NOT (g IS NOT NULL AND (s IS NULL OR g > s)) AS in_flight FROM l""")
 def _(spark, d):
     kind = F.col("event_type")
-    event = F.when(kind == "click", "submitted").when(kind == "view", "intended").when(kind == "purchase", "downloaded").when(kind == "error", "abandoned").otherwise("appended")
-    rows = table(spark, d, "events").where(~(~kind.isin("click", "view", "purchase", "error") & (F.col("event_id") % 3 > 0)))
-    return logs.intent_states(rows.select(F.col("user_id").alias("intent"), event.alias("event"), epoch_us("ts").alias("t")), "t")
+    event = F.when(kind == "click", "submitted").when(kind == "view", "intended").when(kind == "purchase", "downloaded").when(kind == "error", "abandoned").when(F.col("user_id") % 3 == 0, "appended").otherwise("intended")
+    return logs.intent_states(table(spark, d, "events").select(F.col("user_id").alias("intent"), event.alias("event"), epoch_us("ts").alias("t")), "t")
 
 
 ERAS = [("globex", e.start, i) for i, e in enumerate(cal.GLOBEX.eras)] + [("us_equity_options", e.start, i) for i, e in enumerate(cal.OPTIONS.eras)]
@@ -256,23 +255,26 @@ ev AS (SELECT *, bars AS warmup_bars, 40 * CAST(right(contract, 1) AS BIGINT) +
 
 
 @query("pool_evaluations", f"""WITH {POOL}, j AS (SELECT *, CASE WHEN warmup_bars < warmup_needed THEN 'warmup' WHEN folds = 0 THEN 'no_fold' END AS reason FROM ev),
-u AS (SELECT cs.root, count(DISTINCT day) AS s FROM cs JOIN j ON j.contract = cs.contract AND j.reason IS NULL WHERE day % 3 > 0 GROUP BY 1)
+b AS (SELECT contract, min(day) AS b FROM cs GROUP BY 1), u AS (SELECT cs.root, count(DISTINCT day) AS s FROM cs JOIN j ON j.contract = cs.contract AND j.reason IS NULL JOIN b ON b.contract = cs.contract WHERE day >= b + 6 GROUP BY 1)
 SELECT root, count(*) FILTER (reason IS NULL) AS evaluated, count(*) FILTER (reason = 'warmup') AS short_of_warmup, count(*) FILTER (reason = 'no_fold') AS without_fold, CAST(coalesce(sum(trades) FILTER (reason IS NULL), 0) AS BIGINT) AS oos_trades, coalesce(any_value(s), 0) AS oos_sessions FROM j LEFT JOIN u USING (root) GROUP BY 1""")
 def _(spark, d):
     seq = F.substring("contract", -1, 1).cast("long")
     bars = contract_bars(spark, d).groupBy("root", "contract").agg(F.count(F.lit(1)).alias("bars"), F.countDistinct(prices.day_known(HOUR)).alias("days"))
     contracts = bars.select("root", "contract", F.col("bars").alias("warmup_bars"), (seq * 40 + 60).alias("warmup_needed"), (F.expr("days div 9") - seq).alias("folds"), (F.col("bars") % 17).alias("trades"))
-    return funnel.pool_evaluations(contracts, contract_sessions(spark, d).where("day % 3 > 0").select("root", "contract", "day"), "root")
+    # The days after a contract's first six are out of sample.
+    days = contract_sessions(spark, d).withColumn("begin", F.min("day").over(Window.partitionBy("contract")))
+    return funnel.pool_evaluations(contracts, days.where("day >= begin + 6").select("root", "contract", "day"), "root")
 
 
 @query("pool_evidence", f"""WITH {CONTRACT_BARS}, r AS (SELECT root, contract, CASE WHEN lag(close) OVER w > 0 THEN CAST(close AS DOUBLE) / lag(close) OVER w - 1 END AS ret, close - lag(close) OVER w AS delta FROM cb WINDOW w AS (PARTITION BY contract ORDER BY ts_open)),
-f AS (SELECT * FROM r WHERE root <> 'error' OR right(contract, 1) <> '2'), a AS (SELECT root, count(DISTINCT contract) AS asked FROM cb GROUP BY 1), t AS (SELECT root, count(DISTINCT contract) FILTER (ret IS NOT NULL) AS there, CAST(sum(delta) FILTER (ret IS NOT NULL OR delta IS NOT NULL) AS DOUBLE) AS net, count(ret) AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe FROM f GROUP BY 1)
+f AS (SELECT root, contract, CASE WHEN root <> 'error' OR right(contract, 1) <> '2' THEN ret END AS ret, delta FROM r), a AS (SELECT root, count(DISTINCT contract) AS asked FROM cb GROUP BY 1), t AS (SELECT root, count(DISTINCT contract) FILTER (ret IS NOT NULL) AS there, CAST(sum(delta) AS DOUBLE) AS net, count(ret) AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe FROM f GROUP BY 1)
 SELECT root, asked, there, round(CASE WHEN asked = there THEN net / {CASH} * 100 END, 6) AS return_pct, round(CASE WHEN asked = there THEN sharpe END, 6) AS sharpe, CASE WHEN asked = there THEN n END AS n FROM a JOIN t USING (root)""")
 def _(spark, d):
     over = Window.partitionBy("contract").orderBy("ts_open")
     prev = F.lag("close").over(over)
     rows = contract_bars(spark, d).select("root", "contract", F.when(prev > 0, F.col("close").cast("double") / prev - 1).alias("ret"), (F.col("close") - prev).alias("delta"))
     members = contract_bars(spark, d).select("root", "contract").distinct()
-    # One contract's evidence is missing, so its pool has none.
-    parts = rows.where("root <> 'error' OR right(contract, 1) <> '2'").groupBy("root", "contract").agg(F.sum("delta").alias("net"), *metrics.moments(F.col("ret")))
+    # One contract has no returns, so its pool has no evidence.
+    there = F.expr("root <> 'error' OR right(contract, 1) <> '2'")
+    parts = rows.groupBy("root", "contract").agg(F.sum("delta").alias("net"), *metrics.moments(F.when(there, F.col("ret"))))
     return funnel.pool_evidence(parts, members, "root", CASH).withColumns({c: F.round(c, 6) for c in ("return_pct", "sharpe")})

@@ -298,15 +298,14 @@ def _(spark, d):
     return _rolls(spark, d)
 
 
-#: What is said of each contract's expiry, every fourth day anew, and the rolls two days before what is known of it.
-STATED = "st AS (SELECT root, contract, avail_ts, 19730 + 7 * CAST(right(contract, 1) AS BIGINT) + day % 3 AS expiry_day FROM cs WHERE day % 4 = 0 OR day < 19726)"
+#: What is said of each contract's expiry, every session anew, and the rolls two days before what is known of it.
+STATED = "st AS (SELECT root, contract, avail_ts, 19730 + 7 * CAST(right(contract, 1) AS BIGINT) + day % 5 AS expiry_day FROM cs)"
 CALENDAR_ROLLS = f"""{ADJ}, {STATED}, kn AS (SELECT pr.*, st.expiry_day AS known FROM pr ASOF LEFT JOIN st ON st.contract = pr.front AND greatest(pr.fa, pr.na) >= st.avail_ts),
 pw AS (SELECT * FROM kn), {_chain_sql("nc IS NOT NULL AND p.day >= known - 2")}"""
 
 
 def _stated(spark, d):
-    s = _contract_sessions(spark, d).where("day % 4 = 0 OR day < 19726")
-    return s.select("root", "contract", "avail_ts", (F.col("seq") * 7 + 19730 + F.col("day") % 3).alias("expiry_day"))
+    return _contract_sessions(spark, d).select("root", "contract", "avail_ts", (F.col("seq") * 7 + 19730 + F.col("day") % 5).alias("expiry_day"))
 
 
 def _calendar_rolls(spark, d):
