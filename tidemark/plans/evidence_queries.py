@@ -104,13 +104,13 @@ UNION ALL SELECT 'new_year', CASE isodow(d) WHEN 7 THEN d + INTERVAL 1 DAY ELSE
 SELECT CAST(d AS DATE) AS trading_day, holiday_name FROM shut WHERE isodow(d) < 6"""
 
 
-@query("options_closures", _options_sql())
+@query("exchange_closures", _options_sql())
 def _(spark, d):
     days = cal.sessions(spark, cal.OPTIONS, dt.date(2019, 1, 1), dt.date(2026, 12, 31))
     return days.where("effect = 'closed'").select("trading_day", "holiday_name")
 
 
-@query("open_stretches", """WITH days AS (SELECT d FROM generate_series(TIMESTAMP '2016-01-04', TIMESTAMP '2016-02-26', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
+@query("session_stretches", """WITH days AS (SELECT d FROM generate_series(TIMESTAMP '2016-01-04', TIMESTAMP '2016-02-26', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
 o AS (SELECT d, epoch_us(d) * 1000 AS m, d IN (DATE '2016-01-18', DATE '2016-02-15') AS early FROM days)
 SELECT CAST(d AS DATE) AS trading_day, CAST(0 AS INT) AS part, CAST(m - 3600000000000 AS BIGINT) AS open_ns, CAST(m + CASE WHEN early THEN 18 * 3600000000000 ELSE 21 * 3600000000000 + 900000000000 END AS BIGINT) AS close_ns FROM o
 UNION ALL SELECT CAST(d AS DATE), 1, m + 21 * 3600000000000 + 1800000000000, m + 22 * 3600000000000 FROM o WHERE NOT early""")
