@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Entries of the memo of encoded units at most, and the longest unit that it keeps.
-MEMO_UNITS, LONGEST_KEPT = 600_000, 48
+MEMO_UNITS, LONGEST_KEPT = 1_000_000, 48
 #: Entries after which the memo of token pairs is emptied.
 MEMO_PAIRS = 1_000_000
 #: The characters of the Unicode property White_Space (fixed values).
@@ -107,8 +108,9 @@ class Vocabulary:
         if whole is not None:
             return [whole]
         size, length, shorter, allowed = len(piece), self.length, self.shorter, self.allowed
+        text = piece.decode("latin-1")
         longest = [-1] * size
-        for end, (i, before) in self.automaton.iter(piece.decode("latin-1")):
+        for end, (i, before) in self.automaton.iter(text):
             longest[end - before] = i
         closed: set[int] = set()
         out: list[int] = []
@@ -174,12 +176,14 @@ class Codec:
         self.odd = [c for c in self._white() if c not in " \n"] + ["  ", "\n\n", " \n", "\n "]
         self.memo = _Memo(self._encode_unit)
         self.names = {i: f" {i}" for i in self.vocabulary.tokens}
+        #: Ids are kept packed, in two bytes each if they fit.
+        self.kind = "H" if max(self.vocabulary.tokens, default=0) < 1 << 16 else "I"
 
-    def _encode_unit(self, unit: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in self.pieces.findall(unit):
-            ids += self.vocabulary.encode_piece(piece.encode("utf-8"))
-        return tuple(ids)
+    def _encode_unit(self, unit: str) -> bytes:
+        pieces = self.pieces.findall(unit)
+        if len(pieces) > 1:  # each of them, alone, is a unit of one piece
+            return b"".join(map(self.memo.__getitem__, pieces))
+        return array(self.kind, self.vocabulary.encode_piece(unit.encode("utf-8"))).tobytes()
 
     @staticmethod
     def _white() -> list[str]:
@@ -197,14 +201,14 @@ class Codec:
             units += [" " + w for w in words]
         return units
 
+    def packed(self, text: str) -> memoryview:
+        """The ids of a text."""
+        return memoryview(b"".join(map(self.memo.__getitem__, self.split(text))) if text else b"").cast(self.kind)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if text:
-            for ids in map(self.memo.__getitem__, self.split(text)):
-                out += ids
-        return out
+        return self.packed(text).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
@@ -249,7 +253,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             counts, id_digests, text_digests = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = own.encode(text)
+                ids = own.packed(text).tolist()
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256("".join(map(name, ids))[1:].encode("ascii")).hexdigest())
                 text_digests.append(hashlib.sha256(own.decode(ids)).hexdigest())
