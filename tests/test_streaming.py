@@ -61,3 +61,27 @@ def test_stream_replay_equals_batch_replay(spark, tmp_path):
     want = replay.equity(targets.withColumn("high", F.col("open")).withColumn("low", F.col("open")), replay.Spec(cash=1000 * NANO), costs)
     pick = lambda df: sorted((r.instrument, r.ts_open, r.equity) for r in df.select("instrument", "ts_open", "equity").collect())
     assert pick(got) == pick(want)
+
+
+def test_days_of_streams_equal_days_of_tables(spark, tmp_path):
+    """Sessions and account days, each emitted once its day is over."""
+    bars = event_bars(spark, SF, "1h").select("instrument", F.timestamp_micros(F.expr("ts_open div 1000")).alias("ts"), "volume", "close", F.col("close").alias("equity"))
+    after = bars.groupBy("instrument").agg(F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("volume"), F.lit(0).cast("long").alias("close"), F.lit(0).cast("long").alias("equity"))
+    bars.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    after.coalesce(1).write.parquet(f"{tmp_path}/late")
+    for name, run, columns in (("sess", streams.stream_sessions, ["volume", "close"]), ("acct", streams.stream_account, ["close_equity", "high", "low", "bars"])):
+        shutil.copytree(f"{tmp_path}/in/a", f"{tmp_path}/{name}/a")
+        source = spark.readStream.schema(bars.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+        q = run(source).writeStream.outputMode("append").format("memory").queryName(name).start()
+        try:
+            q.processAllAvailable()
+            shutil.copytree(f"{tmp_path}/late", f"{tmp_path}/{name}/b")
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        day = bars.groupBy("instrument", F.date_trunc("day", "ts").alias("day")).agg(
+            F.sum("volume").alias("volume"), F.max_by("close", "ts").alias("close"), F.max_by("equity", "ts").alias("close_equity"),
+            F.max("equity").alias("high"), F.min("equity").alias("low"), F.count(F.lit(1)).alias("bars"),
+        )
+        pick = lambda df: sorted(map(tuple, df.select("instrument", "day", *columns).collect()))  # noqa: B023, E731
+        assert pick(spark.table(name)) == pick(day) and pick(day)

@@ -37,6 +37,16 @@ def stream_sessions(bars: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     )
 
 
+def stream_account(equity: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """Last, highest and lowest equity of each UTC day of a stream of (instrument, ts, equity), emitted when the day is over."""
+    return (
+        equity.withWatermark("ts", lateness)
+        .groupBy("instrument", F.window("ts", "1 day"))
+        .agg(F.max_by("equity", "ts").alias("close_equity"), F.max("equity").alias("high"), F.min("equity").alias("low"), F.count(F.lit(1)).alias("bars"))
+        .select("instrument", F.col("window.start").alias("day"), "close_equity", "high", "low", "bars")
+    )
+
+
 ORDERED = "instrument string, ts_open long, close long, accepted boolean, reason string"
 
 
@@ -48,14 +58,13 @@ def ordered_feed(bars: DataFrame) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values("seq")
-            rows = []
-            for r in frame.itertuples(index=False):
-                ok = last is None or r.ts_open >= last
-                last = r.ts_open if ok else last
-                rows.append((key[0], r.ts_open, r.close, ok, None if ok else "out_of_order"))
-            yield pd.DataFrame(rows, columns=["instrument", "ts_open", "close", "accepted", "reason"])
+        rows = []
+        # A trigger's rows of one instrument come in frames of no certain order.
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
+            ok = last is None or r.ts_open >= last
+            last = r.ts_open if ok else last
+            rows.append((key[0], r.ts_open, r.close, ok, None if ok else "out_of_order"))
+        yield pd.DataFrame(rows, columns=["instrument", "ts_open", "close", "accepted", "reason"])
         if last is not None:
             state.update((int(last),))
 
@@ -73,16 +82,15 @@ def stream_replay(targets: DataFrame, point_value: int, cash: int, cost: int) ->
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         position, wanted, close, equity, seen = state.get if state.exists else (0, 0, 0, cash, 0)
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("ts_open").itertuples(index=False):
-                before = position
-                gap = (int(r.open) - close) if seen else 0
-                position = wanted
-                equity += before * gap * point_value + position * (int(r.close) - int(r.open)) * point_value - abs(position - before) * cost
-                close, wanted, seen = int(r.close), int(r.target), 1
-                rows.append((key[0], int(r.ts_open), wanted, position, equity))
-            yield pd.DataFrame(rows, columns=["instrument", "ts_open", "target", "position", "equity"])
+        rows = []
+        for r in pd.concat(list(frames)).sort_values("ts_open").itertuples(index=False):
+            before = position
+            gap = (int(r.open) - close) if seen else 0
+            position = wanted
+            equity += before * gap * point_value + position * (int(r.close) - int(r.open)) * point_value - abs(position - before) * cost
+            close, wanted, seen = int(r.close), int(r.target), 1
+            rows.append((key[0], int(r.ts_open), wanted, position, equity))
+        yield pd.DataFrame(rows, columns=["instrument", "ts_open", "target", "position", "equity"])
         state.update((position, wanted, close, equity, seen))
 
     return targets.groupBy("instrument").applyInPandasWithState(
