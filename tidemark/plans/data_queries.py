@@ -60,11 +60,11 @@ JOINED = f"j AS (SELECT b1h.*, ses.* FROM b1h JOIN ses ON ts_open + {HOUR} > ope
 
 
 @query("session_clock", f"""WITH {B1H}, {DIM}, {JOINED} SELECT instrument, ts_open, trading_day, (ts_open + {HOUR} - open_ns) / 6e10 AS minutes_since_open, (close_ns - ts_open - {HOUR}) / 6e10 AS minutes_to_close,
-CAST(ts_open + {HOUR} - 1 >= rth_open_ns AND ts_open + {HOUR} - 1 < rth_close_ns AS DOUBLE) AS is_rth, CAST(ts_open + {HOUR} - 1 < rth_open_ns AS DOUBLE) AS is_overnight FROM j""")
+CAST(ts_open + {HOUR} - 1 >= rth_open_ns AND ts_open + {HOUR} - 1 < rth_close_ns AS DOUBLE) AS is_rth, CAST(ts_open + {HOUR} - 1 < rth_open_ns AS DOUBLE) AS is_overnight,
+(ts_open + {HOUR} - rth_open_ns) / 6e10 AS minutes_since_rth_open, (rth_close_ns - ts_open - {HOUR}) / 6e10 AS minutes_to_rth_close, CAST(ts_open + {HOUR} - 1 >= rth_close_ns AS DOUBLE) AS is_post_rth FROM j""")
 def _(spark, d):
     clock = cal.session_clock(HOUR)
-    keep = ("minutes_since_open", "minutes_to_close", "is_rth", "is_overnight")
-    return cal.with_session(bars_1h(spark, d), _dim(spark), HOUR).select("instrument", "ts_open", "trading_day", *[clock[c].alias(c) for c in keep])
+    return cal.with_session(bars_1h(spark, d), _dim(spark), HOUR).select("instrument", "ts_open", "trading_day", *[c.alias(n) for n, c in clock.items()])
 
 
 @query("session_unexpected", f"WITH {B1H}, {DIM}, {JOINED} SELECT instrument, count(*) AS n FROM (SELECT instrument, ts_open FROM b1h EXCEPT SELECT instrument, ts_open FROM j) GROUP BY 1")
