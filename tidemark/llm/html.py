@@ -332,6 +332,7 @@ class Matcher:
 
     def __init__(self, seed: Page):
         self.seed = seed
+        self.own = Counter(element for element, _ in seed.blocks)
         self.known: dict[tuple[int, int], int] = {}
 
     def _children(self, page: Page, x: int, y: int, missing: list | None = None) -> list[tuple[int, int]] | None:
@@ -428,7 +429,8 @@ def placed_blocks(page: Page, matchers: list[Matcher]) -> tuple[int, list[tuple[
     """The seed that fits best (-1: none) and each text block as (v, j, extra, d, plain, heading, text).
 
     v is the seed's element that holds the block or, if `extra`, the nearest one
-    around it; j counts the blocks of that element; d is the element that names
+    around it; j counts the blocks of that element, and is -1, `extra` as well,
+    beyond as many as the seed's has; d is the element that names
     mark around it (-1: none, -2: one that the seed lacks); `plain` tells that
     the block is in the page's own main element.
     """
@@ -448,9 +450,13 @@ def placed_blocks(page: Page, matchers: list[Matcher]) -> tuple[int, list[tuple[
         if to:
             while to[v] < 0:
                 v = page.parent[v]
-        extra = v != element
-        j = 0 if extra else seen[element]
+        j = seen[element]
         seen[element] += 1
+        extra = v != element
+        if extra:
+            j = 0
+        elif best >= 0 and j >= matchers[best].own[to[v]]:
+            extra, j = True, -1
         d = -1 if named < 0 else (to[named] if to and to[named] >= 0 else -2)
         out.append((to[v] if to else 0, j, extra, d, named < 0 and main <= element < end, page.heading[element], text))
     return best, out
@@ -484,7 +490,7 @@ def wrapper_of(seed: Page, pages: int, nodes: list[tuple[int, int, bool, int, in
             same[v] += most * length
             mass -= most * length
         slots[v] += mass
-        extras[v] += mass if extra else 0
+        extras[v] += mass if extra and not j else 0
     inside = [False] * len(seed.label)
     for e in range(len(seed.label)):
         inside[e] = seed.is_main[e] or (e > 0 and inside[seed.parent[e]])
