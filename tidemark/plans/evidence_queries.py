@@ -118,6 +118,35 @@ def _(spark, d):
     return cal.intervals(spark, cal.GLOBEX, dt.date(2016, 1, 4), dt.date(2016, 2, 26)).drop("calendar_id")
 
 
+def _rules_sql() -> str:
+    """The rules and one-off days of all calendars as tables, and what they give for each year, worked out in SQL."""
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    rules, days = [], []
+    for c in cal.CALENDARS:
+        for place, h in enumerate(c.holidays):
+            args = (*h.args, 0, 0, 0)[:3] if h.kind != "before" else (*h.args[:2], sum(1 << w for w in h.args[2:]))
+            rules.append(f"('{c.name}', {place}, '{h.name}', '{h.kind}', {args[0]}, {args[1]}, {args[2]}, '{h.observance}', {text(h.close)}, {h.first}, {h.last})")
+        days += [f"('{c.name}', DATE '{d}', '{name}', {text(close)})" for d, (name, close) in c.special.items()]
+    return f"""WITH r(c, place, name, kind, a, b, n, obs, close, lo, hi) AS (VALUES {", ".join(rules)}), one(c, d, name, close) AS (VALUES {", ".join(days)}),
+e0 AS (SELECT CAST(y AS INT) AS y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM range(2009, 2029) t(y)), e1 AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM e0),
+e2 AS (SELECT *, (a + 11 * h) // 319 AS m FROM e1), e3 AS (SELECT *, (2 * (b % 4) + 2 * (c // 4) - c % 4 - h + m + 32) % 7 AS w FROM e2),
+years AS (SELECT y, make_date(y, CAST((h - m + w + 90) // 25 AS INT), CAST((h - m + w + (h - m + w + 90) // 25 + 19) % 32 AS INT)) AS easter FROM e3),
+x AS (SELECT r.*, y, easter, CASE WHEN kind IN ('fixed', 'before') THEN make_date(y, a, b) WHEN kind IN ('weekday', 'after') THEN make_date(y, a, 1) END AS anchor FROM r, years WHERE y BETWEEN lo AND hi),
+s AS (SELECT *, CASE WHEN kind IN ('fixed', 'before') THEN CASE WHEN obs = 'nearest' AND isodow(anchor) = 6 THEN anchor - 1 WHEN obs IN ('nearest', 'sunday') AND isodow(anchor) = 7 THEN anchor + 1 ELSE anchor END END AS seen,
+ CASE WHEN kind IN ('weekday', 'after') THEN CASE WHEN n > 0 THEN anchor + CAST((b - isodow(anchor) + 8) % 7 + 7 * (n - 1) AS INT) ELSE last_day(anchor) - CAST((isodow(last_day(anchor)) - 1 - b + 7) % 7 AS INT) END END AS nth FROM x),
+g AS (SELECT c, place, name, close, CASE kind WHEN 'fixed' THEN seen WHEN 'weekday' THEN CASE WHEN month(nth) = a THEN nth END WHEN 'after' THEN CASE WHEN month(nth) = a THEN nth + 1 END WHEN 'easter' THEN easter + a
+ WHEN 'before' THEN CASE WHEN n = 0 OR (n >> (isodow(anchor) - 1)) & 1 = 1 THEN seen - CASE isodow(seen) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END END END AS d FROM s),
+f AS (SELECT c, d, arg_min(name, place) AS name, arg_min(coalesce(CAST(close AS VARCHAR), ''), place) AS close FROM g WHERE d IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT coalesce(one.c, f.c) AS c, coalesce(one.d, f.d) AS d, coalesce(one.name, f.name) AS name, CASE WHEN one.c IS NOT NULL THEN coalesce(CAST(one.close AS VARCHAR), '') ELSE f.close END AS close FROM f FULL JOIN one ON one.c = f.c AND one.d = f.d)
+SELECT c AS calendar_id, d AS trading_day, CASE WHEN close = '' THEN 'closed' ELSE 'early' END AS effect, name AS holiday_name FROM u WHERE isodow(d) < 6 AND d BETWEEN DATE '2012-12-01' AND DATE '2026-12-31'"""
+
+
+@query("holiday_calendars", _rules_sql())
+def _(spark, d):
+    rows = [r for c in cal.CALENDARS for r in cal.session_rows(c, dt.date(2012, 12, 1), dt.date(2026, 12, 31))]
+    return spark.createDataFrame(rows, cal.SESSION_SCHEMA).where("effect <> 'regular'").select("calendar_id", "trading_day", "effect", "holiday_name")
+
+
 # ---------------------------------------------------------------- the funnel
 
 
