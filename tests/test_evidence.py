@@ -221,6 +221,27 @@ def test_a_grid_equals_its_combos_one_by_one(spark, monkeypatch, batch, chunk):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("text", ["stop_ticks = 9\ntarget_ticks = 14", "stop_ticks = 6", "target_ticks = 5"])
+def test_a_grid_with_brackets_equals_the_general_kernel(spark, monkeypatch, text):
+    monkeypatch.setattr(grid, "CHUNK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        walk = synthetic_walk(spark, [7, 8], 900)
+        dim, step = cal.sessions(spark, cal.GLOBEX, dt.date(2023, 11, 13), dt.date(2023, 11, 20)), 60_000_000_000
+        config = grid.load(f"{CONFIG}[brackets]\n{text}")
+        spec, costs = config.spec(), config.costs()
+        got = {(r.combo, r.instrument): (r.final_equity, r.contracts) for r in grid.run(walk, config, spec, costs, dim, step).collect()}
+        want = {}
+        for k, combo in enumerate(config.combos()):
+            t = replay.rule_targets(grid.signals(walk, config, combo, dim, step), *(F.col(f"rule_{n}") for n in grid.RULES))
+            last = replay.bracket_replay(t, step, spec, costs, *config.brackets(), "equity").groupBy("instrument").agg(F.max_by("equity", "ts").alias("e"))
+            traded = replay.bracket_replay(t, step, spec, costs, *config.brackets(), "fills").groupBy("instrument").agg(F.sum(F.abs("change")).alias("c"))
+            want |= {(k, r.instrument): (r.e, r.c) for r in last.join(traded, "instrument").collect()}
+        assert got == want and len(got) == 8
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_configurations_are_checked():
     for text in ("[x]\na = 1", "[run]\nsed = 1", CONFIG.replace("0.5", "0.3")):
         with pytest.raises(ValueError):

@@ -29,6 +29,7 @@ TABLES = {
     "meta": ("name", "hypothesis", "family"),
     "contract": ("tick", "point_value", "quantity"),
     "execution": ("half_spread_ticks", "fee", "cash"),
+    "brackets": ("stop_ticks", "target_ticks"),
     "walk_forward": ("train_days", "test_days", "step_days", "anchored"),
     "run": ("seed",),
 }
@@ -51,6 +52,11 @@ class Config:
             raise ValueError("half_spread_ticks is not in half ticks")
         return replay.Costs(round(doubled), round(float(execution["fee"]) * NANO), round(float(tick) * NANO))
 
+    def brackets(self) -> tuple[int | None, int | None]:
+        """Protective stop and target in ticks from the fill, each may be absent."""
+        given = self.tables.get("brackets", {})
+        return given.get("stop_ticks"), given.get("target_ticks")
+
     def spec(self) -> replay.Spec:
         contract, execution = self.tables.get("contract", {}), self.tables.get("execution", {})
         return replay.Spec(contract.get("point_value", 50), contract.get("quantity", 1), execution.get("cash", 100_000) * NANO)
@@ -174,8 +180,11 @@ class _Combos:
 
     def __init__(self, config: Config, places: dict[str, np.ndarray], combos: np.ndarray, spec: replay.Spec, costs: replay.Costs):
         self.rules, self.warmup, self.combos, self.places = dict(config.rules), config.warmup(), combos, places
-        self.spec, self.cost = spec, costs.slip * spec.point_value + costs.fee
+        self.spec, self.costs, self.cost = spec, costs, costs.slip * spec.point_value + costs.fee
+        self.stop, self.gain = config.brackets()
         n = len(combos)
+        zero = lambda: np.zeros(n, np.int64)
+        self.cash, self.entry, self.pending, self.levels, self.live = np.full(n, spec.cash, np.int64), zero(), zero(), (zero(), zero()), np.zeros(n, bool)
         self.seen, self.close = 0, None
         self.state, self.position = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.equity, self.contracts = np.full(n, spec.cash, np.int64), np.zeros(n, np.int64)
@@ -215,6 +224,16 @@ class _Combos:
             state = np.where(state == 0, opening, state)
             last = i
         target[last:] = state
+        if self.stop is not None or self.gain is not None:
+            self._protected(rows, target)
+        else:
+            self._marked(rows, target)
+        self.state, self.seen = state, self.seen + n
+        numbers = (self.combos, np.full(c, self.seen), self.equity, self.contracts)
+        return [pa.array(x, pa.int64()) for x in numbers]
+
+    def _marked(self, rows: pa.RecordBatch, target: np.ndarray) -> None:
+        """Orders on the next open, for all bars at once."""
         opened, closed = (rows.column(x).to_numpy() for x in ("open", "close"))
         held = np.vstack([self.state[None], target[:-1]]) * self.spec.quantity
         before = np.vstack([self.position[None], held[:-1]])
@@ -222,9 +241,41 @@ class _Combos:
         traded = np.abs(held - before)
         gain = (before * gap[:, None] + held * (closed - opened)[:, None]) * self.spec.point_value - traded * self.cost
         self.equity, self.contracts = self.equity + gain.sum(axis=0), self.contracts + traded.sum(axis=0)
-        self.state, self.position, self.close, self.seen = state, held[-1], int(closed[-1]), self.seen + n
-        numbers = (self.combos, np.full(c, self.seen), self.equity, self.contracts)
-        return [pa.array(x, pa.int64()) for x in numbers]
+        self.position, self.close = held[-1], int(closed[-1])
+
+    def _protected(self, rows: pa.RecordBatch, target: np.ndarray) -> None:
+        """Bar by bar, all combos side by side: pending fill, bracket exit, mark, decision, as `replay.BracketRun` does for one."""
+        pv, fee, slip, tick = self.spec.point_value, self.costs.fee, self.costs.slip, self.costs.tick
+        prices = zip(*(rows.column(x).to_pylist() for x in ("open", "high", "low", "close")), target * self.spec.quantity)
+        never = np.iinfo(np.int64).max // 4
+        for opened, high, low, close, wanted in prices:
+            filled = self.pending != 0
+            price = opened + np.sign(self.pending) * slip
+            self.cash += np.where(filled, (price - self.entry) * pv * self.position - np.abs(self.pending) * fee, 0)
+            self.contracts = self.contracts + np.abs(self.pending)
+            self.position = self.position + self.pending
+            self.entry = np.where(filled, price, self.entry)
+            side = np.sign(self.position)
+            stop = price - side * (self.stop or 0) * tick
+            gain = price + side * (self.gain or 0) * tick
+            self.levels = tuple(np.where(filled, new, old) for new, old in zip((stop, gain), self.levels))
+            self.live = np.where(filled, self.position != 0, self.live & (self.position != 0))
+            top, bottom = np.where(side > 0, high, -low), np.where(side > 0, low, -high)
+            s = side * self.levels[0] if self.stop is not None else np.full(len(side), -never)
+            t = side * self.levels[1] if self.gain is not None else np.full(len(side), never)
+            gap_stop = self.live & (side * opened <= s)
+            gap_gain = self.live & ~gap_stop & (side * opened > t)
+            inside = self.live & ~gap_stop & ~gap_gain
+            hit_stop = inside & (bottom <= s)
+            hit_gain = inside & ~hit_stop & (top > t)
+            left = gap_stop | gap_gain | hit_stop | hit_gain
+            out = np.where(gap_stop | gap_gain, opened, np.where(hit_stop, self.levels[0], self.levels[1])) - np.where(gap_stop | hit_stop, side * slip, 0)
+            self.cash += np.where(left, (out - self.entry) * pv * self.position - np.abs(self.position) * fee, 0)
+            self.contracts = self.contracts + np.where(left, np.abs(self.position), 0)
+            self.position = np.where(left, 0, self.position)
+            self.live = self.live & ~left
+            self.equity = self.cash + (close - self.entry) * pv * self.position
+            self.pending = wanted - self.position
 
 
 def run(bars: DataFrame, config: Config, spec: replay.Spec, costs: replay.Costs, dim: DataFrame | None = None, step: int | None = None) -> DataFrame:
