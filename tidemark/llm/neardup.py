@@ -306,9 +306,10 @@ def _links(signed: DataFrame, reps: DataFrame, weighting: str) -> DataFrame:
         if asked is not None:
             fresh = fresh.join(asked, ["hub", "key"], "left_anti")
         fresh = materialise(fresh, "asked")
-        found = materialise(_verify(fresh, pool, weighting), "linked")
-        links = found if links is None else links.unionByName(found)
-        asked = fresh if asked is None else asked.unionByName(fresh)
+        if links is None or not fresh.isEmpty():
+            found = materialise(_verify(fresh, pool, weighting), "linked")
+            links = found if links is None else links.unionByName(found)
+            asked = fresh if asked is None else asked.unionByName(fresh)
         state = rows.join(links, ["hub", "key"], "left_anti").select("bucket", "key", "score")
     links = materialise(links.select(*_ordered("hub", "key")), "links")
     texts = materialise(_open_texts(buckets, links), "open")
