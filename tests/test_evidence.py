@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 import os
+import time
 from collections import defaultdict
 from zoneinfo import ZoneInfo
 
@@ -336,6 +337,21 @@ def test_one_answer_for_a_cycle_or_none(spark):
         rolls.resolve_cycles(asked, cycles.union(spark.createDataFrame([("ESH4", "ESH2034", 3700)], cycles.schema))).collect()
 
 
+def test_cycles_of_one_symbol_are_read_once(spark):
+    """40,000 cycles and as many days of one symbol: minutes with a frame that reads the rest of them for every row."""
+    n = 40_000
+    cycles = spark.range(1, n + 1).selectExpr("'ES' AS symbol", "concat('ES', id) AS contract", "10 * id AS expiry")
+    asked = spark.range(n).selectExpr("'ES' AS symbol", "nullif(11 * id, 5005) AS day")
+    start = time.monotonic()
+    got = rolls.resolve_cycles(asked, cycles, first_days=4).collect()
+    assert time.monotonic() - start < 30
+    numbers = {day: -(-day // 10) if 6 < day <= 10 * n else None for day in range(0, 11 * n, 11)} | {None: None}
+    del numbers[5005]
+    want = {day: (None, None) if k is None else (f"ES{k}", 10 * k) for day, k in numbers.items()}
+    assert len(got) == n and {r.day: (r.contract, r.expiry) for r in got} == want
+    assert want[0] == want[11 * n - 11] == (None, None) and want[110] == ("ES11", 110) and want[121] == ("ES13", 130)
+
+
 def test_criteria_are_refused_before_any_bar_is_read():
     good = {"stages": ["s1", "s2"], "sweep_ticks": [0, 0.5, 1, 2], "kill_ticks": 1}
     assert funnel.Criteria.load(**good).sweep == (0, 1, 2, 4)

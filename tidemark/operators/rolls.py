@@ -217,8 +217,9 @@ def resolve_cycles(asked: DataFrame, cycles: DataFrame, first_days: int = 3653)
     `asked` has symbol and day, `cycles` symbol, contract and expiry. The first
     cycle opens `first_days` before its expiry; outside of all cycles the
     contract is null. Two cycles of a symbol with one expiry are an error, as
-    the answer has to be exactly one. Both sides are put into one order and the
-    next expiry is carried back, so the work does not grow with the cycles.
+    the answer has to be exactly one. Both sides are put into one order, last
+    day first, and the next expiry is carried on: each row is seen once, as a
+    frame that looks ahead would read the rest of its symbol for every row.
     """
     order = Window.partitionBy("symbol").orderBy("expiry")
     clash = F.raise_error(F.concat(F.lit("two cycles of "), F.col("symbol"), F.lit(" expire at once"))).cast("long")
@@ -228,7 +229,7 @@ def resolve_cycles(asked: DataFrame, cycles: DataFrame, first_days: int = 3653)
     known = cycles.withColumn("__cycle", cycle).select("symbol", F.col("expiry").alias("__at"), F.lit(1).alias("__side"), "__cycle")
     wanted = asked.withColumn("__at", F.col("day")).withColumn("__side", F.lit(0))
     both = wanted.unionByName(known, allowMissingColumns=True)
-    ahead = Window.partitionBy("symbol").orderBy("__at", "__side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("__next", F.first("__cycle", ignorenulls=True).over(ahead)).where(F.col("__side") == 0)
+    back = Window.partitionBy("symbol").orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__next", F.last("__cycle", ignorenulls=True).over(back)).where(F.col("__side") == 0)
     inside = F.col("day") > F.col("__next.opens")
     return found.select(*asked.columns, *[F.when(inside, F.col(f"__next.{c}")).alias(c) for c in ("contract", "expiry")])
