@@ -2,12 +2,14 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from test_neardup import brute_classes
-from test_packing import plain_ids
+from test_packing import PATH, plain_ids
 from test_quality import brute
-from tidemark.llm import langid
+from tidemark.llm import langid, neardup, packing
+from tidemark.llm.common import forget
 
 
 def documents(n):
@@ -78,3 +80,28 @@ def test_stages_carry_clashing_columns(spark, tmp_path):
 def test_each_stage_takes_an_empty_table(spark, k):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[k][1](spark, docs, "unused").count() == 0
+
+
+def test_workers_keep_no_memo_of_an_earlier_stage(spark):
+    docs = spark.createDataFrame(documents(60), "doc_id long, text string, lang string, source string, n_chars long")
+
+    def kept(batches):
+        for batch in batches:
+            words = [own.words for own in packing._TOKENIZERS.values()]
+            n = [len(neardup._WORDS), sum(len(w) + len(w.old) for w in words)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in n], ["hashes", "packed"])
+
+    def most():
+        r = spark.range(0, 64, 1, 16).mapInArrow(kept, "hashes long, packed long").agg({"hashes": "max", "packed": "max"})
+        return tuple(r.select("max(hashes)", "max(packed)").first())
+
+    packing._cut_documents(docs, PATH, "doc_id", "text").count()
+    assert most()[1] > 0  # the next task of the stage looks words up here
+    corpus_pipeline.near_duplicate_stage(spark, docs, "").count()
+    assert most()[0] == 0
+    own = packing.word_tokenizer(PATH)
+    own.encode_batch(["some words"]), neardup.word_hashes("some words")
+    forget(but="packed words")
+    assert own.words and not neardup._WORDS
+    forget()
+    assert not own.words and not own.words.old

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,43 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What empties each memo that a Python worker keeps from task to task, by the name of the memo.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Empties all memos of this process except one."""
+    for name, empty in MEMOS.items():
+        if name != but:
+            empty()
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed, but holds for later, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable:
+    """`kernel` for mapInArrow, after which its worker holds no memo but `keep` and no freed memory.
+
+    Workers live on from task to task and from operator to operator, beside the
+    JVM that then sorts and joins, so what one of them left would count against all that follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
+        try:
+            yield from kernel(batches)
+        finally:
+            forget(keep)
+            give_back()
+
+    return run
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of columns of any type; nulls count as values."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import behind_leaders, free_name, materialise, text_of
+from .common import MEMOS, behind_leaders, free_name, lean, materialise, text_of
 from .components import connected
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ class _WordHashes(dict):
 
 
 _WORDS = _WordHashes()
+MEMOS["word hashes"] = _WORDS.clear
 
 
 def word_hashes(text: str) -> tuple[bytes, np.ndarray]:
@@ -186,7 +187,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFr
             if ids:
                 yield flush(ids, keys, words, sets, id_type)
 
-    return source.mapInArrow(sign, f"doc_id {kind}, key binary, words binary, buckets array<long>")
+    return source.mapInArrow(lean(sign), f"doc_id {kind}, key binary, words binary, buckets array<long>")
 
 
 def _verify(pairs: DataFrame, pool: DataFrame, weighting: str) -> DataFrame:
@@ -220,7 +221,7 @@ def _verify(pairs: DataFrame, pool: DataFrame, weighting: str) -> DataFrame:
             hubs, keys = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.binary()), pa.array(keys, pa.binary())], ["hub", "key"])
 
-    return stream.select("hub", "key", "words", "lead").mapInArrow(compare, "hub binary, key binary")
+    return stream.select("hub", "key", "words", "lead").mapInArrow(lean(compare), "hub binary, key binary")
 
 
 def _ordered(x: str, y: str) -> list:
@@ -258,7 +259,7 @@ def _prefix_pairs(texts: DataFrame, pool: DataFrame, weighting: str) -> DataFram
             )
 
     sets = pool.join(texts.hint("merge"), "key").select("key", "label", "words")
-    sets = materialise(sets.mapInArrow(units, "key binary, label binary, s array<long>"), "sets")
+    sets = materialise(sets.mapInArrow(lean(units), "key binary, label binary, s array<long>"), "sets")
     tokens = sets.select("key", "label", F.size("s").alias("n"), F.explode("s").alias("token"))
     common = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
     shared = tokens.join(common.hint("merge"), "token")
@@ -367,7 +368,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, key_name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    keyed = docs.mapInArrow(add_key, f"{fields}, {key_name} binary")
+    keyed = docs.mapInArrow(lean(add_key), f"{fields}, {key_name} binary")
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     chosen = classes.where("stands").select(F.col("key").alias(key_name), known("least_id").alias(id_name))
     kept = keyed.withColumn(id_name, known(f"`{id_col}`")).join(chosen, [key_name, id_name], "left_semi")

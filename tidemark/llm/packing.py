@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import MEMOS, lean, materialise, text_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -124,6 +124,15 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _forget_words() -> None:
+    for own in _TOKENIZERS.values():
+        own.words.clear()
+        own.words.old = {}
+
+
+MEMOS["packed words"] = _forget_words
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
@@ -258,7 +267,7 @@ def _cut_documents(docs: DataFrame, path: str, id_col: str, text_col: str) -> Da
                     ["doc_id", *names],
                 )
 
-    return source.mapInArrow(cut, f"doc_id {kind_of_id}, {_CUT_SCHEMA}")
+    return source.mapInArrow(lean(cut, keep="packed words"), f"doc_id {kind_of_id}, {_CUT_SCHEMA}")
 
 
 def _part_offsets(cut: DataFrame, kind: int, amount, by: list[str]) -> DataFrame:
@@ -362,7 +371,7 @@ def _fill(cut: DataFrame, gaps: DataFrame, total_gap: int, n_sequences: int) ->
             yield pa.RecordBatch.from_arrays([given[n] for n in names], names)
 
     return pieces.mapInArrow(
-        checksum, f"doc_id {kind_of_id}, start long, length long, crc long, doc_tokens long, sequence_id long, offset long"
+        lean(checksum), f"doc_id {kind_of_id}, start long, length long, crc long, doc_tokens long, sequence_id long, offset long"
     )
 
 
